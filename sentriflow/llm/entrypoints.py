@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_mixing": mixing.op8_mixing,
 }
-ORACLE_SQL = {**exact_dedup.SQL}
+ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL}
