@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dedup
 
 QUERIES = {
+    "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
 }
