@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, toxicity
+from . import exact_dedup, language_id, matroska, mixing, near_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
+    "op9_media_matroska": matroska.op9_media_matroska,
 }
 ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL}
