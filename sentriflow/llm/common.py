@@ -43,8 +43,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def collapse_spaces(text: Column) -> Column:
     """Text with each run of white space replaced by one space; null counts as empty."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.regexp_replace(flat, " {2,}", " ")
+    flat = F.coalesce(text, F.lit(""))
+    for space in SPACES:
+        flat = F.replace(flat, F.lit(space), F.lit(" "))
+    return F.when(F.instr(flat, "  ") > 0, F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
 
 
 def word_count(text: Column) -> Column:
