@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, matroska, mixing, near_dedup, pieces, toxicity
+from . import exact_dedup, language_id, matroska, mixing, near_dedup, pieces, toxicity, wavelet
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op9_media_matroska": matroska.op9_media_matroska,
+    "op10_token_wavelet": wavelet.op10_token_wavelet,
 }
 ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL}
