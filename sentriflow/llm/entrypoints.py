@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, matroska, mixing, near_dedup, pieces, toxicity, warc, wavelet
+from . import exact_dedup, language_id, matroska, mixing, near_dedup, pieces, suffix_dedup, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op3_sentencepiece_dropout": pieces.op3_sentencepiece_dropout,
     "op4_warc": warc.op4_warc,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
