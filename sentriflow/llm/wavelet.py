@@ -12,6 +12,7 @@ BLOCK_BITS bits and starts with the ones before it, so that a rank reads one blo
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ BLOCK_BITS = 1 << 18
 #: A shard is closed once it has so many ids; a document is never cut.
 SHARD_IDS = 4_000_000
 END_ID = 0
-#: Words whose ids a worker remembers, at most.
+#: Words whose ids a worker remembers, about twice so many.
 CACHE_WORDS = 400_000
 
 
@@ -163,11 +164,14 @@ class Shard:
         return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), count=self.n).astype(bool)
 
 
+_SPACE_PAIR = re.compile("[\\s\x85\u180e\u200b] ")
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the `tokenizers` library, word by word with a memory of words.
 
-    The byte-level pattern always begins a new piece at a single space between other characters, so such a text is its words, each with the
-    space before it. Texts in which that may not hold go to the library as a whole.
+    The byte-level pattern always begins a new piece at a space that follows something else than white space, so such a text is its words,
+    each with the space before it. Texts in which that may not hold go to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -175,17 +179,39 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(pieces.values()) + 1, bool)
+        # U+0120 is how byte-level vocabularies write a space
+        self.after_space[[i for p, i in pieces.items() if p[:1] == "\u0120"]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words, each with a space before it: they are encoded as one text and cut where a space begins a piece."""
+        at_end = [w for w in words if w[-1].isspace()]
+        self.known.update(zip(at_end, self._whole([" " + w for w in at_end])))
+        words = [w for w in words if not w[-1].isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words) if words else ""], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(self.after_space[ids])
+        if len(cut) != len(words) or (len(cut) and cut[0] != 0):
+            raise ValueError("a word didn't begin with a space of its own")
+        raw, edges = ids.tobytes(), [*(cut * 4).tolist(), len(ids) * 4]
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [t.split(" ") if "  " not in t and "<|" not in t else None for t in texts]
+        plain = [t.split(" ") if "<|" not in t and not _SPACE_PAIR.search(t) else None for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*(p[1:] for p in plain if p)) - self.known.keys())
-        self.known.update(zip(new, self._whole([" " + w for w in new])))
+            self.known, self.older = {}, self.known
+        new = set().union(*(p[1:] for p in plain if p)) - self.known.keys()
+        seen = new & self.older.keys()
+        self.known.update(zip(seen, map(self.older.__getitem__, seen)))
+        if new := list(new - seen - {""}):
+            self._learn(new)
+        if "" not in self.known:  # a space at the end of a text
+            self.known[""] = self._whole([" "])[0]
         heads = iter(self._whole([p[0] for p in plain if p]))
         others = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
         get = self.known.__getitem__
