@@ -10,30 +10,49 @@ from __future__ import annotations
 
 import numpy as np
 
-_RANK_BLOCK = 64
 
+def _by_symbol(bwt: np.ndarray) -> np.ndarray:
+    """Rank of each place of a transform among all places, by symbol and then by place."""
+    out = np.empty(len(bwt), np.int32)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    return out
 
-class _Ranks:
-    """How often a symbol occurs before a place of a transform."""
 
-    def __init__(self, bwt: np.ndarray, sigma: int):
-        self.bwt, n = bwt, len(bwt)
-        blocks = n // _RANK_BLOCK + 1
-        key = (np.arange(n, dtype=np.int64) // _RANK_BLOCK) * sigma + bwt
-        counts = np.bincount(key, minlength=blocks * sigma).reshape(blocks, sigma)
-        self.before = np.zeros((blocks + 1, sigma), np.int32)
-        np.cumsum(counts, axis=0, out=self.before[1:])
-        self.padded = np.concatenate((bwt, np.full(_RANK_BLOCK, 255, np.uint8)))
-
-    def __call__(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        block = at // _RANK_BLOCK
-        out = self.before[block, symbol].astype(np.int64)
-        rest = at - block * _RANK_BLOCK
-        for a in range(0, len(at), 1 << 16):
-            s = slice(a, a + (1 << 16))
-            near = self.padded[(block[s] * _RANK_BLOCK)[:, None] + np.arange(_RANK_BLOCK)] == symbol[s][:, None]
-            out[s] += (near & (np.arange(_RANK_BLOCK) < rest[s][:, None])).sum(1)
-        return out
+def transform(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, sigma: int) -> np.ndarray:
+    """The transform of all suffixes. `symbols` are 1 to sigma - 1; 0 stands before a text's first symbol."""
+    m = len(start)
+    bwt = np.zeros(m, np.uint8)
+    some = length > 0
+    bwt[some] = symbols[start[some] + length[some] - 1]
+    live = np.flatnonzero(some)
+    at = live.copy()  # place of each live text's longest suffix so far
+    firsts = np.zeros(sigma, np.int64)  # inserted suffixes by first symbol
+    firsts[0] = m
+    seen = np.bincount(bwt, minlength=sigma)
+    j = 0
+    while len(live):
+        j += 1
+        symbol = bwt[at]
+        # places with the same symbol keep their order, so what comes before one in its symbol's run is its rank
+        here = np.zeros(len(bwt), bool)
+        here[at] = True
+        rank = np.empty(len(at), np.int64)
+        rank[np.lexsort((at, symbol))] = np.flatnonzero(here[np.argsort(bwt, kind="stable")])
+        rank -= (np.cumsum(seen) - seen)[symbol]
+        firsts += np.bincount(symbol, minlength=sigma)
+        place = (np.cumsum(firsts) - firsts)[symbol] + rank
+        rest = length[live] - j  # offset of the new suffix
+        left = np.where(rest > 0, symbols[np.maximum(start[live] + rest - 1, 0)], 0).astype(np.uint8)
+        seen += np.bincount(left, minlength=sigma)
+        old = np.ones(len(bwt) + len(live), bool)
+        old[place] = False
+        grown = np.empty(len(old), np.uint8)
+        grown[old] = bwt
+        grown[place] = left
+        bwt = grown
+        going = rest > 0
+        live, at = live[going], place[going]
+    return bwt
 
 
 def suffix_order(texts: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,37 +62,24 @@ def suffix_order(texts: np.ndarray, start: np.ndarray, length: np.ndarray) -> tu
     """
     m = len(start)
     used = np.unique(texts) if len(texts) else np.zeros(0, np.uint8)
+    if len(used) > 254:
+        raise ValueError("a collection with all 256 byte values")
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(1, len(used) + 1)
     sigma = len(used) + 1
-    if sigma > 255:
-        raise ValueError("a collection with all 256 byte values")
-    symbols = code[texts]
-    last = np.where(length > 0, symbols[np.maximum(start + length - 1, 0)] if len(texts) else 0, 0).astype(np.uint8)
-    bwt, text, offset = last.copy(), np.arange(m, dtype=np.int32), length.astype(np.int32)
-    at = np.arange(m, dtype=np.int64)  # place of each text's longest suffix so far
-    firsts = np.zeros(sigma, np.int64)  # inserted suffixes by first symbol
+    bwt = transform(code[texts], start, length, sigma)
+    # the text that a suffix belongs to: from each end mark, one symbol to the left at a time
+    seen = np.bincount(bwt, minlength=sigma)
+    firsts = seen.copy()
     firsts[0] = m
-    for j in range(1, int(length.max()) + 1 if m else 1):
-        live = np.flatnonzero(length >= j)
-        symbol = bwt[at[live]]
-        rank = _Ranks(bwt, sigma)(symbol, at[live])
-        firsts += np.bincount(symbol, minlength=sigma)
-        place = (np.cumsum(firsts) - firsts)[symbol] + rank
-        n = len(bwt) + len(live)
-        old = np.ones(n, bool)
-        old[place] = False
-        rest = length[live] - j  # offset of the new suffix
-        left = np.where(rest > 0, symbols[np.maximum(start[live] + rest - 1, 0)], 0)
-        moved = np.flatnonzero(old)
-        # texts that are finished keep their place in the order, too
-        at = moved[at]
-        at[live] = place
-        grown = [np.empty(n, a.dtype) for a in (bwt, text, offset)]
-        for new, was, add in zip(grown, (bwt, text, offset), (left, live, rest)):
-            new[moved] = was
-            new[place] = add
-        bwt, text, offset = grown
+    shift = (np.cumsum(firsts) - firsts) - (np.cumsum(seen) - seen)
+    step = _by_symbol(bwt) + shift[bwt]
+    text, offset = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    live, at, rest = np.arange(m), np.arange(m), length.astype(np.int64)
+    while len(live):
+        text[at], offset[at] = live, rest
+        going = rest > 0
+        live, at, rest = live[going], step[at[going]], rest[going] - 1
     return bwt, text, offset
 
 

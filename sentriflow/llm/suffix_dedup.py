@@ -28,7 +28,7 @@ from .text import U, prefix_hashes, utf8_column, window_hashes
 WINDOW = 50
 GRAM = 20
 #: Different segments in a block, about; and documents of an anchor from which on it is hot.
-BLOCK_SEGMENTS = 40_000
+BLOCK_SEGMENTS = 20_000
 HOT = 100_000
 #: Bits of the anchor bitmap: 16 MB.
 ANCHOR_BITS = 1 << 27
@@ -109,7 +109,7 @@ def _anchor_batch(doc: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
 
 
 def _shared_segments(bits):
-    """Segments whose anchor is in the bitmap: (anchor, doc, start, segment)."""
+    """Segments whose anchor is in the bitmap: (anchor, doc, starts, segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -120,19 +120,27 @@ def _shared_segments(bits):
                 bit = anchor & (ANCHOR_BITS - 1)
                 hit = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
                 keep = np.flatnonzero(hit)
-                doc, first, last = doc[keep], first[keep], last[keep]
+                doc, anchor, first, last = doc[keep], anchor[keep], first[keep], last[keep]
+                # equal segments of a document go as one row with all their starts
+                whole = window_hashes(prefix_hashes(data), first, last + WINDOW) if len(first) else np.zeros(0, U)
+                order = np.lexsort((whole, anchor, doc))
+                doc, anchor, first, last, whole = doc[order], anchor[order], first[order], last[order], whole[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+                lists = np.append(np.flatnonzero(new), len(doc)).astype(np.int32)
+                starts = pa.ListArray.from_arrays(pa.array(lists), pa.array(first - offsets[doc] + shift[doc]))
+                doc, anchor, first, last = doc[new], anchor[new], first[new], last[new]
                 size = last - first + WINDOW
                 ends = np.concatenate(([0], np.cumsum(size)))
                 flat = data[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
-                segment = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-                start = first - offsets[doc] + shift[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(ids[rows[doc]]), pa.array(start), segment], ["anchor", "doc", "start", "segment"])
+                segment = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[rows[doc]]), starts, segment], ["anchor", "doc", "starts", "segment"])
 
     return run
 
 
-def block_spans(doc: np.ndarray, start: np.ndarray, texts: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of what goes of a block of segments; all segments of an anchor are in the block."""
+def block_spans(doc: np.ndarray, texts: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, to) of what goes of each row's segment; all segments of an anchor are in the block."""
     raw = texts.tobytes()
     same: dict[bytes, int] = {}
     which = np.array([same.setdefault(raw[a : a + n], len(same)) for a, n in zip(at.tolist(), size.tolist())], np.int64)
@@ -164,7 +172,7 @@ def block_spans(doc: np.ndarray, start: np.ndarray, texts: np.ndarray, at: np.nd
     closes = goes.copy()
     closes[:-1] &= ~(goes[1:] & (row[1:] == row[:-1]))
     a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-    return doc[row[a]], start[row[a]] + place[a], start[row[b]] + place[b] + WINDOW
+    return row[a], place[a], place[b] + WINDOW
 
 
 def _spans_by_block(block_segments: int):
@@ -174,7 +182,7 @@ def _spans_by_block(block_segments: int):
         held: list[pa.RecordBatch] = []
 
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            anchor, doc, start = (table.column(i).to_numpy() for i in range(3))
+            anchor, doc = (table.column(i).to_numpy() for i in range(2))
             segment = table.column(3).combine_chunks()
             # an anchor of one document decides nothing
             edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
@@ -183,8 +191,12 @@ def _spans_by_block(block_segments: int):
             if len(keep):
                 segment = segment.take(pa.array(keep))
                 ends = np.frombuffer(segment.buffers()[1], np.int32)[: len(keep) + 1].astype(np.int64)
-                d, a, b = block_spans(doc[keep], start[keep], np.frombuffer(segment.buffers()[2], np.uint8), ends[:-1], np.diff(ends))
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc", "a", "b"])
+                row, a, b = block_spans(doc[keep], np.frombuffer(segment.buffers()[2], np.uint8), ends[:-1], np.diff(ends))
+                # what goes of a segment goes wherever its document holds it
+                starts = table.column(2).combine_chunks().take(pa.array(keep[row]))
+                times = starts.value_lengths().to_numpy()
+                start = starts.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[keep[row]], times)), pa.array(start + np.repeat(a, times)), pa.array(start + np.repeat(b, times))], ["doc", "a", "b"])
 
         rows = 0
         for batch in batches:
@@ -207,10 +219,10 @@ def _spans_by_block(block_segments: int):
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of hot segments, one row each."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 10_000):
-            part = batch.slice(a, 10_000)
-            raw = part.column(3).to_pylist()
-            doc, start = part.column(1).to_numpy(), part.column(2).to_numpy()
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            raw = [x for x, s in zip(part.column(3).to_pylist(), part.column(2)) for _ in range(len(s))]
+            doc, start = np.repeat(part.column(1).to_numpy(), part.column(2).value_lengths().to_numpy()), part.column(2).flatten().to_numpy()
             n = np.array([len(x) - WINDOW + 1 for x in raw])
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             windows = [x[i : i + WINDOW] for x, k in zip(raw, n.tolist()) for i in range(k)]
@@ -231,7 +243,7 @@ def repeated_spans(texts: DataFrame, hot_from: int = HOT, block_segments: int =
     for s, b in zip(found["slice"].to_pylist(), found["bits"]):
         table[s] = np.frombuffer(b.as_buffer(), np.uint8)
     bits = spark.sparkContext.broadcast(table.ravel())
-    schema = "anchor long, doc long, start long, segment binary"
+    schema = "anchor long, doc long, starts array<long>, segment binary"
     is_hot = any(x > hot_from for x in found["most"].to_pylist())
     shared = texts.select("_id", "_text").mapInArrow(_shared_segments(bits), schema)
     if not is_hot:
