@@ -32,7 +32,7 @@ BLOCK_BITS = 1 << 18
 SHARD_IDS = 4_000_000
 END_ID = 0
 #: Words whose ids a worker remembers, about twice so many.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def write_shard(out, ids: np.ndarray, doc_ids: list, doc_ends: list[int]) -> None:
@@ -42,19 +42,20 @@ def write_shard(out, ids: np.ndarray, doc_ids: list, doc_ends: list[int]) -> Non
     zeros, blocks, offsets, at = [], [], [], 0
     packer = zstandard.ZstdCompressor(level=1)
     for k in range(bits - 1, -1, -1):
-        plane = (now >> now.dtype.type(k)) & now.dtype.type(1)
-        ones = plane.astype(bool)
-        packed = np.packbits(ones)
-        before, row = 0, []
+        before, row, low, high = 0, [], [], []
         for b in range(0, max(1, len(ids)), BLOCK_BITS):
-            body = packer.compress(packed[b // 8 : (b + BLOCK_BITS) // 8].tobytes())
+            part = now[b : b + BLOCK_BITS]
+            ones = (part & part.dtype.type(1 << k)) != 0
+            body = packer.compress(np.packbits(ones).tobytes())
             blocks.append(struct.pack("<QI", before, len(body)) + body)
             row.append(at)
             at += len(blocks[-1])
-            before += int(np.count_nonzero(ones[b : b + BLOCK_BITS]))
+            low.append(np.compress(~ones, part))
+            high.append(np.compress(ones, part))
+            before += len(high[-1])
         zeros.append(len(ids) - before)
         offsets.append(row)
-        now = np.concatenate((now[~ones], now[ones]))
+        now = np.concatenate(low + high)
     head = {"n": len(ids), "bits": bits, "zeros": zeros, "blocks": offsets, "doc_ids": doc_ids, "doc_ends": doc_ends}
     head = zlib.compress(json.dumps(head).encode(), 1)
     out.write(MAGIC + struct.pack("<I", len(head)) + head)
@@ -147,22 +148,22 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         # ids as they lie below the last plane are sorted by reversed bits; only their bits matter, plane by plane
         now = np.zeros(self.n, kind)
+        opened = zstandard.ZstdDecompressor()
         for p in range(self.bits - 1, -1, -1):
-            bits = self._plane(p)
-            out = np.empty(self.n, kind)
-            out[~bits] = now[: self.zeros[p]]
-            out[bits] = now[self.zeros[p] :] | kind(1 << self.bits - 1 - p)
+            out, z, o, bit = np.empty(self.n, kind), 0, self.zeros[p], kind(1 << self.bits - 1 - p)
+            for b, at in enumerate(self.head["blocks"][p]):
+                self._file.seek(self._base + at)
+                _, size = struct.unpack("<QI", self._file.read(12))
+                raw = opened.decompress(self._file.read(size), max_output_size=BLOCK_BITS // 8)
+                part = out[b * BLOCK_BITS : (b + 1) * BLOCK_BITS]
+                ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(part)).view(bool)
+                n = int(np.count_nonzero(ones))
+                part[ones] = now[o : o + n] | bit
+                part[~ones] = now[z : z + len(part) - n]
+                z, o = z + len(part) - n, o + n
             now = out
         return now
 
-    def _plane(self, p: int) -> np.ndarray:
-        raw, opened = [], zstandard.ZstdDecompressor()
-        for at in self.head["blocks"][p]:
-            self._file.seek(self._base + at)
-            _, size = struct.unpack("<QI", self._file.read(12))
-            raw.append(opened.decompress(self._file.read(size), max_output_size=BLOCK_BITS // 8))
-        return np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), count=self.n).astype(bool)
-
 
 _SPACE_PAIR = re.compile("[\\s\x85\u180e\u200b] ")
 
