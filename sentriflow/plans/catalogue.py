@@ -90,7 +90,7 @@ def win_dst_entropy(spark, d):
 @query(
     f"""WITH {OBS}, w AS (SELECT id, list(src) OVER {_frame(24, 'dst')} AS l FROM obs)
 SELECT id, len(list_distinct(l))::BIGINT AS sources, len(l)::BIGINT AS n,
-  round(1e0 - CASE WHEN len(list_distinct(l)) > 1 THEN list_aggregate(l, 'entropy') / log2(len(list_distinct(l))) ELSE 0e0 END, 6) AS concentration FROM w"""
+  round(1e0 - least(1e0, CASE WHEN len(list_distinct(l)) > 1 THEN list_aggregate(l, 'entropy') / log2(len(list_distinct(l))) ELSE 0e0 END), 6) AS concentration FROM w"""
 )
 def win_src_concentration(spark, d):
     o, w = windows.destination_features(observations(spark, d), (24 * HOUR,)), 24 * HOUR
@@ -390,19 +390,19 @@ f AS (SELECT id, src, rn, b AS size, 0e0 AS dm, b AS today, t AS began FROM o WH
  UNION ALL SELECT o.id, o.src, o.rn, CASE WHEN size = 0 THEN o.b ELSE 0.05e0 * o.b + 0.95e0 * size END,
   CASE WHEN o.t - began > 86400 THEN CASE WHEN dm = 0 THEN today ELSE 0.05e0 * today + 0.95e0 * dm END ELSE dm END, CASE WHEN o.t - began > 86400 THEN o.b ELSE today + o.b END, CASE WHEN o.t - began > 86400 THEN o.t ELSE began END
  FROM f JOIN o ON o.src = f.src AND o.rn = f.rn + 1)
-SELECT id, round(size, 6) AS avg_flow_size, round(dm, 6) AS avg_daily, round(today, 6) AS today FROM f"""
+SELECT id, round(size, 3) AS avg_flow_size, round(dm, 3) AS avg_daily, round(today, 4) AS today FROM f"""
 )
 def host_baseline_state(spark, d):
     b = baselines.host_baseline(observations(spark, d), ["us", "id"])
-    return b.select("id", r6("avg_flow_size_bytes").alias("avg_flow_size"), r6("avg_daily_bytes").alias("avg_daily"), r6("current_day_bytes").alias("today"))
+    return b.select("id", F.round("avg_flow_size_bytes", 3).alias("avg_flow_size"), F.round("avg_daily_bytes", 3).alias("avg_daily"), F.round("current_day_bytes", 4).alias("today"))
 
 
 BEACON = config(c2={"expire": 5 * 86_400.0})
 BEACON_SQL = f"""{OBS}, er AS (SELECT *, CASE WHEN us - lag(us) OVER w > 432000000000 THEN 1 ELSE 0 END AS c FROM obs WINDOW w AS (PARTITION BY src, dport ORDER BY us, id)),
 eb AS (SELECT *, sum(c) OVER (PARTITION BY src, dport ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS era FROM er),
-eh AS (SELECT *, list(seconds) OVER h AS ts, list(bytes) OVER h AS bs, list(packets::DOUBLE) OVER h AS ps FROM eb WINDOW h AS (PARTITION BY src, dport, era ORDER BY us, id ROWS 199 PRECEDING)),
-eg AS (SELECT *, list_filter(list_transform(range(1, len(ts)), lambda i: ts[i + 1] - ts[i]), lambda g: g >= 5 AND g <= 604800) AS g FROM eh),
-bc AS (SELECT *, len(ts) AS n, CASE WHEN len(g) >= 2 AND list_avg(g) > 0 THEN list_stddev_samp(g) / list_avg(g) END AS cv, CASE WHEN len(bs) >= 2 AND list_avg(bs) > 0 THEN list_stddev_samp(bs) / list_avg(bs) END AS bcv,
+eh AS (SELECT *, list(seconds) OVER h AS tl, list(bytes) OVER h AS bs, list(packets::DOUBLE) OVER h AS ps FROM eb WINDOW h AS (PARTITION BY src, dport, era ORDER BY us, id ROWS 199 PRECEDING)),
+eg AS (SELECT *, list_filter(list_transform(range(1, len(tl)), lambda i: tl[i + 1] - tl[i]), lambda g: g >= 5 AND g <= 604800) AS g FROM eh),
+bc AS (SELECT *, len(tl) AS n, CASE WHEN len(g) >= 2 AND list_avg(g) > 0 THEN list_stddev_samp(g) / list_avg(g) END AS cv, CASE WHEN len(bs) >= 2 AND list_avg(bs) > 0 THEN list_stddev_samp(bs) / list_avg(bs) END AS bcv,
   CASE WHEN len(ps) >= 2 THEN list_stddev_samp(ps) / list_avg(ps) END AS pcv FROM eg)"""
 
 
@@ -412,7 +412,7 @@ def _beacons(spark, d):
 
 @query(
     f"""WITH {BEACON_SQL} SELECT id, n AS connections, CASE WHEN n >= 5 THEN round(list_avg(g), 4) END AS mean, CASE WHEN n >= 5 THEN round(list_median(g), 4) END AS median, CASE WHEN n >= 5 THEN round(cv, 6) END AS cv, CASE WHEN n >= 5 THEN round(greatest(0e0, least(1e0, 1 - cv / 0.6e0)), 6) END AS periodicity,
-  CASE WHEN n >= 5 THEN len(g) END AS gaps, CASE WHEN n >= 5 THEN round(bcv, 6) END AS byte_cv, CASE WHEN n >= 5 THEN round(pcv, 6) END AS pkt_cv, CASE WHEN n >= 5 THEN round(ts[len(ts)] - ts[1], 4) END AS span FROM bc"""
+  CASE WHEN n >= 5 THEN len(g) END AS gaps, CASE WHEN n >= 5 THEN round(bcv, 6) END AS byte_cv, CASE WHEN n >= 5 THEN round(pcv, 6) END AS pkt_cv, CASE WHEN n >= 5 THEN round(tl[len(tl)] - tl[1], 4) END AS span FROM bc"""
 )
 def beacon_features(spark, d):
     four = lambda c: F.round(c, 4)
@@ -491,10 +491,11 @@ def det_ddos_fused(spark, d):
 y AS (SELECT id, n, CASE WHEN p0 >= 0.1 THEN p0 ELSE 0e0 END AS p, q, z FROM x),
 f AS (SELECT *, 0.4e0 * p + 0.25e0 * q + 0.2e0 * z AS score, (p > 0.5)::INT + (q > 0.5)::INT + (z > 0.5)::INT AS st, greatest(p, q, z) AS top FROM y),
 c AS (SELECT *, least(1e0, CASE WHEN st >= 3 THEN 0.55e0 + 0.15e0 * st WHEN st = 2 THEN list_avg(list_filter([p, q, z], lambda v: v > 0.1)) * 0.85e0 WHEN st = 1 THEN top * 0.65e0 ELSE top * 0.35e0 END) AS conf FROM f)
-SELECT id, CASE WHEN n >= 5 THEN round(score, 6) ELSE 0e0 END AS score, CASE WHEN n >= 5 THEN round(conf, 6) ELSE 0e0 END AS confidence, NOT (n >= 5 AND score >= 0.35 AND conf >= 0.45) AS suppressed, CASE WHEN n >= 5 AND top >= 0.15 THEN CASE top WHEN p THEN 'Periodic_Beacon' WHEN q THEN 'Repeated_Connection' ELSE 'Uniform_Size' END END AS sub_type FROM c"""
+SELECT id, CASE WHEN n >= 5 THEN round(score, 4) ELSE 0e0 END AS score, CASE WHEN n >= 5 THEN round(conf, 4) ELSE 0e0 END AS confidence, NOT (n >= 5 AND score >= 0.35 AND conf >= 0.45) AS suppressed, CASE WHEN n >= 5 AND top >= 0.15 THEN CASE top WHEN p THEN 'Periodic_Beacon' WHEN q THEN 'Repeated_Connection' ELSE 'Uniform_Size' END END AS sub_type FROM c"""
 )
 def det_c2(spark, d):
-    return _result(detectors.c2_beacon(_beacons(spark, d), name="r"), "r").drop("severity")
+    out = detectors.c2_beacon(_beacons(spark, d), name="r")
+    return out.select("id", F.round("r.detection_score", 4).alias("score"), F.round("r.confidence", 4).alias("confidence"), F.col("r.sub_type").alias("sub_type"), F.col("r.is_suppressed").alias("suppressed"))
 
 
 @query(
