@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import config
 from ..functions import lexical, scoring, stats
 from ..operators import alerts as A
@@ -14,6 +15,7 @@ from ..operators import baselines, detectors, evaluation, features, flows, model
 from ..sources import logs, pcap, sinks
 from ..storage import fresh_dir
 from ..streaming import stateful
+from . import pipeline
 from .views import ADDRESSES, ALERTS, HOSTS, OBS, addresses, alerts, hosts, observations, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,11 +493,11 @@ def det_ddos_fused(spark, d):
 y AS (SELECT id, n, CASE WHEN p0 >= 0.1 THEN p0 ELSE 0e0 END AS p, q, z FROM x),
 f AS (SELECT *, 0.4e0 * p + 0.25e0 * q + 0.2e0 * z AS score, (p > 0.5)::INT + (q > 0.5)::INT + (z > 0.5)::INT AS st, greatest(p, q, z) AS top FROM y),
 c AS (SELECT *, least(1e0, CASE WHEN st >= 3 THEN 0.55e0 + 0.15e0 * st WHEN st = 2 THEN list_avg(list_filter([p, q, z], lambda v: v > 0.1)) * 0.85e0 WHEN st = 1 THEN top * 0.65e0 ELSE top * 0.35e0 END) AS conf FROM f)
-SELECT id, CASE WHEN n >= 5 THEN round(score, 4) ELSE 0e0 END AS score, CASE WHEN n >= 5 THEN round(conf, 4) ELSE 0e0 END AS confidence, NOT (n >= 5 AND score >= 0.35 AND conf >= 0.45) AS suppressed, CASE WHEN n >= 5 AND top >= 0.15 THEN CASE top WHEN p THEN 'Periodic_Beacon' WHEN q THEN 'Repeated_Connection' ELSE 'Uniform_Size' END END AS sub_type FROM c"""
+SELECT id, CASE WHEN n >= 5 THEN round(score, 8) ELSE 0e0 END AS score, CASE WHEN n >= 5 THEN round(conf, 8) ELSE 0e0 END AS confidence, NOT (n >= 5 AND score >= 0.35 AND conf >= 0.45) AS suppressed, CASE WHEN n >= 5 AND top >= 0.15 THEN CASE top WHEN p THEN 'Periodic_Beacon' WHEN q THEN 'Repeated_Connection' ELSE 'Uniform_Size' END END AS sub_type FROM c"""
 )
 def det_c2(spark, d):
     out = detectors.c2_beacon(_beacons(spark, d), name="r")
-    return out.select("id", F.round("r.detection_score", 4).alias("score"), F.round("r.confidence", 4).alias("confidence"), F.col("r.sub_type").alias("sub_type"), F.col("r.is_suppressed").alias("suppressed"))
+    return out.select("id", F.round("r.detection_score", 8).alias("score"), F.round("r.confidence", 8).alias("confidence"), F.col("r.sub_type").alias("sub_type"), F.col("r.is_suppressed").alias("suppressed"))
 
 
 @query(
@@ -692,6 +694,19 @@ def correlation_incidents(spark, d):
     return found.select("incident_id", "first_seen", "last_seen", "sources", "destinations", "detectors", "potential_progression", "alert_count", r6("correlation_strength").alias("strength"))
 
 
+def _packet_events(spark, d) -> DataFrame:
+    e = addresses(observations(spark, d))
+    none = {"ip_version": "int", "dns": schemas.DNS, "tls": schemas.TLS, "aggregated_duration": "double", "aggregated_packet_count": "long", "aggregated_byte_count": "long"}
+    return e.withColumns({**{c: F.lit(None).cast(t) for c, t in none.items()}, "timestamp": F.col("seconds"), "is_aggregated": F.lit(False)})
+
+
+@query()
+def end_to_end_alerts(spark, d):
+    """Packets to alerts: flows, all features and all detectors."""
+    found = pipeline.detect(_packet_events(spark, d), config(flow={"windows": (10, 60, 3600)}, recon={"min_connections": 2, "fan": 2, "pairs": 2, "subnets": 2}))
+    return found.select("id", "threat_class", "sub_type", "severity", r6("detection_score").alias("score"), r6("confidence").alias("confidence"), "source_ip", "destination_ip")
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------------------
 
 
