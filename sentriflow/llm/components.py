@@ -20,34 +20,32 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
     return edges.join(least, F.expr("u ^ 1") == F.col("_u")).drop("_u")
 
 
+def _pairs(edges: DataFrame, *ends: tuple) -> DataFrame:
+    """For each row, the edges of the given (u, v) columns; one pass, however many there are."""
+    e = F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends]))
+    return edges.select(e.alias("e")).select("e.u", "e.v").filter("u != v")
+
+
 def _step(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = (
-        _with_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u != v").distinct()
-    )
-    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    joined = _with_minimum(down)
-    return joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+    large = _with_minimum(_pairs(edges, ("u", "v"), ("v", "u"))).filter("v > u")
+    down = large.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u != v").distinct()
+    return _pairs(_with_minimum(down), ("u", "m"), ("v", "m")).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, which hangs on nothing."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(0).alias("n"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.n").alias("up"), F.min("e.n").alias("least"))
+    return nodes.filter("up > 1 OR (up = 1 AND least = 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (u, v: longs); the component is the smallest node reachable."""
-    now = materialize(
-        edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
-    )
-    state = _state(now)
+    now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     for _ in range(max_steps):
-        if state[0] == 0:
-            break
         now = materialize(_step(now), "cc")
-        last, state = state, _state(now)
-        if state == last:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return row[0], int(row[1] or 0)
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
+    raise RuntimeError(f"components didn't settle in {max_steps} steps")

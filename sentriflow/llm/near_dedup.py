@@ -7,10 +7,9 @@ Coordinates of two sets agree with a probability equal to their similarity, conc
 
 Banding: `BANDS` hashes of `ROWS` coordinates; at similarity 0.85 a pair shares no band with probability 3e-10, at 0.8 1.4e-7.
 
-Equal sets are one class from the start. Pairs are then never enumerated within a bucket: every member is compared
-with one centre, the member that shares most buckets; classes that are linked leave the bucket. After
-`STAR_ROUNDS` rounds of this, what still lies in different components of one bucket is compared in full, so no link
-that decides a component is lost. Each comparison intersects the whole shingle sets.
+Equal sets are one class from the start. Every member of a bucket is then compared with one centre, the member that shares most
+buckets, and buckets whose members are all joined are done. What shares the other buckets is compared in full, in pairs of blocks of
+bounded size, so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list of all pairs is ever made.
 """
 
 from __future__ import annotations
@@ -28,7 +27,8 @@ from .text import U, lower_ascii, mix64, slices, word_hashes, words
 
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
-STAR_ROUNDS = 2
+#: Documents in a block when the rest of a cluster is compared in full.
+BLOCK = 800
 _ROUND_BLOCK = 8
 
 
@@ -120,14 +120,16 @@ def _verify(percent: int):
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(_id, _set) of the documents whose id is in column _e, and of a few more that the bitmap lets through."""
+    bitmap = key_bitmap(ids.select(F.xxhash64("_e").alias("_h")), "_h")
+    wanted = flag_in_bitmap(docs.withColumn("_h", F.xxhash64("_id")), "_h", bitmap, "_in").filter("_in")
+    return wanted.select("_id", "_text").mapInArrow(_sets(k), "_id long, _set binary")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (u, v) of ids, those that are similar on full sets."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("_e")).select(F.xxhash64("_e").alias("_h"))
-    wanted = flag_in_bitmap(docs.withColumn("_h", F.xxhash64("_id")), "_h", key_bitmap(ends, "_h"), "_in").filter("_in")
-    sets = wanted.select("_id", "_text").mapInArrow(_sets(k), "_id long, _set binary")
-    # a repeated id gives the same set again only if its text repeats; one row per id is enough here
-    sets = materialize(sets.join(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), "_id", "left_semi"), "near-sets")
-    sets = sets.dropDuplicates(["_id"])
+    sets = materialize(_sets_of(pairs.select(F.explode(F.array("u", "v")).alias("_e")), docs, k), "near-sets")
     left = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u")
     both = left.join(sets.select(F.expr("_id ^ 1").alias("_w"), F.col("_set").alias("_b")), F.expr("v ^ 1") == F.col("_w"))
     return both.select("u", "v", "_a", "_b").mapInArrow(_verify(percent), "u long, v long")
@@ -162,44 +164,15 @@ def near_duplicates(
     degree = rows.groupBy("_rep").agg(F.sum("_count").alias("_degree"))
     rows = materialize(rows.join(degree, "_rep").drop("_count"), "near-members")
 
-    links, labels, tried = None, None, None
-    open_rows = rows
-    for _ in range(STAR_ROUNDS):
-        centre = open_rows.groupBy("_h").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"), "_n")).alias("_c"))
-        centre = centre.select(F.expr("_h ^ 1").alias("_g"), (-F.col("_c._minus")).alias("_centre"), F.col("_c._n").alias("_m"))
-        pairs = open_rows.join(centre, F.expr("_h ^ 1") == F.col("_g")).filter("_rep != _centre")
-        pairs = _candidates(pairs, "_rep", "_n", "_centre", "_m", percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_linked(pairs, docs, k, percent), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        rows_now = _labelled(rows, labels)
-        # buckets that lie in one component are done; others go on without the component of their centre
-        done = _labelled(centre.select(F.expr("_g ^ 1").alias("_h"), F.col("_centre").alias("_rep")), labels).select(
-            F.expr("_h ^ 1").alias("_g"), F.col("_component").alias("_done")
-        )
-        mixed = rows_now.groupBy("_h").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo != _hi")
-        rows = materialize(
-            rows_now.join(mixed.select(F.expr("_h ^ 1").alias("_g")), F.expr("_h ^ 1") == F.col("_g"), "left_semi"), "near-open"
-        )
-        open_rows = rows.join(done, F.expr("_h ^ 1") == F.col("_g")).filter("_component != _done").drop("_g", "_done")
-        rows = rows.select("_rep", "_n", "_h", "_degree")
-        open_rows = materialize(open_rows.select("_rep", "_n", "_h", "_degree"), "near-rest")
-        if rows.isEmpty():
-            break
-    if labels is not None and not rows.isEmpty():
-        left = _labelled(rows, labels)
-        right = left.select(F.col("_rep").alias("_rep2"), F.col("_n").alias("_n2"), "_h", F.col("_component").alias("_component2"))
-        pairs = left.join(right, "_h").filter("_component != _component2 AND _rep < _rep2")
-        pairs = materialize(_candidates(pairs, "_rep", "_n", "_rep2", "_n2", percent).join(tried, ["u", "v"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            links = links.unionByName(materialize(_linked(pairs, docs, k, percent), "near-links"))
-            labels = connected_components(links)
+    centre = rows.groupBy("_h").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"), "_n")).alias("_c"))
+    centre = centre.select(F.expr("_h ^ 1").alias("_g"), (-F.col("_c._minus")).alias("_rep2"), F.col("_c._n").alias("_n2"))
+    pairs = rows.join(centre, F.expr("_h ^ 1") == F.col("_g")).filter("_rep != _rep2")
+    links = materialize(_linked(materialize(_candidates(pairs, percent), "near-pairs"), docs, k, percent), "near-links")
+    labels = connected_components(links) if not links.isEmpty() else None
+    rest = _unsettled(rows, labels)
+    if not rest.isEmpty():
+        links = links.unionByName(materialize(_compare_rest(rest, docs, k, percent), "near-links"))
+        labels = connected_components(links) if not links.isEmpty() else None
     classes = classes.select(F.expr("_k1 ^ 1").alias("_j1"), F.col("_k2").alias("_j2"), "_rep")
     if labels is not None:
         classes = classes.join(labels, F.col("_rep") == F.col("node"), "left").withColumn("_rep", F.coalesce("component", "_rep"))
@@ -216,16 +189,87 @@ def near_duplicates(
     )
 
 
-def _candidates(pairs: DataFrame, a: str, na: str, b: str, nb: str, percent: int) -> DataFrame:
-    """Distinct (u, v), u < v, whose sizes allow the similarity."""
-    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    return pairs.filter(sizes).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (u, v), u < v, of (_rep, _n) and (_rep2, _n2) whose sizes allow the similarity."""
+    sizes = F.least("_n", "_n2") * 100 >= F.greatest("_n", "_n2") * percent
+    return pairs.filter(sizes).select(F.least("_rep", "_rep2").alias("u"), F.greatest("_rep", "_rep2").alias("v")).distinct()
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("_component", F.col("_rep"))
     return rows.join(labels, F.col("_rep") == F.col("node"), "left").withColumn("_component", F.coalesce("component", "_rep")).drop("node", "component")
 
 
+def _unsettled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    rows = _labelled(rows, labels)
+    mixed = rows.groupBy("_h").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo != _hi")
+    mixed = mixed.select(F.expr("_h ^ 1").alias("_g"))
+    return materialize(rows.join(mixed, F.expr("_h ^ 1") == F.col("_g")).drop("_g"), "near-open")
+
+
+def _compare_rest(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) enough to join what is linked, among ids that share a bucket directly or over others.
+
+    Such a cluster is cut into blocks by a hash of the id, and each two blocks (and each with itself) are one group: its sets are
+    intersected all at once as a matrix product, and only a tree of each component comes out.
+    """
+    least = rest.groupBy("_h").agg(F.min("_rep").alias("_to")).select(F.expr("_h ^ 1").alias("_g"), "_to")
+    hops = rest.join(least, F.expr("_h ^ 1") == F.col("_g")).select(F.col("_rep").alias("u"), F.col("_to").alias("v"))
+    members = materialize(connected_components(hops), "near-clusters")
+    blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")).select(F.expr("component ^ 1").alias("_c"), "_k")
+    dealt = members.join(blocks, F.expr("component ^ 1") == F.col("_c")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    keys = dealt.select("node", "component", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    held = _sets_of(members.select(F.col("node").alias("_e")), docs, k)
+    grouped = keys.join(held, F.col("node") == F.col("_id")).groupBy("component", "_i", "_j")
+    return grouped.applyInArrow(_block_links(percent), "u long, v long")
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        # a repeated id has repeated sets; one of each is enough
+        ids, first = np.unique(table["node"].to_numpy(), return_index=True)
+        sets = [np.frombuffer(v.as_buffer(), U) for v in table["_set"].combine_chunks().take(pa.array(first))]
+        u, v = tree_of_links(sets, percent)
+        return pa.table({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[v], pa.int64())})
+
+    return run
+
+
+def tree_of_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that join all sets which are linked, by exact intersections of all with all."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(m), size.astype(np.int64))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((m, m), np.float32)
+    width = max(int(np.sum(count > 1)), 1)
+    for a in range(0, width, 2048):
+        x, y = np.searchsorted(column, (a, a + 2048))
+        part = np.zeros((m, 2048), np.float32)
+        part[owner[x:y], column[x:y] - a] = 1
+        both += part @ part.T
+    linked = 100.0 * both >= percent * (size[:, None] + size[None, :] - both)
+    root, nodes, roots = np.full(m, -1), [], []
+    for i in range(m):
+        if root[i] >= 0:
+            continue
+        root[i], front = i, np.array([i])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(0) & (root < 0))
+            root[front] = i
+            nodes.append(front)
+            roots.append(np.full(len(front), i))
+    return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df` that stay, one document of each component, with their columns."""
     dropped = near_duplicates(df, id_col, text_col, k, percent).filter("NOT kept").select(F.col(id_col).alias("_dropped")).distinct()
