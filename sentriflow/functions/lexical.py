@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stats import entropy
+from .stats import entropy, let
 
 # Protocol numbers, DNS types and codes, TLS versions and flag bits of the formats.
 PROTOCOLS = {6: "TCP", 17: "UDP", 1: "ICMP", 58: "ICMPv6"}
@@ -38,9 +38,12 @@ def string_entropy(s: Column) -> Column:
 
 def ngrams(s: Column, n: int = 3) -> Column:
     """The n-grams of a text in lower case; none if it is shorter."""
-    low = F.lower(F.coalesce(s, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substr(low, i, F.lit(n)))
-    return F.when(F.length(low) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(low: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substr(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return let(F.lower(F.coalesce(s, F.lit(""))), grams)
 
 
 def ngram_entropy(s: Column, n: int = 3) -> Column:
@@ -50,8 +53,8 @@ def ngram_entropy(s: Column, n: int = 3) -> Column:
 
 def ngram_count_entropy(s: Column, n: int = 3) -> Column:
     """Entropy of how often n-grams occur: 0 if all occur equally often. The detectors' thresholds are for this one."""
-    g = ngrams(s, n)
-    return entropy(F.transform(F.array_distinct(g), lambda v: F.size(F.filter(g, lambda x: x == v))))
+    counts = lambda g: F.transform(F.array_distinct(g), lambda v: F.size(F.filter(g, lambda x: x == v)))
+    return entropy(let(ngrams(s, n), counts))
 
 
 def bare_name(qname: Column) -> Column:
