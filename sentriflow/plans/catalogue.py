@@ -493,11 +493,11 @@ def det_ddos_fused(spark, d):
 y AS (SELECT id, n, CASE WHEN p0 >= 0.1 THEN p0 ELSE 0e0 END AS p, q, z FROM x),
 f AS (SELECT *, 0.4e0 * p + 0.25e0 * q + 0.2e0 * z AS score, (p > 0.5)::INT + (q > 0.5)::INT + (z > 0.5)::INT AS st, greatest(p, q, z) AS top FROM y),
 c AS (SELECT *, least(1e0, CASE WHEN st >= 3 THEN 0.55e0 + 0.15e0 * st WHEN st = 2 THEN list_avg(list_filter([p, q, z], lambda v: v > 0.1)) * 0.85e0 WHEN st = 1 THEN top * 0.65e0 ELSE top * 0.35e0 END) AS conf FROM f)
-SELECT id, CASE WHEN n >= 5 THEN round(score, 8) ELSE 0e0 END AS score, CASE WHEN n >= 5 THEN round(conf, 8) ELSE 0e0 END AS confidence, NOT (n >= 5 AND score >= 0.35 AND conf >= 0.45) AS suppressed, CASE WHEN n >= 5 AND top >= 0.15 THEN CASE top WHEN p THEN 'Periodic_Beacon' WHEN q THEN 'Repeated_Connection' ELSE 'Uniform_Size' END END AS sub_type FROM c"""
+SELECT id, CASE WHEN n >= 5 THEN round(score, 10) ELSE 0e0 END AS score, CASE WHEN n >= 5 THEN round(conf, 10) ELSE 0e0 END AS confidence, NOT (n >= 5 AND score >= 0.35 AND conf >= 0.45) AS suppressed, CASE WHEN n >= 5 AND top >= 0.15 THEN CASE top WHEN p THEN 'Periodic_Beacon' WHEN q THEN 'Repeated_Connection' ELSE 'Uniform_Size' END END AS sub_type FROM c"""
 )
 def det_c2(spark, d):
     out = detectors.c2_beacon(_beacons(spark, d), name="r")
-    return out.select("id", F.round("r.detection_score", 8).alias("score"), F.round("r.confidence", 8).alias("confidence"), F.col("r.sub_type").alias("sub_type"), F.col("r.is_suppressed").alias("suppressed"))
+    return out.select("id", F.round("r.detection_score", 10).alias("score"), F.round("r.confidence", 10).alias("confidence"), F.col("r.sub_type").alias("sub_type"), F.col("r.is_suppressed").alias("suppressed"))
 
 
 @query(
