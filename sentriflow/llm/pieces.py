@@ -12,6 +12,7 @@ of more than `LONG` symbols go through a heap, one by one.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -286,18 +287,30 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
 
 
 def summarise(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids_crc32, decoded_sha256, lossless) of encoded rows, after decoding them."""
+    """(id, n_tokens, ids_crc32, decoded_sha256, lossless) of encoded rows, after decoding them.
+
+    Decoding and the digests are one step, so that a task needs two Python workers (with the encoder's), not more.
+    """
     kind = dict(encoded.dtypes)[id_col]
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [zlib.crc32(v.values.to_numpy().astype("<u4").tobytes()) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in batch.column(1)], pa.int64()), pa.array(raw, pa.int64()), *batch.columns[2:]], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
-
-    back = decode(encoded, model=model)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = back.select(F.col(id_col).alias("_id"), "tokens", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("lossless"))
-    out = rows.mapInArrow(crc, f"_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+            rows = []
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                lists = part.column(2)
+                first = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                tokens = lists.flatten().to_numpy().astype("<u4")
+                for text, back, x, y in zip(part.column(1), decode_slice(vocabulary.value, tokens, first), first[:-1], first[1:]):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    rows.append((int(y - x), zlib.crc32(tokens[x:y].tobytes()), hashlib.sha256(back).hexdigest(), raw == back))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+
+    rows = encoded.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), "tokens")
+    out = rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
