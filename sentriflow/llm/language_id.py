@@ -33,9 +33,14 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def ngram_buckets(data: np.ndarray) -> np.ndarray:
-    """The bucket of the n-gram that starts at each byte, spaces put around."""
-    b = np.concatenate((np.full(1, 32, np.uint8), _FOLD[data], np.full(N - 1, 32, np.uint8))).astype(np.uint32)
+def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The buckets of the n-grams of each text: as many as it has bytes, from the byte before each, with spaces put around.
+
+    Those of text i are at offsets[i] + i (N - 1) and after; so many spaces lie between two texts that no n-gram has bytes of both.
+    """
+    size = np.diff(offsets)
+    b = np.full(len(data) + (N - 1) * len(size) + 1, 32, np.uint32)
+    b[np.arange(1, len(data) + 1) + np.repeat((N - 1) * np.arange(len(size)), size)] = _FOLD[data]
     code = b[: len(b) - N + 1].copy()
     for j in range(1, N):
         code = (code << np.uint32(8)) | b[j : len(b) - N + 1 + j]
@@ -43,12 +48,11 @@ def ngram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def document_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets and their counts, per text; n-grams don't cross texts."""
+    """Distinct buckets and their counts, per text; n-grams don't cross texts, so equal texts have equal counts."""
     for _, _, data, offsets in slices(column):
-        grams = ngram_buckets(data)
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            own = grams[a : max(a, b - N + 2)] if b - a >= N else ngram_buckets(data[a:b])[: max(0, b - a)]
-            counts = np.bincount(own, minlength=BUCKETS)
+        grams = ngram_buckets(data, offsets)
+        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            counts = np.bincount(grams[a + i * (N - 1) : b + i * (N - 1)], minlength=BUCKETS)
             at = np.flatnonzero(counts)
             yield at, counts[at].astype(np.float64)
 

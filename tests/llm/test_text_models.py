@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sentriflow.llm import language_id, toxicity
 
@@ -34,6 +35,25 @@ def test_language_of_odd_rows(odd, nothing, texts):
     assert {r["doc_id"] for r in language_id.keep_known(odd).collect()} == set(texts) - {1, 2, 3}
 
 
+def test_language_does_not_depend_on_neighbours(spark, sf):
+    import pyarrow as pa
+
+    texts = ["häuser", "a", "", None, "zz", "häuser", "calles", "x y", "häuser"]
+    together = list(language_id.document_counts(pa.array(texts, pa.string())))
+    for text, got in zip(texts, together):
+        alone = next(language_id.document_counts(pa.array([text], pa.string())))
+        assert all(np.array_equal(x, y) for x, y in zip(got, alone))
+        assert got[1].sum() == len((text or "").encode())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs, "text", "lang", "doc_id")
+    words = [w for r in docs.limit(20).collect() for w in r["text"].split()[:30]]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got, shuffled = (sorted(language_id.identify(d, model).collect()) for d in (df.coalesce(1), df.repartition(7).orderBy(F.rand(1))))
+    assert got == shuffled
+    by_text = {}
+    assert all(by_text.setdefault(words[r["doc_id"]], r[1:]) == r[1:] for r in got)
+
+
 def test_toxic_documents_are_flagged_and_clean_ones_are_not(spark, sf):
     sf = sf.replace("0.001", "0.01")
     bad = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
