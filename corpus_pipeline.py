@@ -13,7 +13,7 @@ from sentriflow.llm.common import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without letters go."""
+    """Documents whose language can be told; null texts, texts without letters and texts that no mixture of the learned languages explains go."""
     return language_id.keep_known(docs)
 
 

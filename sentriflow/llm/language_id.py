@@ -23,6 +23,10 @@ MAX_TRAIN_ROWS = 60_000
 SMOOTHING = 0.5
 #: A language is added if it raises the log-likelihood by more than this times log(n-grams).
 PENALTY = 8.0
+#: A text's language can't be told if its mixture makes its n-grams less likely than equal chances for all buckets, by this much per n-gram (natural logarithm).
+UNTOLD = -2.0
+#: Texts with fewer n-grams aren't judged by their likelihood.
+MIN_NGRAMS = 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -105,6 +109,15 @@ class Model:
             share, best = found[1], found[2]
         return dict(zip(chosen, share.tolist()))
 
+    def knows(self, at: np.ndarray, counts: np.ndarray) -> bool:
+        """Whether the text is likely enough under its mixture: `UNTOLD` or more per n-gram against a background of equal chances."""
+        total = counts.sum()
+        if not self.languages or total < MIN_NGRAMS:
+            return True
+        share = self.proportions(at, counts)
+        mixed = np.array(list(share.values())) @ self.p[np.ix_(list(share), at)]
+        return bool(np.log(mixed * BUCKETS) @ counts >= UNTOLD * total)
+
     @staticmethod
     def _em(p: np.ndarray, counts: np.ndarray, share: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
         total = counts.sum()
@@ -177,15 +190,20 @@ def held_out(row_id):
 
 
 def keep_known(df: DataFrame) -> DataFrame:
-    """The rows of `df` whose language can be told, with their columns; learned from the rows that have a language."""
-    model = train(df.filter(~held_out(F.col("doc_id"))), "text", "lang", "doc_id")
+    """The rows of `df` whose language can be told, with their columns; learned from all rows that have a language.
+
+    Null texts and texts without a letter go. Of the others, a text goes if the likeliest mixture of the learned languages fits it worse than a
+    background model in which all n-grams have equal chances (`Model.knows`), such as one in a script that no labelled row has. Texts of fewer than `MIN_NGRAMS`
+    n-grams stay, as do all if no row has a language; the fewer n-grams there are to learn from (some millions are enough), the fewer texts go.
+    """
+    model = train(df, "text", "lang", "doc_id")
     schema = df.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
             known = [
-                bool(t.is_valid and _LETTER.search(t.as_py()) and model.proportions(*c)) for t, c in zip(texts, document_counts(texts))
+                bool(t.is_valid and _LETTER.search(t.as_py()) and model.knows(*c)) for t, c in zip(texts, document_counts(texts))
             ]
             yield batch.filter(pa.array(known, pa.bool_()))
 

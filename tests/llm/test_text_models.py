@@ -54,6 +54,22 @@ def test_language_does_not_depend_on_neighbours(spark, sf):
     assert all(by_text.setdefault(words[r["doc_id"]], r[1:]) == r[1:] for r in got)
 
 
+def test_stage_drops_what_no_language_explains(spark, sf, odd, texts):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    russian = "Всем привет, это русский текст, которого модель не знает, и ещё немного слов. "
+    chinese = "这是一个模型不认识的中文句子，还有更多的文字在这里。"
+    extra = [(-1, russian * 3, None), (-2, chinese * 3, None), (-3, "привет", None), (-4, "12 34 " * 20, None)]
+    both = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language_id.keep_known(both).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {-3}
+    # nothing to learn from, or only from rows that are held out elsewhere
+    some = set(texts) - {1, 2, 3}
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    held = odd.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "en"))
+    for df in (unlabelled, held):
+        assert {r["doc_id"] for r in language_id.keep_known(df).collect()} == some
+
+
 def test_toxic_documents_are_flagged_and_clean_ones_are_not(spark, sf):
     sf = sf.replace("0.001", "0.01")
     bad = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
