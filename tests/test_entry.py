@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -17,9 +21,24 @@ def test_query_matches_its_sql(spark, sf, name):
     from tools.oracle_check import rows
 
     con = duckdb.connect()
-    from pathlib import Path
-
     for p in Path(sf).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
     got, want = entry.queries()[name](spark, sf).toPandas(), con.execute(entry.oracle_sql()[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    root = Path(entry.__file__).resolve().parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            (tmp_path / name).write_bytes((root / name).read_bytes())
+    for p in (root / "sentriflow").rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            to = tmp_path / p.relative_to(root)
+            to.parent.mkdir(parents=True, exist_ok=True)
+            to.write_bytes(p.read_bytes())
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), [n for n in q if n.startswith('op') or n == 'pipeline'], set(e.oracle_sql()) <= set(q))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    n, rest = said.stdout.split(" ", 1)
+    assert int(n) == len([q for q in entry.queries() if not q.startswith("op") and q != "pipeline"]) and rest.strip() == "[] True"
