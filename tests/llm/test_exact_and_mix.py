@@ -26,12 +26,19 @@ def test_dropping_copies_keeps_columns(odd):
     assert {r["doc_id"] for r in kept.collect()} == set(range(1, 17)) - {2, 7}
 
 
-def test_carried_digest(odd, texts):
-    from pyspark.sql import functions as F
-
-    rows = exact_dedup.exact_dedup(odd, carry={"h": F.sha2(F.col("_norm").cast("binary"), 256)}).collect()
-    for r in rows:
-        assert r["h"] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", texts[r["doc_id"]] or "").encode()).hexdigest()
+def test_digest(odd, texts):
+    for r in exact_dedup.exact_dedup(odd).collect():
+        assert r["text_sha256"] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_dropping_copies_of_clashing_names_null_and_repeated_ids(spark):
+    rows = [(1, "a b", 0, 0), (1, "a  b", 0, 1), (1, "c", 0, 2), (2, "a b", 0, 3), (None, "c", 0, 4), (None, "d", 0, 5), (None, "d", 0, 6), (3, None, 0, 7), (4, "", 0, 8), (5, "e", 0, 9), (5, "e", 0, 10)]
+    names = "doc_id long, text string, _dropped int, n int, _id string, _row int, _in int, _maybe int, _key int, _gone int, _hit int"
+    df = spark.createDataFrame([(*r, "x", 1, 1, 1, 1, 1, 1) for r in rows], names).repartition(3)
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    norm = sorted((str(r["doc_id"]), re.sub(" +", " ", r["text"] or "")) for r in kept.collect())
+    assert norm == sorted([("1", "a b"), ("1", "c"), ("None", "d"), ("3", ""), ("5", "e")])
 
 
 def water_fill(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
