@@ -1,7 +1,8 @@
 """Token ids of a byte-level tokenizer for whole slices of texts, by a memory of pieces.
 
-The byte-level pattern always begins a new token at white space that follows something else than white space. A text is therefore cut
-there, and each piece (white space, then a word) has the same ids wherever it occurs. Pieces are kept with their ids in a hash table of arrays:
+The byte-level pattern always begins a new token at white space that follows something else than white space, and where ASCII or Latin-1 letters, ASCII digits
+and ASCII marks follow one another (but for a letter after an apostrophe, which may be a contraction). A text is therefore cut
+there, and each piece has the same ids wherever it occurs. Pieces are kept with their ids in a hash table of arrays:
 the pieces of a slice are looked up at once, and only pieces not seen before go to the tokenizers library. Texts in which
 the rule may not hold go to the library as a whole.
 """
@@ -15,13 +16,33 @@ from .text import U, mix64, slices
 
 #: 64-bit words of a key: pieces of up to 32 bytes lie in the table, longer ones in a dictionary.
 KEY_WORDS = 4
-_SLOTS = 1 << 21
-#: Pieces that a worker remembers at most; beyond them it starts anew.
-MAX_PIECES = 700_000
+_SLOT_BITS = 22
+_SLOTS = 1 << _SLOT_BITS
+#: Pieces that a worker remembers at most (some 150 MB); beyond them it starts anew.
+MAX_PIECES = 2_000_000
 SLICE_BYTES = 4 << 20
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, 9, 10, 11, 12, 13]] = True
+# classes of bytes; 0: unknown, no cut beside it
+_LETTER, _DIGIT, _MARK, _WHITE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[[32, 9, 10, 11, 12, 13]] = _WHITE
+_APOSTROPHE = 39
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where a token certainly begins, but for the first byte."""
+    kind = _CLASS[data]
+    # two bytes from U+00C0 to U+00FF are a letter, but for the signs of multiplication and division
+    latin = np.flatnonzero(data[:-1] == 0xC3)
+    latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    out = np.zeros(len(data), bool)
+    here, before = kind[1:], kind[:-1]
+    out[1:] = (here != before) & (((here == _WHITE) | (here > 0) & (before > 0) & (before != _WHITE)) & ~((here == _LETTER) & (data[:-1] == _APOSTROPHE)))
+    return out
 
 
 class PieceEncoder:
@@ -35,8 +56,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.slot = np.full(_SLOTS, -1, np.int32)
         self.keys = np.zeros((1 << 16, KEY_WORDS), U)
-        self.size = np.zeros(1 << 16, np.int32)
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.size, self.first, self.count = (np.zeros(1 << 16, np.int32) for _ in range(3))
         self.ids, self.used, self.n = np.zeros(1 << 18, self.kind), 0, 0
         self.long: dict[bytes, int] = {}
 
@@ -65,7 +85,7 @@ class PieceEncoder:
         h = sizes.astype(U)
         for j in range(KEY_WORDS):
             h = mix64(h ^ keys[:, j])
-        return (h >> U(64 - 21)).astype(np.int64)
+        return (h >> U(64 - _SLOT_BITS)).astype(np.int64)
 
     def _find(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of each piece, or -1."""
@@ -82,10 +102,12 @@ class PieceEncoder:
         return out
 
     def _insert(self, numbers: np.ndarray) -> None:
-        for number, at in zip(numbers.tolist(), self._home(self.keys[numbers], self.size[numbers]).tolist()):
-            while self.slot[at] >= 0:
-                at = (at + 1) % _SLOTS
-            self.slot[at] = number
+        at = self._home(self.keys[numbers], self.size[numbers])
+        while len(numbers):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = numbers[free]  # of several that want a slot, one gets it
+            left = self.slot[at] != numbers
+            numbers, at = numbers[left], (at[left] + 1) % _SLOTS
 
     def _numbers(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each piece of a slice, new ones included."""
@@ -129,9 +151,7 @@ class PieceEncoder:
         rows = len(offsets) - 1
         if len(data) == 0:
             return np.zeros(0, self.kind), np.zeros(rows + 1, np.int64)
-        white = _WHITE[data]
-        begins = np.zeros(len(data), bool)
-        begins[1:] = white[1:] & ~white[:-1]
+        begins = cuts(data)
         heads = offsets[:-1][np.diff(offsets) > 0]
         begins[heads] = True
         start = np.flatnonzero(begins)
@@ -143,7 +163,7 @@ class PieceEncoder:
             plain[odd] = False
             start, size, of = start[plain[of]], size[plain[of]], of[plain[of]]
         number = self._numbers(data, start, size)
-        count = self.count[number]
+        count = self.count[number].astype(np.int64)
         per_row = np.bincount(of, weights=count, minlength=rows).astype(np.int64)
         whole = self._library([data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in odd.tolist()]) if len(odd) else []
         per_row[odd] = [len(w) for w in whole]

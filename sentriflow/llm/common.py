@@ -16,6 +16,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 MIN_BITS, MAX_BITS = 1 << 22, 1 << 28
 BITS_PER_KEY = 32
 _SLICE = 1 << 15
+#: Partitions over which lists of files are dealt out, at most.
+MAX_TASKS = 20_000
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A list of files (a written table) dealt out to a task each, or evenly to `MAX_TASKS`; left to itself, Spark would put short rows into one task."""
+    return files.repartition(max(1, min(MAX_TASKS, files.count())))
 
 
 def unused(df: DataFrame, stem: str) -> str:
@@ -108,5 +115,5 @@ def once_each(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Dat
 
 __all__ = [
     "SPACES", "WORD_PATTERN", "bitmap_bits", "collapse_spaces", "flag_in_bitmap", "fresh_dir", "key_bitmap", "materialize", "once_each", "row_key",
-    "shared_dir", "split_by_keys", "unused", "without_rows", "word_count",
+    "shared_dir", "split_by_keys", "spread", "unused", "without_rows", "word_count",
 ]

@@ -12,7 +12,6 @@ BLOCK_BITS bits and starts with the ones before it, so that a rank reads one blo
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, materialize
+from .byte_bpe import PieceEncoder
+from .common import fresh_dir, materialize, spread
 from .files import Sink, open_read
 
 MAGIC = b"WVMTRX1\n"
@@ -31,8 +31,6 @@ BLOCK_BITS = 1 << 18
 #: A shard is closed once it has so many ids; a document is never cut.
 SHARD_IDS = 4_000_000
 END_ID = 0
-#: Words whose ids a worker remembers, about twice so many.
-CACHE_WORDS = 600_000
 
 
 def write_shard(out, ids: np.ndarray, doc_ids: list, doc_ends: list[int]) -> None:
@@ -165,67 +163,48 @@ class Shard:
         return now
 
 
-_SPACE_PAIR = re.compile("[\\s\x85\u180e\u200b] ")
+_encoders: dict[str, PieceEncoder] = {}
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer of the `tokenizers` library, word by word with a memory of words.
+def _default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
-    The byte-level pattern always begins a new piece at a space that follows something else than white space, so such a text is its words,
-    each with the space before it. Texts in which that may not hold go to the library as a whole.
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, bounds: list[int] | None = None) -> DataFrame:
+    """(_id, _range, width, ids): each text's ids as little-endian integers of `width` bytes, without an end id, and how many of `bounds` the id has passed.
+
+    Null and empty texts have no ids. Texts are read where they lie; only ids move on.
     """
+    path, edges = tokenizer or _default_tokenizer(), np.array(bounds or [], np.int64)
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        pieces = self.tokenizer.get_vocab()
-        self.after_space = np.zeros(max(pieces.values()) + 1, bool)
-        # U+0120 is how byte-level vocabularies write a space
-        self.after_space[[i for p, i in pieces.items() if p[:1] == "\u0120"]] = True
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words, each with a space before it: they are encoded as one text and cut where a space begins a piece."""
-        at_end = [w for w in words if w[-1].isspace()]
-        self.known.update(zip(at_end, self._whole([" " + w for w in at_end])))
-        words = [w for w in words if not w[-1].isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words) if words else ""], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(self.after_space[ids])
-        if len(cut) != len(words) or (len(cut) and cut[0] != 0):
-            raise ValueError("a word didn't begin with a space of its own")
-        raw, edges = ids.tobytes(), [*(cut * 4).tolist(), len(ids) * 4]
-        self.known.update(zip(words, map(raw.__getitem__, map(slice, edges, edges[1:]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [t.split(" ") if "<|" not in t and not _SPACE_PAIR.search(t) else None for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        new = set().union(*(p[1:] for p in plain if p)) - self.known.keys()
-        seen = new & self.older.keys()
-        self.known.update(zip(seen, map(self.older.__getitem__, seen)))
-        if new := list(new - seen - {""}):
-            self._learn(new)
-        if "" not in self.known:  # a space at the end of a text
-            self.known[""] = self._whole([" "])[0]
-        heads = iter(self._whole([p[0] for p in plain if p]))
-        others = iter(self._whole([t for t, p in zip(texts, plain) if not p]))
-        get = self.known.__getitem__
-        return [next(heads) + b"".join(map(get, p[1:])) if p else next(others) for p in plain]
-
-
-_encoders: dict[str, WordEncoder] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path not in _encoders:
+            _encoders[path] = PieceEncoder(path)
+        encoder = _encoders[path]
+        width = encoder.kind.itemsize
+        for batch in batches:
+            for a, b, ids, first in encoder.encode(batch.column(1)):
+                own = batch.column(0).slice(a, b - a)
+                span = np.searchsorted(edges, own.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
+                flat = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([own, pa.array(span), pa.array(np.full(b - a, width, np.int32)), flat], ["_id", "_range", "width", "ids"])
 
-def _default_tokenizer() -> str:
-    import public_tokenizers
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, "_id long, _range int, width int, ids binary")
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+
+def _bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
+    """At most `parts` - 1 ids that part the rows about evenly."""
+    if parts < 2:
+        return []
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = df.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, F.lit(max(10_000, 10 * parts))).alias("q")).first()["q"]
+    return sorted(set(found or []))
 
 
 def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -233,57 +212,69 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row per shard: part and shard (their order is the documents' order), path, n_docs, n_ids and start (ids in all shards before). The path of
     the tokenizer must be readable on every executor. Null and empty texts have the end id alone; a null id comes first;
-    rows that repeat an id follow each other. An empty table gives no shard. Other columns are ignored.
+    rows that repeat an id follow each other, in the order of their ids' bytes. A very long text is one document of one shard, which it may
+    make longer than `shard_ids`. An empty table gives no shard. Other columns are ignored.
     """
     spark = df.sparkSession
-    folder, path = fresh_dir(spark, "wavelet"), tokenizer or _default_tokenizer()
+    folder = fresh_dir(spark, "wavelet")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, shard = TaskContext.get().partitionId(), 0
-        encoder = _encoders.setdefault(path, WordEncoder(path))
-        end = np.array([END_ID], "<u4").tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list = []
         ends: list[int] = []
 
         def close() -> pa.RecordBatch:
             sink = Sink(folder, f"part-{part:05d}-{shard:04d}", ".wvm")
-            write_shard(sink, np.frombuffer(b"".join(held), "<u4"), doc_ids, ends)
+            write_shard(sink, np.concatenate(held), doc_ids, ends)
             sink.close()
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": sink.uri, "n_docs": len(ends), "n_ids": ends[-1]}], _MANIFEST)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                texts = [t or "" for t in batch.column(1).slice(a, 500).to_pylist()]
-                for i, raw in zip(batch.column(0).slice(a, 500).to_pylist(), encoder.encode(texts)):
-                    held.append(raw + end)
-                    doc_ids.append(i)
-                    ends.append((ends[-1] if ends else 0) + len(raw) // 4 + 1)
-                    if ends[-1] >= shard_ids:
-                        yield close()
-                        held, doc_ids, ends, shard = [], [], [], shard + 1
+            width = batch.column(1)[0].as_py() if batch.num_rows else 4
+            raw = batch.column(2).cast(pa.large_binary())
+            edge = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            size = np.diff(edge) // width
+            # an end id after each document
+            ids = np.full(int(size.sum()) + len(size), END_ID, f"<u{width}")
+            ids[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]].view(f"<u{width}")
+            after = np.cumsum(size + 1)
+            names, row = batch.column(0).to_pylist(), 0
+            while row < len(names):
+                before = int(after[row - 1]) if row else 0
+                base = ends[-1] if ends else 0
+                stop = min(len(names), int(np.searchsorted(after, before + shard_ids - base, "left")) + 1)
+                held.append(ids[before : after[stop - 1]])
+                doc_ids += names[row:stop]
+                ends += (after[row:stop] - before + base).tolist()
+                row = stop
+                if ends[-1] >= shard_ids:
+                    yield close()
+                    held, doc_ids, ends, shard = [], [], [], shard + 1
         if ends:
             yield close()
 
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id")
+    # as many ranges as the session has shuffle partitions; the bounds are found without the texts
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = encode(df, id_col, text_col, tokenizer, _bounds(df, id_col, parts))
+    ordered = encoded.repartitionById(parts, "_range").drop("_range").sortWithinPartitions("_id", "ids")
     shards = materialize(ordered.mapInArrow(run, "part int, shard int, path string, n_docs long, n_ids long"), "wavelet-list")
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("_n"))
+    sums = sums.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     in_part = Window.partitionBy("part").orderBy("shard")
-    return shards.join(parts, "part").select("part", "shard", "path", "n_docs", "n_ids", (F.col("_before") + F.sum("n_ids").over(in_part) - F.col("n_ids")).alias("start"))
+    return shards.join(sums, "part").select("part", "shard", "path", "n_docs", "n_ids", (F.col("_before") + F.sum("n_ids").over(in_part) - F.col("n_ids")).alias("start"))
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """One row per document of the listed shards: doc_id, start (ids before it), n_tokens and ids (little-endian 32-bit)."""
+    """One row per document of the listed shards: doc_id, start (ids before it), n_tokens and ids (little-endian 32-bit).
+
+    Shards are dealt out one by one, so as many tasks read as there are shards (up to `MAX_TASKS`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +290,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return shards.select("path", "start").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread(shards.select("path", "start")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op10_token_wavelet(spark, sf_dir: str) -> DataFrame:

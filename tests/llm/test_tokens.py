@@ -4,8 +4,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from sentriflow.llm import pieces, wavelet
+from sentriflow.llm import byte_bpe, pieces, wavelet
 from sentriflow.llm.text import slices
 
 P = pytest.importorskip("public_tokenizers")
@@ -77,13 +79,39 @@ def test_wavelet_shard(n):
         s.access(n)
 
 
-def test_word_encoder_is_exact(texts):
+ODD_TEXTS = ["a  b", " a", "a ", "a \nb", "a\n b", "a\n \nb", "a  b", "don't\t x", "<|endoftext|> y", "b\n", "\n", "x\u00a0 y", "x\u00a0\n z", "x\u2003 y", "\u3000 y", "it's 'tis x''s 5's!'s", "a1b2!c?d,e.f", "caf\u00e9! \u00d7\u00f7x \u0153uvre\u2026 \u201cq\u201d.", "a\u0301b", "x\u00b2 9\u00b2", "\x1c \x00a", "w" * 33 + " " + "v" * 90]
+
+
+def library_ids(tokenizer, docs):
+    return [tokenizer.encode(d, add_special_tokens=False).ids for d in docs]
+
+
+def piece_ids(encoder, docs):
+    return [ids[x:y].tolist() for _, _, ids, first in encoder.encode(pa.array(docs, pa.string())) for x, y in zip(first[:-1], first[1:])]
+
+
+def test_piece_encoder_is_exact(texts, spark, sf, monkeypatch):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    lib, mine = Tokenizer.from_file(path), wavelet.WordEncoder(path)
-    docs = [t or "" for t in texts.values()] + ["a  b", " a", "a ", "a \nb", "a\n b", "a\n \nb", "a  b", "don't\t x", "<|endoftext|> y", "b\n", "\n"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(docs)] == [lib.encode(d, add_special_tokens=False).ids for d in docs]
+    lib, mine = Tokenizer.from_file(path), byte_bpe.PieceEncoder(path)
+    docs = [t or "" for t in texts.values()] + ODD_TEXTS + [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    want = library_ids(lib, docs)
+    assert piece_ids(mine, docs) == want and piece_ids(mine, docs) == want
+    monkeypatch.setattr(byte_bpe, "MAX_PIECES", 50)
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 300)
+    assert piece_ids(mine, docs[:60]) == want[:60]
+
+
+@given(st.lists(st.text("ab'sZ1!&. \n\t\u00e9\u00d7\u00a0\u2026\u0301<|>", max_size=12), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_piece_encoder_on_any_text(docs):
+    path = P.path("byte_bpe_50k.json")
+    mine = _kept.setdefault(path, byte_bpe.PieceEncoder(path))
+    assert piece_ids(mine, docs) == library_ids(mine.tokenizer, docs)
+
+
+_kept: dict = {}
 
 
 def test_shards_round_trip(odd, nothing, texts):
@@ -97,3 +125,8 @@ def test_shards_round_trip(odd, nothing, texts):
         assert (got[i]["start"], got[i]["n_tokens"], zlib.crc32(got[i]["ids"])) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert wavelet.read_documents(wavelet.write_shards(nothing)).collect() == []
+
+
+def test_readers_get_a_task_per_shard(odd):
+    shards = wavelet.write_shards(odd, shard_ids=200)
+    assert shards.count() > 4 and wavelet.read_documents(shards).rdd.getNumPartitions() == shards.count()
