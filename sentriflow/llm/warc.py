@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flag_in_bitmap, fresh_dir, key_bitmap, materialize
+from .common import bitmap_bits, flag_in_bitmap, fresh_dir, key_bitmap, materialize, spread
 from .files import Sink, open_read
 
 VERSION = b"WARC/1.1"
@@ -109,13 +109,14 @@ def inflate(file) -> Iterator[bytes]:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(_id, _url, _payload, _sha1, _refers_to): of equal payloads of `min_bytes` or more, all but the largest id refer to it.
 
-    Only payloads that may repeat, by a bitmap of their digests, are shuffled.
+    Only payloads that may repeat, by a bitmap of their digests, are shuffled. A null payload is empty, and a null id refers to the largest id of its payload.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("_payload"))
     rows = rows.withColumn("_sha1", F.sha1("_payload")).withColumn("_k", F.xxhash64("_sha1"))
     seen = rows.filter(F.octet_length("_payload") >= min_bytes)
     groups = materialize(seen.groupBy("_sha1").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_sha1", "_last"), "warc-groups")
-    marked = flag_in_bitmap(rows, "_k", key_bitmap(groups.select(F.xxhash64("_sha1").alias("_k")), "_k"), "_maybe")
+    bits = bitmap_bits(groups.count())
+    marked = flag_in_bitmap(rows, "_k", key_bitmap(groups.select(F.xxhash64("_sha1").alias("_k")), "_k", bits), "_maybe", bits)
     once = marked.filter("NOT _maybe").withColumn("_refers_to", F.lit(None).cast("long"))
     again = marked.filter("_maybe").join(groups.withColumnRenamed("_sha1", "_of"), F.col("_sha1") == F.col("_of"), "left")
     refers = F.when((F.octet_length("_payload") >= min_bytes) & (F.col("_id").isNull() | (F.col("_id") < F.col("_last"))), F.col("_last"))
@@ -161,7 +162,8 @@ def write_monolithic(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 def normalise(archives: DataFrame, path_col: str = "path") -> DataFrame:
     """Rewrite each gzip archive with a member per record and a sidecar index; returns (path, index_path, n_records, bytes).
 
-    Reads each file once from start to end. The index has a JSON line per record: offset, length, id, type, uri.
+    Reads each file once from start to end, a task for each (up to `MAX_TASKS`). The index has a JSON line per record: offset, length, id, type, uri. A task
+    holds one record at a time, however long. A file that isn't gzip, or whose last record is cut off, fails the job. An empty list gives an empty one.
     """
     folder = fresh_dir(archives.sparkSession, "warc")
 
@@ -182,24 +184,24 @@ def normalise(archives: DataFrame, path_col: str = "path") -> DataFrame:
                 index.close()
                 yield pa.RecordBatch.from_pylist([{"path": out.uri, "index_path": index.uri, "n_records": n, "bytes": out.size}], _NORMALISED)
 
-    rows = archives.select(path_col).repartition(F.col(path_col))
-    return materialize(rows.mapInArrow(run, "path string, index_path string, n_records long, bytes long"), "warc-list")
+    return materialize(spread(archives.select(path_col)).mapInArrow(run, "path string, index_path string, n_records long, bytes long"), "warc-list")
 
 
 _NORMALISED = pa.schema([("path", pa.string()), ("index_path", pa.string()), ("n_records", pa.int64()), ("bytes", pa.int64())])
 
 
 def read_index(archives: DataFrame) -> DataFrame:
-    """One row per record of normalised archives: path, offset, length, id, type, uri."""
+    """One row per record of normalised archives (a written table): path, offset, length, id, type, uri; archives are dealt out one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, index in zip(*(c.to_pylist() for c in batch.columns)):
                 with open_read(index) as f:
                     lines = [json.loads(x) | {"path": path} for x in f.read().splitlines()]
-                yield pa.RecordBatch.from_pylist(lines, _INDEX)
+                for a in range(0, len(lines), 5000):
+                    yield pa.RecordBatch.from_pylist(lines[a : a + 5000], _INDEX)
 
-    return archives.select("path", "index_path").mapInArrow(run, "path string, offset long, length long, id string, type string, uri string")
+    return spread(archives.select("path", "index_path")).mapInArrow(run, "path string, offset long, length long, id string, type string, uri string")
 
 
 _INDEX = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("id", pa.string()), ("type", pa.string()), ("uri", pa.string())])
