@@ -7,13 +7,15 @@ Coordinates of two sets agree with a probability equal to their similarity, conc
 
 Banding: `BANDS` hashes of `ROWS` coordinates; at similarity 0.85 a pair shares no band with probability 3e-10, at 0.8 1.4e-7.
 
-Equal sets are one class from the start. Every member of a bucket is then compared with one centre, the member that shares most
-buckets, and buckets whose members are all joined are done. What shares the other buckets is compared in full, in pairs of blocks of
-bounded size, so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list of all pairs is ever made.
+Equal sets (by SHA-256 of the whole sorted set) are one class from the start. In a round, each bucket's members are compared with one centre, the member
+that shares most buckets; the centre then leaves the bucket, as all its links there are known, and buckets whose members are all joined are done.
+After `ROUNDS` rounds, the members of each bucket that is still open are compared in full, in pairs of blocks of bounded bytes and of sizes that allow a link,
+so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list of all pairs is ever made.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flag_in_bitmap, key_bitmap, materialize
+from .common import bitmap_bits, flag_in_bitmap, key_bitmap, materialize, row_key, without_rows
 from .components import connected_components
 from .text import U, lower_ascii, mix64, slices, word_hashes, words
 
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
-#: Documents in a block when the rest of a cluster is compared in full.
-BLOCK = 800
+#: Rounds with a new centre per open bucket.
+ROUNDS = 3
+#: Documents in a block, and shingles of all of them (8 bytes each), when the rest of a bucket is compared in full.
+BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 _ROUND_BLOCK = 8
 
 
@@ -82,15 +86,14 @@ def _bands(s: np.ndarray) -> np.ndarray:
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, k1, k2, bands = batch.column(0), [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            n, digests, bands = [], [], []
+            for s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
-                k1.append(int(mix64(s).sum(dtype=U).view(np.int64)))
-                k2.append(int(mix64(s ^ U(0xABCDEF)).sum(dtype=U).view(np.int64)))
+                digests.append(hashlib.sha256(s).digest())
                 bands.append(_bands(sketch(s)).view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["_id", "n_shingles", "_k1", "_k2", "_bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["_id", "_row", "n_shingles", "_digest", "_bands"],
             )
 
     return run
@@ -121,15 +124,17 @@ def _verify(percent: int):
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(_id, _set) of the documents whose id is in column _e, and of a few more that the bitmap lets through."""
-    bitmap = key_bitmap(ids.select(F.xxhash64("_e").alias("_h")), "_h")
-    wanted = flag_in_bitmap(docs.withColumn("_h", F.xxhash64("_id")), "_h", bitmap, "_in").filter("_in")
+    """(_id, _set) of the documents whose id is in column _e of a written table, and of a few more that the bitmap lets through."""
+    bits = bitmap_bits(ids.count())
+    bitmap = key_bitmap(ids.select(F.xxhash64("_e").alias("_h")), "_h", bits)
+    wanted = flag_in_bitmap(docs.withColumn("_h", F.xxhash64("_id")), "_h", bitmap, "_in", bits).filter("_in")
     return wanted.select("_id", "_text").mapInArrow(_sets(k), "_id long, _set binary")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (u, v) of ids, those that are similar on full sets."""
-    sets = materialize(_sets_of(pairs.select(F.explode(F.array("u", "v")).alias("_e")), docs, k), "near-sets")
+    ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_e")).distinct(), "near-ends")
+    sets = materialize(_sets_of(ends, docs, k), "near-sets")
     left = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u")
     both = left.join(sets.select(F.expr("_id ^ 1").alias("_w"), F.col("_set").alias("_b")), F.expr("v ^ 1") == F.col("_w"))
     return both.select("u", "v", "_a", "_b").mapInArrow(_verify(percent), "u long, v long")
@@ -142,17 +147,23 @@ def near_duplicates(
 
     A-Z are lower-cased and words are runs of other than white space. Two documents are linked when their sets of
     distinct `k`-word shingles have 100 * intersection >= `percent` * union. A text with fewer than k words
-    is one shingle; null, empty and blank texts have an empty set, n_shingles 0 and no links. Ids are
-    expected to be unique; rows that repeat an id with other text share that id's component. An empty table gives an empty
-    result. Other columns of `df` are ignored, whatever their names.
+    is one shingle; null, empty and blank texts have an empty set, n_shingles 0 and no links. A text of any length is one set of one row. Ids are
+    expected to be unique; rows that repeat an id with other text share that id's component. A row with a null id is linked with nothing: its
+    component_id is null and it is kept. An empty table gives an empty result. Other columns of `df` are ignored, whatever their names.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    all_docs = materialize(
-        docs.mapInArrow(_sketches(k), "_id long, n_shingles long, _k1 long, _k2 long, _bands array<long>"), "near-sketches"
+    return _components(df, id_col, text_col, k, percent).select(
+        F.col("_id").alias(id_col), "n_shingles", F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept")
     )
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(_id, _row, n_shingles, _component) of each row of `df`."""
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
+    all_docs = materialize(docs.mapInArrow(_sketches(k), "_id long, _row long, n_shingles long, _digest binary, _bands array<long>"), "near-sketches")
+    docs = docs.filter("_id IS NOT NULL")
     classes = materialize(
-        all_docs.filter("n_shingles > 0")
-        .groupBy("_k1", "_k2")
+        all_docs.filter("n_shingles > 0 AND _id IS NOT NULL")
+        .groupBy("_digest")
         .agg(F.min("_id").alias("_rep"), F.first("n_shingles").alias("_n"), F.first("_bands").alias("_bands")),
         "near-classes",
     )
@@ -164,29 +175,32 @@ def near_duplicates(
     degree = rows.groupBy("_rep").agg(F.sum("_count").alias("_degree"))
     rows = materialize(rows.join(degree, "_rep").drop("_count"), "near-members")
 
-    centre = rows.groupBy("_h").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"), "_n")).alias("_c"))
-    centre = centre.select(F.expr("_h ^ 1").alias("_g"), (-F.col("_c._minus")).alias("_rep2"), F.col("_c._n").alias("_n2"))
-    pairs = rows.join(centre, F.expr("_h ^ 1") == F.col("_g")).filter("_rep != _rep2")
-    links = materialize(_linked(materialize(_candidates(pairs, percent), "near-pairs"), docs, k, percent), "near-links")
-    labels = connected_components(links) if not links.isEmpty() else None
-    rest = _unsettled(rows, labels)
-    if not rest.isEmpty():
-        links = links.unionByName(materialize(_compare_rest(rest, docs, k, percent), "near-links"))
+    links, labels = None, None
+    for _ in range(ROUNDS):
+        centre = rows.groupBy("_h").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"), "_n")).alias("_c"))
+        centre = centre.select(F.expr("_h ^ 1").alias("_g"), (-F.col("_c._minus")).alias("_rep2"), F.col("_c._n").alias("_n2"))
+        met = rows.join(centre, F.expr("_h ^ 1") == F.col("_g")).filter("_rep != _rep2")
+        met = materialize(_labelled(met, labels), "near-met")
+        pairs = materialize(_candidates(_apart(met, labels), percent), "near-pairs")
+        found = materialize(_linked(pairs, docs, k, percent), "near-links")
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links) if not links.isEmpty() else None
+        # the centres have met all of their buckets
+        rows = _unsettled(met.select("_rep", "_n", "_h", "_degree"), labels)
+        if rows.isEmpty():
+            break
+    else:
+        links = links.unionByName(materialize(_compare_rest(rows, docs, k, percent), "near-links"))
         labels = connected_components(links) if not links.isEmpty() else None
-    classes = classes.select(F.expr("_k1 ^ 1").alias("_j1"), F.col("_k2").alias("_j2"), "_rep")
+    classes = classes.select(F.expr("concat(_digest, X'')").alias("_of"), "_rep")
     if labels is not None:
         classes = classes.join(labels, F.col("_rep") == F.col("node"), "left").withColumn("_rep", F.coalesce("component", "_rep"))
-    classes = materialize(classes.select("_j1", "_j2", "_rep"), "near-final")
-    known = all_docs.select("_id", "n_shingles", "_k1", "_k2")
-    out = known.filter("n_shingles > 0").join(classes, (F.expr("_k1 ^ 1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
-    out = out.select("_id", "n_shingles", F.coalesce("_rep", "_id").alias("_component"))
-    out = out.unionByName(known.filter("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("_component")))
-    return out.select(
-        F.col("_id").alias(id_col),
-        "n_shingles",
-        F.col("_component").alias("component_id"),
-        F.col("_id").eqNullSafe(F.col("_component")).alias("kept"),
-    )
+    classes = materialize(classes.select("_of", "_rep"), "near-final")
+    linked = F.expr("n_shingles > 0 AND _id IS NOT NULL")
+    known = all_docs.select("_id", "_row", "n_shingles", "_digest")
+    out = known.filter(linked).join(classes, F.expr("concat(_digest, X'')") == F.col("_of"), "left")
+    out = out.select("_id", "_row", "n_shingles", F.coalesce("_rep", "_id").alias("_component"))
+    return out.unionByName(known.filter(~linked).select("_id", "_row", "n_shingles", F.col("_id").alias("_component")))
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
@@ -196,35 +210,60 @@ def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with _component, that of _rep."""
     if labels is None:
         return rows.withColumn("_component", F.col("_rep"))
     return rows.join(labels, F.col("_rep") == F.col("node"), "left").withColumn("_component", F.coalesce("component", "_rep")).drop("node", "component")
 
 
+def _apart(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of members and centres that aren't in one component yet."""
+    if labels is None:
+        return met
+    own = labels.select(F.expr("node ^ 1").alias("_node"), F.col("component").alias("_component2"))
+    return met.join(own, F.expr("_rep2 ^ 1") == F.col("_node"), "left").filter("_component != coalesce(_component2, _rep2)")
+
+
 def _unsettled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
+    """The rows of buckets that hold more than one component; of buckets with the same members, one."""
     rows = _labelled(rows, labels)
-    mixed = rows.groupBy("_h").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo != _hi")
-    mixed = mixed.select(F.expr("_h ^ 1").alias("_g"))
-    return materialize(rows.join(mixed, F.expr("_h ^ 1") == F.col("_g")).drop("_g"), "near-open")
+    mixed = rows.groupBy("_h").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi"), F.count(F.lit(1)).alias("_m"), F.sum(F.xxhash64("_rep") % (1 << 40)).alias("_s"), F.sum(F.xxhash64("_rep", F.lit(1)) % (1 << 40)).alias("_t"))
+    mixed = mixed.filter("_lo != _hi").groupBy("_m", "_s", "_t").agg(F.min("_h").alias("_h"))
+    return materialize(rows.join(mixed.select(F.expr("_h ^ 1").alias("_g")), F.expr("_h ^ 1") == F.col("_g")).drop("_g", "_component"), "near-open")
 
 
-def _compare_rest(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) enough to join what is linked, among ids that share a bucket directly or over others.
+def _compare_rest(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) enough to join what is linked among the members (_rep, _n) of each bucket _h.
 
-    Such a cluster is cut into blocks by a hash of the id, and each two blocks (and each with itself) are one group: its sets are
+    Members are put into classes of sizes a step of `percent` apart, so that links lie within a class or between two in a row. Each class of a bucket is cut into
+    blocks of bounded bytes by a hash of the id, and each two blocks (and each with itself) are one group: its sets are
     intersected all at once as a matrix product, and only a tree of each component comes out.
     """
-    least = rest.groupBy("_h").agg(F.min("_rep").alias("_to")).select(F.expr("_h ^ 1").alias("_g"), "_to")
-    hops = rest.join(least, F.expr("_h ^ 1") == F.col("_g")).select(F.col("_rep").alias("u"), F.col("_to").alias("v"))
-    members = materialize(connected_components(hops), "near-clusters")
-    blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")).select(F.expr("component ^ 1").alias("_c"), "_k")
-    dealt = members.join(blocks, F.expr("component ^ 1") == F.col("_c")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    keys = dealt.select("node", "component", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-    held = _sets_of(members.select(F.col("node").alias("_e")), docs, k)
-    grouped = keys.join(held, F.col("node") == F.col("_id")).groupBy("component", "_i", "_j")
-    return grouped.applyInArrow(_block_links(percent), "u long, v long")
+    step = 1.001 * max(float(np.log(100 / percent)), 0.001)
+    level = F.floor(F.log(F.col("_n").cast("double")) / F.lit(step)).cast("int")
+    rows = rows.select("_h", "_rep", "_n", level.alias("_l"))
+    sizes = rows.groupBy("_h", "_l").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("_k"))
+    sizes = materialize(sizes, "near-blocks")
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    # of each class: its own number of blocks, and those of the classes beside it
+    beside = sizes.select("_h", "_l", "_k").withColumn("_d", near).select("_h", (F.col("_l") + F.col("_d")).alias("_l"), F.col("_d"), "_k")
+    beside = beside.groupBy("_h", "_l").agg(*[F.max(F.when(F.col("_d") == d, F.col("_k"))).alias(name) for d, name in ((1, "_below"), (0, "_own"), (-1, "_above"))])
+    beside = materialize(beside.select(F.expr("_h ^ 1").alias("_g"), F.col("_l").alias("_m"), "_below", "_own", "_above"), "near-blocks")
+    dealt = rows.join(beside, (F.expr("_h ^ 1") == F.col("_g")) & (F.col("_l") == F.col("_m")))
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("_rep"), F.col("_own")).cast("int"))
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda l, i, j, up: F.struct(l.alias("l"), i.alias("i"), j.alias("j"), F.lit(up).alias("up"))
+    own, none = F.col("_b"), F.array().cast("array<struct<l:int,i:int,j:int,up:boolean>>")
+    groups = F.concat(
+        F.transform(span(F.col("_own")), lambda o: block(F.col("_l"), F.least(own, o), F.greatest(own, o), False)),
+        F.when(F.col("_above").isNotNull(), F.transform(span(F.col("_above")), lambda o: block(F.col("_l"), own, o, True))).otherwise(none),
+        F.when(F.col("_below").isNotNull(), F.transform(span(F.col("_below")), lambda o: block(F.col("_l") - 1, o, own, True))).otherwise(none),
+    )
+    keys = dealt.select("_h", "_rep", F.explode(groups).alias("_x")).select(F.col("_rep").alias("node"), "_h", "_x.*")
+    ends = materialize(rows.select(F.col("_rep").alias("_e")).distinct(), "near-ends")
+    held = materialize(_sets_of(ends, docs, k), "near-sets")
+    grouped = keys.join(held, F.col("node") == F.col("_id")).groupBy("_h", "l", "i", "j", "up")
+    return grouped.applyInArrow(_block_links(percent), "u long, v long").distinct()
 
 
 def _block_links(percent: int):
@@ -241,8 +280,8 @@ def _block_links(percent: int):
 def tree_of_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) that join all sets which are linked, by exact intersections of all with all."""
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.float64)
-    owner = np.repeat(np.arange(m), size.astype(np.int64))
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(m), size)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
     number = np.cumsum(count > 1) - 1
@@ -256,7 +295,9 @@ def tree_of_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
         part = np.zeros((m, 2048), np.float32)
         part[owner[x:y], column[x:y] - a] = 1
         both += part @ part.T
-    linked = 100.0 * both >= percent * (size[:, None] + size[None, :] - both)
+    # counts stay below 2**24, so they are whole in 32 bits
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     root, nodes, roots = np.full(m, -1), [], []
     for i in range(m):
         if root[i] >= 0:
@@ -271,9 +312,13 @@ def tree_of_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `df` that stay, one document of each component, with their columns."""
-    dropped = near_duplicates(df, id_col, text_col, k, percent).filter("NOT kept").select(F.col(id_col).alias("_dropped")).distinct()
-    return df.join(dropped, df[id_col] == F.col("_dropped"), "left_anti")
+    """The rows of `df` that stay, one document of each component, with their columns, whatever their names.
+
+    Decisions hold for an id with its text. Rows that repeat both stay as often as they came, and so do rows with a null id. Rows that repeat an id with other
+    texts share a component; all of them stay if the id is the smallest of it, else all go.
+    """
+    gone = _components(df, id_col, text_col, k, percent).filter("_id != _component").select("_id", "_row").distinct()
+    return without_rows(df, id_col, text_col, materialize(gone, "near-gone"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,17 @@ def test_nothing_and_dropping(odd, nothing):
     assert {9, 11, 7} & {r["doc_id"] for r in kept.collect()} == set()
 
 
+def test_null_and_repeated_ids_and_clashing_names(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, base, 1), (5, "another text of a few words here", 2), (7, base + " end", 3), (7, "yet another text of a few words", 4), (None, base, 5), (None, base, 6), (9, None, 7), (9, None, 8)]
+    names = "doc_id long, text string, n int, _dropped int, _row int, _id int, _in int, _digest int, kept int, node int, component int"
+    df = spark.createDataFrame([(*r, 1, 1, 1, 1, 1, 1, 1, 1) for r in rows], names).repartition(3)
+    found = near_dedup.near_duplicates(df).collect()
+    assert len(found) == len(rows) and {(r["component_id"], r["kept"]) for r in found if r["doc_id"] is None} == {(None, True)}
+    kept = near_dedup.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r["n"] for r in kept.collect()) == [1, 2, 5, 6, 7, 8]
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(5)
     pool = r.integers(0, 2**63, 3000).astype(np.uint64)
