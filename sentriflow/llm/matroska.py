@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Fixed values of the Matroska format: element ids
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, TIMESTAMP_SCALE = 0x18538067, 0x1549A966, 0x2AD7B1
@@ -277,7 +279,11 @@ def padded(text: bytes) -> bytes:
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text's UTF-8, padded, as a Matroska file. Null is empty; repeated rows give equal files."""
+    """(id, n_bytes, media): each text's UTF-8, padded, as a Matroska file in a table in the shared folder.
+
+    Null is empty; repeated rows give equal files; ids may be null or repeat. A very long text is one file of one row, written in clusters. An empty table gives
+    an empty one. Other columns are ignored, whatever their names.
+    """
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
@@ -287,7 +293,8 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield from _cut(((i.as_py(), n, m) for i, n, m in rows), ["_id", "n_bytes", "media"], [batch.column(0).type, pa.int64(), pa.binary()], 2)
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, n_bytes long, media binary").withColumnRenamed("_id", id_col)
+    stored = rows.mapInArrow(run, f"_id {kind}, n_bytes long, media binary")
+    return materialize(stored, "media", compression="zstd").withColumnRenamed("_id", id_col)
 
 
 PACKET_SCHEMA = "track int, timestamp_ns long, offset long, size int, keyframe boolean, lacing int, cluster int, cued boolean"
