@@ -16,7 +16,7 @@ DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TX
 DNS_CODES = {0: "NOERROR", 1: "FORMERR", 2: "SERVFAIL", 3: "NXDOMAIN", 5: "REFUSED"}
 TLS_13 = ("tls 1.3", "tlsv1.3", "tlsv13", "tls1.3")
 TLS_12 = ("tls 1.2", "tlsv1.2", "tlsv12", "tls1.2")
-TLS_OLD = ("tls 1.1", "tlsv1.1", "tlsv11", "tls1.1", "tls 1.0", "tlsv1.0", "tls1.0", "sslv3", "ssl 3.0", "sslv2")
+TLS_OLD = ("tls 1.0", "tls 1.1", "ssl 3.0", "ssl3.0", "tlsv1", "tlsv1.0", "tlsv1.1", "sslv3")
 FIN, SYN, RST, PSH, ACK, URG, ECE, CWR = 1, 2, 4, 8, 16, 32, 64, 128
 EMPTY_FIELDS = ("-", "(empty)", "")
 
@@ -71,25 +71,36 @@ def share_of(s: Column, pattern: str) -> Column:
 
 
 def subnet(ip: Column) -> Column:
-    """IPv4 as its /24, IPv6 as its /64, anything else unchanged. Nets of IPv6 are written in full groups."""
+    """IPv4 as its /24, IPv6 as its /64 in canonical short form, anything else unchanged."""
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     v4 = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
-    return F.when(ip.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), v4).when(ip.rlike(r"^[0-9A-Fa-f:]+$") & ip.contains(":"), _v6_net(ip)).otherwise(ip)
+    # an IPv4 address at the end stands for two groups, which aren't in the net
+    plain = F.regexp_replace(ip, rf"(?<=:){octet}(?:\.{octet}){{3}}$", "0:0")
+    return F.when(ip.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), v4).when(plain.rlike(r"^[0-9A-Fa-f:]+$") & ip.contains(":"), _v6_net(ip, plain)).otherwise(ip)
 
 
-def _v6_net(ip: Column) -> Column:
-    head, tail = F.substring_index(ip, "::", 1), F.when(ip.contains("::"), F.substring_index(ip, "::", -1)).otherwise("")
-    parts = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(parts(head)) - F.size(parts(tail))))
-    groups = F.slice(F.concat(parts(head), F.when(ip.contains("::"), zeros).otherwise(F.array().cast("array<string>")), parts(tail)), 1, 4)
-    short = F.transform(groups, lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", ""))
+def _v6_net(ip: Column, plain: Column) -> Column:
+    short_form = plain.contains("::")
+    head, tail = F.substring_index(plain, "::", 1), F.when(short_form, F.substring_index(plain, "::", -1)).otherwise("")
+    none = F.array().cast("array<string>")
+    parts = lambda s: F.when(s == "", none).otherwise(F.split(s, ":"))
     whole = F.size(parts(head)) + F.size(parts(tail))
-    valid = (F.size(groups) == 4) & F.when(ip.contains("::"), whole <= 7).otherwise(whole == 8)
-    return F.when(valid, F.concat(F.array_join(short, ":"), F.lit("::/64"))).otherwise(ip)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - whole))
+    groups = F.concat(parts(head), F.when(short_form, zeros).otherwise(none), parts(tail))
+    short = F.transform(F.slice(groups, 1, 4), lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", ""))
+    good = F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & ~plain.rlike("::.*::|:::") & F.when(short_form, whole <= 7).otherwise(whole == 8)
+    # the run of zeros at the end is the longest one, so the net's own zeros before it join it
+    return F.when(good, F.concat(F.regexp_replace(F.array_join(short, ":"), "(?:^|:)0(?::0)*$", ""), F.lit("::/64"))).otherwise(ip)
+
+
+def stripped(s: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
 def null_field(s: Column) -> Column:
-    return F.when(s.isin(*EMPTY_FIELDS), None).otherwise(s)
+    """A field of a log without white space around it; null for the marks of an empty field."""
+    return F.when(stripped(s).isin(*EMPTY_FIELDS), None).otherwise(stripped(s))
 
 
 def int_field(s: Column) -> Column:

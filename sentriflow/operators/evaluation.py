@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 CTU_PORTS = (80, 443, 6667, 8080, 8443)
 
 
@@ -57,13 +59,22 @@ def botnet_class(proto: Column, sport: Column, dport: Column, packets: Column, s
     )
 
 
+# Names of error causes.
+ZERO_DURATION = "zero duration"
+SPARSE_PACKETS = "sparse packet count"
+PERIODICITY = "periodicity boundary (insufficient connections)"
+WARM_UP = "schema incompatibility (synthetic short warmup traffic)"
+UNKNOWN_CAUSE = "unknown"
+
+
 def error_cause(detector: Column, kind: Column, length: Column, packets: Column) -> Column:
+    """Why a detector was wrong: the first of the causes that holds. Null durations and packet counts hold none."""
     return (
-        F.when(length == 0, "zero duration")
-        .when(packets <= 3, "sparse packets")
-        .when(detector == "C2_Beacon", "too few connections")
-        .when((detector == "EncryptedAnomaly") & (kind == "FP"), "warm-up traffic")
-        .otherwise("unknown")
+        F.when(length == 0, ZERO_DURATION)
+        .when(packets <= 3, SPARSE_PACKETS)
+        .when(detector == "C2_Beacon", PERIODICITY)
+        .when((detector == "Encrypted_Anomaly") & (kind == "FP"), WARM_UP)
+        .otherwise(UNKNOWN_CAUSE)
     )
 
 
@@ -105,3 +116,50 @@ def dataset_status(packets: Column, labels: Column, botnet: Column, normal: Colu
         .when((botnet + normal) > 0, "AVAILABLE")
         .otherwise("INSUFFICIENT_DATA")
     )
+
+
+# The roles of addresses in the demonstration capture; None stands for any address.
+DEMO_TRUTH = (
+    (r"^203\.0\.113\.", None, "DDoS"),
+    (r"^192\.168\.1\.50$", r"^103\.45\.67\.89$", "C2_Beacon"),
+    (r"^192\.168\.1\.50$", r"^10\.0\.0\.10$", "Reconnaissance"),
+    (None, r"^8\.8\.8\.8$", "DNS_DGA"),
+    (r"^192\.168\.1\.52$", None, "Encrypted_Anomaly"),
+    (r"^192\.168\.1\.53$", r"^103\.45\.67\.89$", "Exfiltration"),
+)
+
+
+def address_truth(source: Column, destination: Column, rules: tuple = DEMO_TRUTH, other: str = "Benign") -> Column:
+    """The class of the first rule (source pattern, destination pattern, class) that a flow's addresses match."""
+    out, matches = F.lit(other), lambda c, p: F.lit(True) if p is None else F.coalesce(c, F.lit("")).rlike(p)
+    for s, d, name in reversed(rules):
+        out = F.when(matches(source, s) & matches(destination, d), name).otherwise(out)
+    return out
+
+
+def composition(df: DataFrame, label: str) -> DataFrame:
+    """Rows of each class, and their share of all."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    # over a row per class
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def detector_counters(detections: DataFrame, detector: str = "detector", latency: str = "latency_ms", hit: str = "is_tp") -> DataFrame:
+    """Per detector: calls, mean latency, and true and false positives, which only calls with a verdict in `hit` count towards."""
+    return detections.groupBy(detector).agg(
+        F.count(F.lit(1)).alias("calls"), F.avg(F.coalesce(latency, F.lit(0.0))).alias("avg_latency_ms"), F.count_if(F.col(hit)).alias("true_positives"), F.count_if(~F.col(hit)).alias("false_positives")
+    )
+
+
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The area under the ROC curve: the share of pairs (positive, negative) in which the positive one scores higher, ties as half. Null without both classes.
+
+    Rows are summed by score first; running sums go over different scores in ranges of them, not over rows in one task.
+    """
+    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    counts = written(counts.repartitionByRange("s").sortWithinPartitions("s").withColumn("_part", F.spark_partition_id()), "roc")
+    parts = counts.groupBy("_part").agg(F.sum("q").alias("_q"))
+    parts = parts.select("_part", (F.sum("_q").over(Window.orderBy("_part")) - F.col("_q")).alias("_before"))
+    below = F.sum("q").over(Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q") + F.col("_before")
+    won = counts.join(F.broadcast(parts), "_part").withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    return won.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.try_divide(F.sum("w"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.stats import finite
 
@@ -138,12 +142,12 @@ def add_isolation_score(df: DataFrame, forest: IsolationForest | None, name: str
         return df.withColumn(name, F.lit(None).cast("double"))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        pdf = pd.DataFrame(dict(zip(BEACON_FEATURES, columns)))
-        return pd.Series(shared.value.score(beacon_matrix(pdf)))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pdf = pd.DataFrame({c: batch.column(batch.schema.names.index(c)).cast(pa.float64()).to_pandas() for c in BEACON_FEATURES})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(beacon_matrix(pdf)))], [*batch.schema.names, name])
 
-    return df.withColumn(name, score(*[F.col(c).cast("double") for c in BEACON_FEATURES]))
+    return df.mapInArrow(score, StructType([*df.schema.fields, StructField(name, DoubleType())]))
 
 
 class Registry:
@@ -166,9 +170,15 @@ class Registry:
     def _write(self, path: str, what: dict) -> None:
         self.spark.createDataFrame([(json.dumps(what),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
+    def _digest(self, name: str, version: str) -> str:
+        """One SHA-256 over the names and digests of a model's files, without Spark's own marks."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.folder}/{name}/{version}/model")
+        rows = files.select(F.substring_index("path", f"/{version}/model/", -1).alias("path"), F.sha2("content", 256).alias("digest")).orderBy("path")
+        return hashlib.sha256("".join(f"{r['path']}:{r['digest']};" for r in rows.collect()).encode()).hexdigest()
+
     def save(self, name: str, version: str, model, metrics: dict | None = None) -> None:
         model.write().overwrite().save(f"{self.folder}/{name}/{version}/model")
-        self._write(f"{self.folder}/{name}/{version}/manifest", {"name": name, "version": version, "schema": SCHEMA_VERSION, "class": type(model).__module__ + "." + type(model).__name__, "metrics": metrics or {}})
+        self._write(f"{self.folder}/{name}/{version}/manifest", {"name": name, "version": version, "schema": SCHEMA_VERSION, "class": type(model).__module__ + "." + type(model).__name__, "metrics": metrics or {}, "sha256": self._digest(name, version)})
 
     def promote(self, name: str, version: str) -> None:
         """Make a version the active one; the one before is kept for `rollback`."""
@@ -187,17 +197,36 @@ class Registry:
         self._write(f"{self.folder}/{name}/state", {"active": version, "before": state["before"]})
         return version
 
+    def status(self, name: str) -> str:
+        """NOT_AVAILABLE without an active version, INVALID_MANIFEST for another feature schema or none, INVALID if its files have changed, else VALID."""
+        state = self._read(f"{self.folder}/{name}/state")
+        if not state or not state["active"]:
+            return "NOT_AVAILABLE"
+        manifest = self._read(f"{self.folder}/{name}/{state['active']}/manifest")
+        if not manifest or manifest["schema"] != SCHEMA_VERSION or "sha256" not in manifest:
+            return "INVALID_MANIFEST"
+        return "VALID" if manifest["sha256"] == self._digest(name, state["active"]) else "INVALID"
+
     def load(self, name: str):
-        """The active model; None if there is none or it is for another feature schema."""
+        """The active model; None unless `status` says VALID, so that detectors fall back to their statistical scores."""
         from importlib import import_module
 
-        state = self._read(f"{self.folder}/{name}/state")
-        manifest = state and state["active"] and self._read(f"{self.folder}/{name}/{state['active']}/manifest")
-        if not manifest or manifest["schema"] != SCHEMA_VERSION:
+        if self.status(name) != "VALID":
             return None
+        state = self._read(f"{self.folder}/{name}/state")
+        manifest = self._read(f"{self.folder}/{name}/{state['active']}/manifest")
         module, cls = manifest["class"].rsplit(".", 1)
         if not module.startswith("pyspark.ml."):
             raise ValueError(f"not a Spark model: {manifest['class']}")
         return getattr(import_module(module), cls).load(f"{self.folder}/{name}/{state['active']}/model")
 
 
+
+
+def score_drift(scores: DataFrame, order: list[str], score: str = "model_score", by: list[str] | None = None, last: int = 10_000) -> DataFrame:
+    """Per model: the number, mean and spread of its last `last` scores, and how far their mean lies from that of all earlier ones, in spreads of these (null without)."""
+    by = by or []
+    ranked = scores.filter(F.col(score).isNotNull()).withColumn("_new", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])) <= last)
+    now, before = F.when(F.col("_new"), F.col(score)), F.when(~F.col("_new"), F.col(score))
+    out = ranked.groupBy(*by).agg(F.count(now).alias("n"), F.avg(now).alias("mean"), F.stddev(now).alias("std"), F.avg(before).alias("_m"), F.stddev(before).alias("_s"))
+    return out.withColumn("drift", F.try_divide(F.col("mean") - F.col("_m"), F.col("_s"))).drop("_m", "_s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 THREATS = ("DDoS", "Reconnaissance", "C2_Beacon", "DNS_DGA", "DNS_Tunnel", "EncryptedAnomaly", "Exfiltration")
@@ -84,3 +84,20 @@ def rates_per_minute(events: DataFrame, time: str = "ts", latency: str = "latenc
     """Tumbling one-minute rates and latency percentiles, as a metrics dashboard records them."""
     w = events.groupBy(F.window(time, "1 minute").alias("w")).agg((F.count(F.lit(1)) / 60.0).alias("per_second"), F.percentile_approx(latency, [0.95, 0.99]).alias("_p"))
     return w.select(F.col("w.start").alias("minute"), "per_second", F.get("_p", F.lit(0)).alias("p95"), F.get("_p", F.lit(1)).alias("p99"))
+
+
+def running_latency(rows: DataFrame, order: list[str], latency: str = "latency", by: list[str] | None = None, last: int = 1000) -> DataFrame:
+    """Per group: flows, the running latency average after its last row (0.9 old, 0.1 new; the first value sets it), and P50, P95 and P99 of the last `last` rows.
+
+    A row's share in the average is below the last place of a double after so many more, so the last ones give it whole; the percentile is the value at index
+    int(n * share) of the sorted ones.
+    """
+    by = by or []
+    ranked = rows.filter(F.col(latency).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])))
+    ring = ranked.filter(F.col("_r") <= last).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(latency).cast("double").alias("x")))).alias("_l"))
+    values = F.transform("_l", lambda e: e["x"])
+    mean = F.aggregate(F.slice(values, 2, last), F.get(values, F.lit(0)), lambda m, x: m * 0.9 + x * 0.1)
+    at = lambda q: F.get(F.array_sort(values), F.floor(F.size("_l") * q).cast("int"))
+    found = ring.select(*by, mean.alias("latency"), *[at(q / 100).alias(f"latency_p{q}") for q in (50, 95, 99)])
+    counts = rows.filter(F.col(latency).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("flows"))
+    return found.join(counts, by) if by else found.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k").drop("_k")

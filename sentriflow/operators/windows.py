@@ -1,61 +1,144 @@
 """Sliding windows over observations, per source and per destination.
 
 An observation is a row with src, dst, dport, bytes, packets, duration and `us` (microseconds, long). The window of a row holds the rows of
-its key from `width` seconds before it up to it, both ends included.
+its key from `width` seconds before it up to it, both ends included, with all rows of its own time.
 
 Rows of one key are cut into time slices as long as the widest window, and each slice gets a copy of the one before: a
-window never needs more. So a key that holds a third of all rows is many partitions, and all windows share one shuffle.
+window never needs more. So a key that holds a third of all rows is many partitions, and all windows share one shuffle. Spark's own sliding frames, and arrays
+of a window's values, would go over the whole window again for each row; here the slices of a partition, sorted by time, are columns of numbers in which the
+window's ends are found by search, and sums, different values and entropies follow from what enters and leaves: n log n for n rows, however dense.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.lexical import subnet
-from ..functions.stats import entropy, normalised_entropy
 
 SECOND = 1_000_000
-
-
-def sliding(df: DataFrame, keys: list[str], us: str, width: int, columns) -> DataFrame:
-    """`df` with the columns that `columns(window)` names; window(seconds) is the frame of the last so many seconds."""
-    slice_ = F.floor(F.col(us) / (width * SECOND))
+#: Rows that are worked on together, with whole slices.
+CHUNK_ROWS = 100_000
+
+
+class Frames:
+    """The windows of rows that lie by group and time: row i's holds the rows lo[i] to before hi[i]."""
+
+    def __init__(self, place: np.ndarray, group: np.ndarray, width: int):
+        self.lo, self.hi = np.searchsorted(place, place - width, "left"), np.searchsorted(place, place, "right")
+        self.group, self.n = group, self.hi - self.lo
+
+    def _codes(self, values: np.ndarray) -> np.ndarray:
+        return self.group * (int(values.max(initial=0)) + 2) + values + 1
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """Sums; NaN counts as 0."""
+        sums = np.concatenate(([0], np.cumsum(np.nan_to_num(values.astype(np.longdouble)))))
+        return (sums[self.hi] - sums[self.lo]).astype(float)
+
+    def distinct(self, values: np.ndarray) -> np.ndarray:
+        """Different values (codes from -1 up)."""
+        codes, n = self._codes(values), len(values)
+        order = np.argsort(codes, kind="stable")
+        same = codes[order][1:] == codes[order][:-1]
+        before, again = order[:-1][same], order[1:][same]
+        seen = np.concatenate(([0], np.cumsum(np.bincount(again, minlength=n))))
+        # a value that occurs again counts once, as soon as the one before has left
+        both = np.maximum(np.searchsorted(self.lo, before, "right"), np.searchsorted(self.hi, again, "right"))
+        return self.n - (seen[self.hi] - np.cumsum(np.bincount(both, minlength=n + 1))[:n])
+
+    def entropy(self, values: np.ndarray) -> np.ndarray:
+        """Shannon entropy in bits of the values (codes from -1 up)."""
+        codes, n, at = self._codes(values), len(values), np.arange(len(values))
+        when = np.concatenate((np.searchsorted(self.hi, at, "right"), np.searchsorted(self.lo, at, "right")))
+        step = np.repeat((1, -1), n)
+        order = np.lexsort((-step, when, np.concatenate((codes, codes))))
+        after = np.cumsum(step[order])  # each value's count; all that enters leaves, so the next value begins at 0
+        most = int(after.max(initial=0))
+        weigh = np.arange(most + 1) * np.log2(np.maximum(np.arange(most + 1), 1))
+        change = weigh[after] - weigh[after - step[order]]
+        held = np.cumsum(np.bincount(when[order], weights=change, minlength=n + 1).astype(np.longdouble))[:n].astype(float)
+        out = np.log2(self.n) - held / self.n
+        return np.where(out < 1e-12, 0.0, out)
+
+
+def _codes(column: pa.ChunkedArray, null=None) -> np.ndarray:
+    """The values as numbers from 0; null counts as the value `null`, or is -1."""
+    if null is not None:
+        column = column.fill_null(null if pa.types.is_string(column.type) else 0)
+    found = column.combine_chunks().dictionary_encode()
+    return found.indices.fill_null(-1).to_numpy().astype(np.int64)
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """The values as doubles; null is NaN."""
+    return column.cast(pa.float64()).fill_null(float("nan")).to_numpy()
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole slices with the number of each row's slice."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def numbered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        new = np.zeros(table.num_rows, bool)
+        for k in [*keys, "_slice"]:
+            code = _codes(table.column(k))
+            new[1:] |= code[1:] != code[:-1]
+        return table, np.cumsum(new)
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            table, group = numbered(pa.Table.from_batches(held).combine_chunks())
+            cut = int(np.searchsorted(group, group[-1], "left"))  # the last slice may go on
+            if cut:
+                yield table.slice(0, cut).combine_chunks(), group[:cut]
+                held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
+    if rows:
+        yield numbered(pa.Table.from_batches(held).combine_chunks())
+
+
+def sliding(df: DataFrame, keys: list[str], us: str, widths: tuple[int, ...], names: dict[str, str], columns: Callable[[pa.Table, Callable[[int], Frames]], dict[str, np.ndarray]]) -> DataFrame:
+    """`df` with the columns `names` (name: long or double) that `columns(table, frames)` computes; frames(seconds) are the windows of the last so many seconds.
+
+    A null key is a key. NaN results become null.
+    """
+    width = max(widths) * SECOND
+    slice_ = F.floor(F.col(us) / width)
     cut = df.withColumn("_own", slice_).withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    by = Window.partitionBy(*keys, "_slice").orderBy(us)
-    found = columns(lambda seconds: by.rangeBetween(-seconds * SECOND, 0))
-    return cut.withColumns(found).filter("_slice = _own").drop("_own", "_slice")
-
-
-def source_columns(window, widths: tuple[int, ...]) -> dict[str, Column]:
-    out: dict[str, Column] = {}
-    for w in widths:
-        over = window(w)
-        distinct = lambda c: F.size(F.collect_set(c).over(over)).cast("long")  # noqa: E731, B023
-        out |= {
-            f"src_uniq_dst_hosts_{w}s": distinct(F.coalesce("dst", F.lit(""))),
-            f"src_uniq_dst_ports_{w}s": distinct(F.coalesce(F.col("dport").cast("string"), F.lit("0"))),
-            f"src_conn_count_{w}s": F.count(F.lit(1)).over(over),
-            f"src_bytes_out_{w}s": F.sum("bytes").over(over),
-            f"src_pkts_out_{w}s": F.sum("packets").over(over),
-            f"src_avg_flow_dur_{w}s": F.avg(F.when(F.col("duration") > 0, F.col("duration"))).over(over),
-            f"src_dst_entropy_{w}s": entropy(F.collect_list(F.coalesce("dst", F.lit(""))).over(over)),
-            f"src_uniq_dst_subnets_{w}s": distinct(subnet(F.coalesce("dst", F.lit("")))),
-            f"src_uniq_host_port_pairs_{w}s": distinct(F.struct(F.coalesce("dst", F.lit("")), F.coalesce(F.col("dport").cast("string"), F.lit("0")))),
-        }
-    return out
-
-
-def destination_columns(window, widths: tuple[int, ...]) -> dict[str, Column]:
-    out: dict[str, Column] = {}
-    for w in widths:
-        sources = F.collect_list(F.coalesce(F.col("src").cast("string"), F.lit(""))).over(window(w))
-        out |= {
-            f"dst_uniq_src_hosts_{w}s": F.size(F.array_distinct(sources)).cast("long"),
-            f"dst_conn_count_{w}s": F.count(F.lit(1)).over(window(w)),
-            f"dst_src_concentration_{w}s": 1 - normalised_entropy(sources),
-        }
-    return out
+    dealt = cut.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", us)
+    kinds = {"long": (LongType(), pa.int64()), "double": (DoubleType(), pa.float64())}
+    schema = StructType([*df.schema.fields, *[StructField(n, kinds[k][0]) for n, k in names.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_slices(batches, keys):
+            time, slice_no, own = (table.column(c).to_numpy().astype(np.int64) for c in (us, "_slice", "_own"))
+            # times of a slice and of the copy before it, each slice far from the next
+            place = group * (4 * width) + time - (slice_no - 1) * width
+            frames = {w: Frames(place, group, w * SECOND) for w in widths}
+            found = columns(table, frames.__getitem__)
+            keep = pa.array(np.flatnonzero(slice_no == own))
+            table = table.drop_columns(["_own", "_slice"])
+            for n, k in names.items():
+                values = pa.array(found[n], pa.float64() if k == "double" else pa.int64(), from_pandas=True)
+                table = table.append_column(n, values)
+            yield from table.take(keep).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return dealt.mapInArrow(run, schema)
+
+
+SOURCE = {
+    "src_uniq_dst_hosts": "long", "src_uniq_dst_ports": "long", "src_conn_count": "long", "src_bytes_out": "double", "src_pkts_out": "double", "src_avg_flow_dur": "double",
+    "src_dst_entropy": "double", "src_uniq_dst_subnets": "long", "src_uniq_host_port_pairs": "long",
+}
+DESTINATION = {"dst_uniq_src_hosts": "long", "dst_conn_count": "long", "dst_src_concentration": "double"}
 
 
 def _check(widths: tuple[int, ...]) -> None:
@@ -64,44 +147,89 @@ def _check(widths: tuple[int, ...]) -> None:
 
 
 def source_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60), only: list[str] | None = None) -> DataFrame:
-    """`df` with the features of each row's source, for each width; `only` limits them by name without the width."""
+    """`df` with the features of each row's source, for each width; `only` limits them by name without the width. Null addresses and ports are values."""
     _check(widths)
-    pick = lambda cols: cols if only is None else {k: v for k, v in cols.items() if k.rsplit("_", 1)[0] in only}
-    return sliding(df, ["src"], "us", max(widths), lambda w: pick(source_columns(w, widths)))
+    wanted = [n for n in SOURCE if only is None or n in only]
+    packets = dict(df.dtypes).get("packets")
+    kinds = SOURCE | ({"src_pkts_out": "long"} if packets in ("tinyint", "smallint", "int", "bigint") else {})
+    names = {f"{n}_{w}s": kinds[n] for w in widths for n in wanted}
+    nets = "src_uniq_dst_subnets" in wanted
+    rows = df.withColumn("_net", subnet(F.coalesce("dst", F.lit("")))) if nets else df
+
+    def columns(table, frames):
+        host, port = (_codes(table.column(c), null) if c in table.column_names else None for c, null in (("dst", ""), ("dport", "0")))
+        out = {}
+        for w in widths:
+            f = frames(w)
+            make = {
+                "src_uniq_dst_hosts": lambda: f.distinct(host), "src_uniq_dst_ports": lambda: f.distinct(port), "src_conn_count": lambda: f.n,  # noqa: B023
+                "src_bytes_out": lambda: f.total(_numbers(table.column("bytes"))), "src_pkts_out": lambda: _whole(f.total(_numbers(table.column("packets"))), kinds["src_pkts_out"]),  # noqa: B023
+                "src_avg_flow_dur": lambda: _mean_positive(f, _numbers(table.column("duration"))), "src_dst_entropy": lambda: f.entropy(host),  # noqa: B023
+                "src_uniq_dst_subnets": lambda: f.distinct(_codes(table.column("_net"))), "src_uniq_host_port_pairs": lambda: f.distinct((host + 1) * (port.max(initial=0) + 2) + port),  # noqa: B023
+            }
+            out |= {f"{n}_{w}s": make[n]() for n in wanted}
+        return out
+
+    out = sliding(rows, ["src"], "us", widths, names, columns)
+    return out.drop("_net") if nets else out
+
+
+def _whole(values: np.ndarray, kind: str) -> np.ndarray:
+    return np.rint(values).astype(np.int64) if kind == "long" else values
+
+
+def _mean_positive(f: Frames, values: np.ndarray) -> np.ndarray:
+    some = values > 0
+    n = f.total(some.astype(float))
+    return np.where(n > 0, f.total(np.where(some, values, 0.0)) / np.maximum(n, 1), np.nan)
 
 
 def destination_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60)) -> DataFrame:
+    """`df` with the features of each row's destination, for each width. A null source is a value."""
     _check(widths)
-    return sliding(df, ["dst"], "us", max(widths), lambda w: destination_columns(w, widths))
+
+    def columns(table, frames):
+        source, out = _codes(table.column("src"), ""), {}
+        for w in widths:
+            f = frames(w)
+            k = f.distinct(source)
+            # entropy over its greatest value for so many different sources
+            share = np.where(k > 1, np.clip(f.entropy(source) / np.log2(np.maximum(k, 2)), 0.0, 1.0), 0.0)
+            out |= {f"dst_uniq_src_hosts_{w}s": k, f"dst_conn_count_{w}s": f.n, f"dst_src_concentration_{w}s": 1 - share}
+        return out
+
+    return sliding(df, ["dst"], "us", widths, {f"{n}_{w}s": k for w in widths for n, k in DESTINATION.items()}, columns)
 
 
 def burst_rate(df: DataFrame, key: str, us: str = "us", seconds: int = 5) -> DataFrame:
     """Add `rate`: rows of the key in the last `seconds`, per second."""
     _check((seconds,))
-    return sliding(df, [key], us, seconds, lambda w: {"rate": F.count(F.lit(1)).over(w(seconds)) / seconds})
+    return sliding(df, [key], us, (seconds,), {"rate": "double"}, lambda table, frames: {"rate": frames(seconds).n / seconds})
+
+
+DNS = {
+    "query_count": "long", "query_duration": "double", "query_rate": "double", "unique_queries": "long", "unique_query_ratio": "double", "avg_query_length": "double", "avg_entropy": "double",
+    "txt_null_ratio": "double",
+}
 
 
 def dns_window(df: DataFrame, seconds: int = 300) -> DataFrame:
-    """Add the query statistics of each row's source over its last queries: src, us, qname, qtype."""
+    """Add the query statistics of each row's source over its last queries: src, us, qname, qtype. Rows without a name go."""
     from ..functions.lexical import string_entropy
 
-    def columns(window):
-        over = window(seconds)
-        n = F.count(F.lit(1)).over(over)
-        span = F.greatest((F.max("us").over(over) - F.min("us").over(over)) / SECOND, F.lit(1.0))
+    def columns(table, frames):
+        f = frames(seconds)
+        time, names = table.column("us").to_numpy(), _codes(table.column("qname"))
+        span = np.maximum((time[f.hi - 1] - time[f.lo]) / SECOND, 1.0)
+        unique = f.distinct(names)
+        mean = lambda c: f.total(_numbers(table.column(c))) / f.n
         return {
-            "query_count": n,
-            "query_duration": span,
-            "query_rate": n / span,
-            "unique_queries": F.size(F.collect_set("qname").over(over)).cast("long"),
-            "unique_query_ratio": F.size(F.collect_set("qname").over(over)) / n,
-            "avg_query_length": F.avg(F.length("qname")).over(over),
-            "avg_entropy": F.avg("_entropy").over(over),
-            "txt_null_ratio": F.avg(F.when(F.col("qtype").isin("TXT", "NULL"), 1.0).otherwise(0.0)).over(over),
-        }
-
-    rows = df.filter(F.col("qname").isNotNull()).withColumn("_entropy", string_entropy(F.col("qname")))
-    return sliding(rows, ["src"], "us", seconds, columns).drop("_entropy")
+            "query_count": f.n, "query_duration": span, "query_rate": f.n / span, "unique_queries": unique, "unique_query_ratio": unique / f.n,
+            "avg_query_length": mean("_length"), "avg_entropy": mean("_entropy"), "txt_null_ratio": mean("_txt"),
+        }
+
+    rows = df.filter(F.col("qname").isNotNull()).withColumns({"_entropy": string_entropy(F.col("qname")), "_length": F.length("qname"), "_txt": F.when(F.col("qtype").isin("TXT", "NULL"), 1).otherwise(0)})
+    return sliding(rows, ["src"], "us", (seconds,), DNS, columns).drop("_entropy", "_length", "_txt")
 
 
 def query_frequency(df: DataFrame, key: str, us: str, seconds: int) -> DataFrame:

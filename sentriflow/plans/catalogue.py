@@ -731,7 +731,7 @@ def false_positive_ratio(spark, d):
 
 @query(
     f"""WITH {ALERTS}, e AS (SELECT threat_class AS detector, CASE WHEN id % 2 = 0 THEN 'FP' ELSE 'FN' END AS kind, (id % 4)::DOUBLE AS len, id % 7 AS pk FROM al),
-c AS (SELECT *, CASE WHEN len = 0 THEN 'zero duration' WHEN pk <= 3 THEN 'sparse packets' WHEN detector = 'C2_Beacon' THEN 'too few connections' ELSE 'unknown' END AS cause FROM e)
+c AS (SELECT *, CASE WHEN len = 0 THEN 'zero duration' WHEN pk <= 3 THEN 'sparse packet count' WHEN detector = 'C2_Beacon' THEN 'periodicity boundary (insufficient connections)' ELSE 'unknown' END AS cause FROM e)
 SELECT detector, cause, count(*) FILTER (kind = 'FP') AS "FP", count(*) FILTER (kind = 'FN') AS "FN" FROM c GROUP BY ALL"""
 )
 def error_causes_pivot(spark, d):

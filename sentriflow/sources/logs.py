@@ -182,6 +182,31 @@ def read_labelled(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
     return DATASETS[dataset](rows)
 
 
+def cic_training(df: DataFrame) -> DataFrame:
+    """CIC-IDS2017 rows as training rows: seconds, variations over means of 1 and 0.0001 at least, label 1 for all but BENIGN. Missing columns count as 0.
+
+    Rows with a value that isn't a number are dropped. The dataset has no handshakes, so TLS columns are 0.
+    """
+    number = lambda n: F.col(f"`{n}`").try_cast("double") if n in df.columns else F.lit(0.0)
+    label = F.upper(F.coalesce(F.col("Label"), F.lit("BENIGN"))) if "Label" in df.columns else F.lit("BENIGN")
+    size, spread = number("Packet Length Mean"), number("Packet Length Std")
+    gap, gap_spread = number("Flow IAT Mean") / 1e6, number("Flow IAT Std") / 1e6
+    out = df.select(
+        (number("Total Fwd Packets") + number("Total Backward Packets")).alias("packet_count"), (number("Total Length of Fwd Packets") + number("Total Length of Bwd Packets")).alias("byte_count"),
+        size.alias("pkt_size_mean"), spread.alias("pkt_size_std"), (spread / F.greatest(F.lit(1.0), size)).alias("pkt_size_cv"),
+        gap.alias("iat_mean"), (gap_spread / F.greatest(F.lit(0.0001), gap)).alias("iat_cv"), (number("Flow Duration") / 1e6).alias("flow_duration"),
+        *[F.lit(0.0).alias(n) for n in ("tls_version_known", "tls_has_sni", "tls_has_ja3", "tls_resumed")], F.when(label != "BENIGN", 1).otherwise(0).alias("label"),
+    )
+    return out.na.drop()
+
+
+def read_training(spark: SparkSession, path: str, features: tuple[str, ...], label: str = "label") -> DataFrame:
+    """The named features, as doubles, and the label of prepared CSV files with a header; a feature that the files lack is 0."""
+    df = _csv(spark, path)
+    have = set(df.columns)
+    return df.select(*[(F.col(f"`{n}`").try_cast("double") if n in have else F.lit(0.0)).alias(n) for n in features], F.col(label).try_cast("int").alias(label))
+
+
 def binetflow_labels(df: DataFrame) -> DataFrame:
     """Flow labels without background traffic: Benign, or the threat that a botnet flow stands for."""
     from ..operators.evaluation import botnet_class
@@ -194,6 +219,20 @@ def binetflow_labels(df: DataFrame) -> DataFrame:
     return df.filter(~low.contains("background")).withColumn("truth", kind).filter("truth IS NOT NULL")
 
 
+def stream_log(spark: SparkSession, folder: str, kind: str, form: str = "json", fields: list[str] | None = None, files_per_trigger: int = 100) -> DataFrame:
+    """A folder of rotated logs as a stream of events: kind conn, dns or ssl, JSON lines or tab-separated with the given `fields` (or those of a #fields line there now).
+
+    Files are read once each, in the order of their times, and Spark's checkpoint keeps which; a log that still grows is picked up when it is
+    moved into the folder. Lines that can't be read are dropped.
+    """
+    if form == "json":
+        lines = spark.readStream.schema(LOG_JSON).option("maxFilesPerTrigger", files_per_trigger).option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+        return json_events(lines, kind)
+    if fields is None:
+        fields = read_tsv(spark, folder).columns
+    return TSV_EVENTS[kind](split_tsv(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder), fields))
+
+
 def open_source(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Events of a file, by `kind` or its name: captures by suffix, logs by conn, dns, ssl or tls in the name, other .log files as conn."""
     from .pcap import read_pcap

@@ -1,7 +1,8 @@
 """Packet captures as event rows, and events as packet captures.
 
-Classic captures (both byte orders, micro- and nanoseconds) with Ethernet, raw IP or Linux cooked frames; IPv4 and IPv6 with TCP, UDP and ICMP;
-DNS headers and questions on port 53; TLS hellos. Other frames are skipped and counted. A capture has no marks from which one could read on, so a file is one task.
+Classic captures (both byte orders, micro- and nanoseconds) and pcapng (sections, interfaces, enhanced, simple and obsolete packet blocks) with Ethernet, raw IP
+or Linux cooked frames; IPv4 and IPv6 with TCP, UDP and ICMP; DNS headers and questions on port 53; TLS hellos. Other frames are skipped and counted. A capture
+has no marks from which one could read on, so a file is one task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import ipaddress
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,32 +21,76 @@ from ..schemas import EVENT
 
 # Fixed values of the format: magic numbers (byte order, fraction of a second), link types, TLS versions.
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}
-PCAPNG = b"\x0a\x0d\x0d\x0a"
+PCAPNG, SECTION_LITTLE = b"\x0a\x0d\x0d\x0a", b"\x4d\x3c\x2b\x1a"
+INTERFACE, OBSOLETE, SIMPLE, ENHANCED, TIME_RESOLUTION = 1, 2, 3, 6, 9
 ETHERNET, RAW, LINUX_SLL = 1, 101, 113
 TLS_VERSIONS = {0x0300: "SSL 3.0", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
 
 
 def packets(data: bytes, limit: int | None = None) -> Iterator[tuple[float, int, bytes]]:
     """(time, link type, frame) of a capture; a cut-off last packet is left out."""
+    found = _blocks(data) if data[:4] == PCAPNG else _classic(data)
+    return found if limit is None else islice(found, limit)
+
+
+def _classic(data: bytes) -> Iterator[tuple[float, int, bytes]]:
     kind = MAGICS.get(bytes(data[:4]))
     if kind is None:
-        raise ValueError("pcapng captures must be converted first" if data[:4] == PCAPNG else "not a packet capture")
+        raise ValueError("not a packet capture")
     order, unit = kind
     link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    at, n = 24, 0
-    while at + 16 <= len(data) and (limit is None or n < limit):
+    at = 24
+    while at + 16 <= len(data):
         sec, frac, size, _ = struct.unpack_from(order + "IIII", data, at)
         at += 16
         if at + size > len(data):
             return
         yield sec + frac * unit, link, data[at : at + size]
-        at, n = at + size, n + 1
+        at += size
+
+
+def _blocks(data: bytes) -> Iterator[tuple[float, int, bytes]]:
+    """The packets of a pcapng file. A simple packet block has no time; it gets that of the packet before."""
+    at, order, links, time = 0, "<", [], 0.0
+    while at + 12 <= len(data):
+        kind = data[at : at + 4]
+        if kind == PCAPNG:
+            order, links = "<" if data[at + 8 : at + 12] == SECTION_LITTLE else ">", []
+        size = struct.unpack_from(order + "I", data, at + 4)[0]
+        if size < 12 or at + size > len(data):
+            return
+        number, body = struct.unpack(order + "I", kind)[0], data[at + 8 : at + size - 4]
+        if number == INTERFACE:
+            links.append((struct.unpack_from(order + "H", body)[0], _resolution(body[8:], order), struct.unpack_from(order + "I", body, 4)[0]))
+        elif number in (ENHANCED, OBSOLETE) and len(body) >= 20:
+            port, high, low, held = struct.unpack_from(order + ("I" if number == ENHANCED else "Hxx") + "III", body)
+            if port < len(links):
+                time = (high << 32 | low) * links[port][1]
+                yield time, links[port][0], body[20 : 20 + held]
+        elif number == SIMPLE and links and len(body) >= 4:
+            held = struct.unpack_from(order + "I", body)[0]
+            yield time, links[0][0], body[4 : 4 + min(held, links[0][2] or held)]
+        at += size
+
+
+def _resolution(options: bytes, order: str) -> float:
+    """Seconds of a time unit, from an interface's options; microseconds unless it says otherwise."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack_from(order + "HH", options, at)
+        if code == 0:
+            break
+        if code == TIME_RESOLUTION and size == 1:
+            value = options[at + 4]
+            return 2.0 ** -(value & 127) if value & 128 else 10.0**-value
+        at += 4 + (size + 3) // 4 * 4
+    return 1e-6
 
 
 def count_packets(data: bytes, most: int = 10_000) -> dict:
     """Format and number of packets up to `most`, by the record headers alone."""
     if data[:4] == PCAPNG:
-        return {"format": "pcapng", "packets": None}
+        return {"format": "pcapng", "packets": sum(1 for _ in packets(data, most))}
     if bytes(data[:4]) not in MAGICS:
         return {"format": "unknown", "packets": None}
     order, at, n = MAGICS[bytes(data[:4])][0], 24, 0

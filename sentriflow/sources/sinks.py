@@ -5,6 +5,7 @@ Appends are Parquet jobs that commit as a whole, so a lost job leaves no half-wr
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,36 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_old: tuple[str, ...] =
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether there is a Parquet table at `path`."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+def save_incidents(spark: SparkSession, incidents: DataFrame, links: DataFrame, folder: str, key: str = "incident_id") -> DataFrame:
+    """Put incidents in place of or beside those of the latest version, as a new one, and add the links (incident, alert id) that aren't there; returns the version.
+
+    An incident that was there keeps its first_seen. A version is one Parquet job, so readers see the one before or it, whole; `latest_incidents` reads it.
+    """
+    last = _last_version(spark, folder)
+    found = incidents if last is None else upsert(spark.read.parquet(f"{folder}/incidents/version={last}"), incidents, key)
+    append_new(spark, links.withColumn("link", F.concat_ws(":", key, "id")), f"{folder}/links", "link")
+    path = f"{folder}/incidents/version={0 if last is None else last + 1}"
+    found.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _last_version(spark: SparkSession, folder: str) -> int | None:
+    path = f"{folder}/incidents"
+    return spark.read.parquet(path).agg(F.max("version").cast("int")).first()[0] if _exists(spark, path) else None
+
+
+def latest_incidents(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/incidents/version={_last_version(spark, folder)}")
 
 
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:

@@ -116,5 +116,4 @@ def read_table_stream(spark, folder: str, name: str, files_per_trigger: int = 10
 
 
 def _is_file(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    return [f.rstrip("/").rsplit("/", 1)[-1] for f in spark.read.parquet(path).inputFiles()] == [path.rsplit("/", 1)[-1]]
