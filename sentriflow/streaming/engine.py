@@ -2,7 +2,7 @@
 
 Each batch of events joins those that the shared folder keeps from before, as far back as features look (`horizon` of event time), and the batch plan runs over
 both. Alerts are put out once their flow can't grow any more: when the stream's time has passed its end by the flow timeout. The alert table
-itself tells which alerts were put out before, so a batch that is run again adds nothing twice.
+itself tells which alerts were put out before, so a batch that is run again adds nothing twice. Rows that come later than that are kept as history, but give no alerts.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class AlertStream:
         since = (high if seen is None else seen) - self.horizon
         found = pipeline.detect(events.filter(F.col("timestamp") >= since), self.cfg, self.cold)
         until = high if finished else high - self.cfg["flow"]["timeout"]
-        ready = found.filter(F.col("timestamp") <= until) if finished else found.filter(F.col("timestamp") < until)
+        ready = found if finished else found.filter(F.col("timestamp") < until)
         ready = ready if seen is None else ready.filter(F.col("timestamp") >= seen)
         key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ALERT_KEY])
         sinks.append_new(self.spark, ready.withColumn("alert_key", key), f"{self.folder}/alerts", "alert_key")
