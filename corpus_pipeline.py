@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to encoded training rows, in five stages.
 
 Each stage reads what the stage before has written as Parquet. A stage that filters keeps whole rows with the columns of `documents`; the
-last one returns token ids.
+last one returns the token ids of each row.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, with the checks that they decode to the text."""
+    """Token ids of each row (doc_id, tokens), with their number and CRC, the digest of the text they decode to, and whether it is the row's."""
     return pieces.summarise(pieces.encode(docs))
 
 

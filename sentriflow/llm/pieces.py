@@ -247,7 +247,8 @@ def encode(
     """One row per row of `df`: id, text as it came, and tokens (array of ids).
 
     Null and empty texts have no tokens. Rows that repeat id and text get equal tokens; equal texts of other ids are segmented on their
-    own. U+2581 in a text is encoded as bytes, so that it doesn't come back as a space. Only the id and the text are read.
+    own; of merges of equal score the leftmost goes first. U+2581 in a text is encoded as bytes, so that it doesn't come back as a space. A text
+    of any length is encoded whole, in one piece; a word of any length too. An empty table gives an empty result. Only the id and the text are read.
     """
     spark = df.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
@@ -287,9 +288,9 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
 
 
 def summarise(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids_crc32, decoded_sha256, lossless) of encoded rows, after decoding them.
+    """(id, tokens, n_tokens, ids_crc32, decoded_sha256, lossless) of encoded rows, after decoding them.
 
-    Decoding and the digests are one step, so that a task needs two Python workers (with the encoder's), not more.
+    Decoding and the digests are one step, so that a task needs two Python workers (with the encoder's), not more. Null token lists count as empty.
     """
     kind = dict(encoded.dtypes)[id_col]
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
@@ -307,10 +308,10 @@ def summarise(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows.append((int(y - x), zlib.crc32(tokens[x:y].tobytes()), hashlib.sha256(back).hexdigest(), raw == back))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["_id", "tokens", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
     rows = encoded.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), "tokens")
-    out = rows.mapInArrow(run, f"_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    out = rows.mapInArrow(run, f"_id {kind}, tokens array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
