@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_dir, shared_dir
@@ -25,6 +28,18 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(max(1, min(MAX_TASKS, files.count())))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, tasks hand so many rows at a time to Python: less memory where a row holds whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -114,6 +129,6 @@ def once_each(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Dat
 
 
 __all__ = [
-    "SPACES", "WORD_PATTERN", "bitmap_bits", "collapse_spaces", "flag_in_bitmap", "fresh_dir", "key_bitmap", "materialize", "once_each", "row_key",
+    "SPACES", "WORD_PATTERN", "arrow_rows", "bitmap_bits", "collapse_spaces", "flag_in_bitmap", "fresh_dir", "key_bitmap", "materialize", "once_each", "row_key",
     "shared_dir", "split_by_keys", "spread", "unused", "without_rows", "word_count",
 ]

@@ -176,8 +176,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per document: id, lang_pred, score (share of that language) and languages (the set, with shares).
 
     Null texts and texts without a letter are `und` with score 0 and no languages, as is everything if the model has
-    learned none. Rows that repeat each other get equal rows; ties go to the language first in code-point order. Only the id
-    and the text are read.
+    learned none. Rows that repeat each other get equal rows; ties go to the language first in code-point order. A text of any length is one
+    document, counted whole. An empty table gives an empty result. Only the id and the text are read.
     """
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -186,15 +186,17 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(row_id):
-    return F.crc32(row_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a document is kept from training; false for a null id."""
+    return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def keep_known(df: DataFrame) -> DataFrame:
-    """The rows of `df` whose language can be told, with their columns; learned from all rows that have a language.
+    """The rows of `df` (doc_id, text, lang and any others) whose language can be told, with their columns; learned from all rows that have a language.
 
     Null texts and texts without a letter go. Of the others, a text goes if the likeliest mixture of the learned languages fits it worse than a
     background model in which all n-grams have equal chances (`Model.knows`), such as one in a script that no labelled row has. Texts of fewer than `MIN_NGRAMS`
     n-grams stay, as do all if no row has a language; the fewer n-grams there are to learn from (some millions are enough), the fewer texts go.
+    Rows that repeat each other stay or go together, whatever their ids, null ones too. A text of any length is judged whole. An empty table gives an empty one.
     """
     model = train(df, "text", "lang", "doc_id")
     schema = df.schema

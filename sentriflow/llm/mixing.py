@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, row_key, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -77,15 +77,22 @@ def mix(
     copy) and taken (all words the mix takes of it).
 
     `quality` maps the text column to a weight above 0. Null or empty texts have size 0 and nothing is taken of them. A
-    null source is a source of its own, the last one. Equal keys are ordered by id; rows that repeat an id share
-    its key and are each taken on their own. An empty table gives an empty result. Other columns of `df` are ignored.
+    null source is a source of its own, the last one. Equal keys are ordered by id, then by a hash of the text; rows that repeat an id share
+    its random number and are each taken on their own. A text of any length counts with all its words. An empty table gives an empty result. Other columns of
+    `df` are ignored.
     """
+    return _mix(df, id_col, text_col, source_col, weights, max_epochs, seed, quality).withColumnRenamed("_id", id_col).drop("_row")
+
+
+def _mix(df, id_col, text_col, source_col, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, quality=quality_weight) -> DataFrame:
+    """The rows of `mix`, with _id and _row (`row_key`)."""
     text = F.col("_text")
     rows = materialize(
         df.select(
-            F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")
+            F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), row_key(F.col(id_col), F.col(text_col)).alias("_row")
         ).select(
             "_id",
+            "_row",
             "_source",
             word_count(text).alias("size"),
             (-F.log(F.coalesce(uniform_key(F.col("_id"), seed), F.lit(0.5))) / quality(text)).alias("_key"),
@@ -113,18 +120,19 @@ def mix(
         "mix-plan",
     )
     joined = rows.alias("r").join(plan.alias("p"), F.expr("r._source <=> p._source")).select(
-        "r._id", "r._source", "size", "_key", "_bucket", "source_size", "target", "epochs", "_rest", "_edge"
+        "r._id", "r._row", "r._source", "size", "_key", "_bucket", "source_size", "target", "epochs", "_rest", "_edge"
     )
     on_edge = F.coalesce(F.col("_bucket") == F.col("_edge._bucket"), F.lit(False))
     inside = F.coalesce(F.col("_bucket") < F.col("_edge._bucket"), F.lit(False))
-    in_order = Window.partitionBy("_source").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy("_source").orderBy("_key", "_id", "_row").rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("_edge._before") + F.sum("size").over(in_order) - F.col("size")
     whole = joined.filter(~on_edge).withColumn("extra", F.when(inside, F.col("size")).otherwise(0).cast("long"))
     split = joined.filter(on_edge).withColumn(
         "extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before)).cast("long")
     )
     return whole.unionByName(split).select(
-        F.col("_id").alias(id_col),
+        "_id",
+        "_row",
         "size",
         "source_size",
         "target",
@@ -135,17 +143,17 @@ def mix(
 
 
 def repeat_to_targets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: each row of `df` as often as the mix takes it, with its columns.
+    """The mixed corpus: each row of `df` as often as the mix takes it, with its columns, whatever their names.
 
     A copy is never cut: of the one document per source at which the budget ends, the partial copy becomes whole
-    when the budget holds half of it or more, else it is left out.
+    when the budget holds half of it or more, else it is left out. Decisions hold for an id with its text, null ids too; rows that repeat
+    both are all taken as often as the one taken most.
     """
-    copies = mix(df, id_col, text_col, source_col, **options).select(
-        F.col(id_col).alias("_mixed"),
-        (F.col("epochs") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)).alias("_copies"),
-    ).filter("_copies > 0").groupBy("_mixed").agg(F.max("_copies").alias("_copies"))
-    out = df.join(copies, F.col(id_col) == F.col("_mixed"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    extra = F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
+    copies = _mix(df, id_col, text_col, source_col, **options).groupBy("_id", "_row").agg(F.max(F.col("epochs") + extra).alias("_copies")).filter("_copies > 0")
+    inside = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"), df[id_col].cast("long").alias("_key"), row_key(df[id_col], df[text_col]).alias("_row"))
+    out = inside.join(copies.select("_id", F.expr("_row ^ 1").alias("_of"), "_copies"), F.col("_key").eqNullSafe(F.col("_id")) & (F.expr("_row ^ 1") == F.col("_of")))
+    return out.select("_in", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_in.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_bits, flag_in_bitmap, key_bitmap, materialize, row_key, without_rows
+from .common import arrow_rows, bitmap_bits, flag_in_bitmap, key_bitmap, materialize, row_key, without_rows
 from .components import connected_components
 from .text import U, lower_ascii, mix64, slices, word_hashes, words
 
@@ -33,6 +33,8 @@ BINS = BANDS * ROWS
 ROUNDS = 3
 #: Documents in a block, and shingles of all of them (8 bytes each), when the rest of a bucket is compared in full.
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
+#: Rows that go to Python at a time; each holds a text, a set or two.
+BATCH_ROWS = 500
 _ROUND_BLOCK = 8
 
 
@@ -158,6 +160,11 @@ def near_duplicates(
 
 def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(_id, _row, n_shingles, _component) of each row of `df`."""
+    with arrow_rows(df.sparkSession, BATCH_ROWS):
+        return _solve(df, id_col, text_col, k, percent)
+
+
+def _solve(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
     all_docs = materialize(docs.mapInArrow(_sketches(k), "_id long, _row long, n_shingles long, _digest binary, _bands array<long>"), "near-sketches")
     docs = docs.filter("_id IS NOT NULL")

@@ -4,8 +4,9 @@ P(grade > j) = sigmoid(w.x - threshold_j): one weight vector for all thresholds,
 these over the thresholds. x holds log(1 + count) of the words that tell the labels apart; they are
 found by counts over the labelled rows.
 
-The labels are 0 or 1. Grades above 0 come from how much of the telling vocabulary a toxic document holds: the thirds of
-the toxic training rows are mild, moderate and severe.
+The labels are 0 or 1. Grades above 0 come from how many telling words a toxic document holds: the thirds of the toxic training rows by that
+number are mild, moderate and severe. The labelled rows are in two halves by a hash, and a row is graded by the words that tell the labels of the
+other half apart, so no row helps to choose the words that grade it. Severity is therefore weakly supervised; only the step from 0 to 1 is labelled.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .text import U, lower_ascii, mix64, prefix_hashes, slices, window_hashes
 
 BUCKETS = 1 << 20
 GRADES = 4
 #: Labelled rows to learn from: at most so many, by a hash of the id.
 MAX_FIT_ROWS = 30_000
-#: Words that may enter the model, at most.
-MAX_FEATURES = 4096
+#: A word enters the model if so many toxic documents hold it, and so many standard errors more than by chance. There are `BUCKETS` words at most.
 MIN_DOCS = 5
 MIN_Z = 6.0
 FLAG_AT = 0.3
@@ -65,6 +66,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _entries(mask):
+    """The words of each row whose bit is set in `mask` (an array of BUCKETS), with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            keep = np.flatnonzero(mask.value[words])
+            edge = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x[keep])) for x in (words, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["toxic", "half", "words", "counts"])
+
+    return run
+
+
 class Model:
     """Chosen buckets with weights, and thresholds in ascending order."""
 
@@ -108,8 +124,32 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.nda
     return par[:features], theta
 
 
+def _telling(found: DataFrame) -> tuple[np.ndarray, list[np.ndarray], float, int]:
+    """The words that tell the labels apart, in all rows and in each half (masks of BUCKETS), the share of toxic rows, and the rows."""
+    sums = found.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")).collect()
+    words = found.select("toxic", "half", F.explode("words").alias("word")).groupBy("half", "word").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("df1"))
+    # two rows per bucket at most, whatever the corpus
+    held = words.filter("df1 > 0").toArrow()
+    df, df1 = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
+    at = held["half"].to_numpy(), held["word"].to_numpy()
+    df[at], df1[at] = held["df"].to_numpy(), held["df1"].to_numpy()
+    n, n1 = ([sum(r[c] for r in sums if r["half"] == h) for h in range(2)] for c in ("n", "n1"))
+
+    def mask(df, df1, n, n1):
+        base = (n1 + 0.5) / (n + 1.0)
+        z = (df1 - df * base) / np.sqrt(np.maximum(df * base * (1 - base), 1e-12))
+        return (df1 >= MIN_DOCS) & (z >= MIN_Z)
+
+    halves = [mask(df[h], df1[h], n[h], n1[h]) for h in range(2)]
+    return mask(df.sum(0), df1.sum(0), sum(n), sum(n1)), halves, (sum(n1) + 0.5) / (sum(n) + 1.0), sum(n)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Learn from at most `max_rows` labelled documents. Without toxic rows or words that tell them, severity is the base rate for all."""
+    """Learn from at most `max_rows` labelled documents, chosen by a hash of the id. Without toxic rows or words that tell them, severity is the base rate for all.
+
+    Of rows that repeat an id in `labels`, the most toxic one counts; documents with the same words count once, as toxic if one of them is. Null labels
+    and ids are left out. Texts are read whole, null as empty.
+    """
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -123,28 +163,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.mapInArrow(_features, "toxic int, words array<long>, counts array<long>")
     # copies of one text must not speak as many documents
     found = found.groupBy("words", "counts").agg(F.max("toxic").alias("toxic"))
-    by_label = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
-    n, n1 = sum(by_label.values()), by_label.get(1, 0)
-    base = (n1 + 0.5) / (n + 1.0)
-    words = found.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("df1"))
-    z = (F.col("df1") - F.col("df") * base) / F.sqrt(F.col("df") * base * (1 - base))
-    top = words.withColumn("z", z).filter((F.col("df1") >= MIN_DOCS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()
-    buckets = np.array(sorted(r["word"] for r in top), np.int64)
+    found = materialize(found.select("toxic", F.pmod(F.xxhash64("words", "counts"), F.lit(2)).cast("int").alias("half"), "words", "counts"), "toxic-words")
+    mask, halves, base, n = _telling(found)
+    buckets = np.flatnonzero(mask)
     if len(buckets) == 0:
         return Model(buckets, np.zeros(0), np.log((1 - base) / base) + np.arange(GRADES - 1, dtype=float))
-    wanted = F.array(*[F.lit(int(b)) for b in buckets])
-    entries = found.select(
-        "toxic", F.filter(F.arrays_zip("words", "counts"), lambda e: F.array_contains(wanted, e["words"])).alias("e")
-    ).collect()
-    grade = np.array([r["toxic"] for r in entries], np.int64)
-    held = np.array([sum(e["counts"] for e in r["e"]) for r in entries], float)
-    toxic_held = held[(grade == 1) & (held > 0)]
-    cuts = np.quantile(toxic_held, [1 / 3, 2 / 3]) if len(toxic_held) else np.zeros(2)
-    grade = np.where(grade == 1, 1 + (held > cuts[0]) + (held > cuts[1]), 0)
-    rows_at = np.array([i for i, r in enumerate(entries) for _ in r["e"]], np.int64)
-    cols = np.searchsorted(buckets, np.array([e["words"] for r in entries for e in r["e"]], np.int64))
-    x = np.log1p(np.array([e["counts"] for r in entries for e in r["e"]], float))
-    weights, thresholds = fit_ordinal(rows_at, cols, x, grade, len(buckets))
+    wanted = found.sparkSession.sparkContext.broadcast(mask | halves[0] | halves[1])
+    # at most max_rows rows, with the few words that tell
+    entries = found.mapInArrow(_entries(wanted), "toxic int, half int, words array<long>, counts array<long>").toArrow()
+    toxic, half = (entries[c].to_numpy() for c in ("toxic", "half"))
+    lists = entries["words"].combine_chunks()
+    row = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
+    word, count = lists.flatten().to_numpy(), entries["counts"].combine_chunks().flatten().to_numpy()
+    graded = np.where(half[row] == 0, halves[1][word], halves[0][word])
+    held = np.bincount(row, weights=count * graded, minlength=len(toxic))
+    some = held[(toxic == 1) & (held > 0)]
+    cuts = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.zeros(2)
+    grade = np.where(toxic == 1, 1 + (held > cuts[0]) + (held > cuts[1]), 0)
+    own = mask[word]
+    weights, thresholds = fit_ordinal(row[own], np.searchsorted(buckets, word[own]), np.log1p(count[own].astype(float)), grade, len(buckets))
     return Model(buckets, weights, thresholds)
 
 
@@ -180,7 +217,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """One row per document: id, severity (expected grade, 0 to 3), grade (median), p_toxic = P(grade > 0) and flagged.
 
     Null, empty and wordless texts have no features and get the severity of such a text, never flagged on their own.
-    Repeated rows get equal rows. Other columns are ignored.
+    Repeated rows and equal texts get equal values; a null id is kept. A text of any length is read whole, in one piece. An empty table gives an empty result.
+    Other columns are ignored.
     """
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

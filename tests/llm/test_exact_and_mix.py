@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -87,3 +88,14 @@ def test_mix_of_nothing_and_repeats(odd, nothing):
     mixed = mixing.repeat_to_targets(odd)
     assert mixed.columns == odd.columns and mixed.count() > 0
     assert mixing.repeat_to_targets(nothing).collect() == []
+
+
+def test_mix_with_clashing_names_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "s", 0), (None, "d e", "s", 1), (1, "f g", "s", 2), (1, "h", "s", 3), (2, "i j", None, 4), (2, "i j", None, 5)]
+    names = "doc_id long, text string, source string, n int, _mixed int, _copies int, _copy int, _row int, _in int, _key int, size int, extra int, epochs int"
+    df = spark.createDataFrame([(*r, 1, 1, 1, 1, 1, 1, 1, 1, 1) for r in rows], names).repartition(2)
+    out = mixing.repeat_to_targets(df)
+    assert out.columns == df.columns
+    times = Counter(r["n"] for r in out.collect())
+    # the sources are 8 and 4 words long; weights 5 and 2 give them targets of 12 * 5 / 7 and 12 * 2 / 7
+    assert set(times) >= {0, 1, 2, 3} and times[4] == times[5]
