@@ -872,6 +872,149 @@ def sink_upsert(spark, d):
     half = lambda r: o.filter(F.col("id") % 2 == r).groupBy("src").agg(F.min("us").alias("first_seen"), F.max("us").alias("last_seen"))
     return sinks.upsert(half(0), half(1), "src")
 
+# --- preparation of training data, counters and explanations -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {HOSTS}, x AS (SELECT page_id, lower(qname) AS n FROM hosts), y AS (SELECT *, list_transform(range(1, greatest(length(n), 1)), lambda i: substr(n, i, 2)) AS g FROM x)
+SELECT page_id, length(n) AS length, round(list_aggregate(string_split(n, ''), 'entropy'), 6) AS entropy, round(coalesce(list_aggregate(g, 'entropy'), 0e0), 6) AS bigram_entropy, round(length(regexp_replace(n, '[^0-9]', '', 'g')) / greatest(length(n), 1), 6) AS digits,
+  round(length(regexp_replace(n, '[^a-z]', '', 'g')) / greatest(length(n), 1), 6) AS letters, round(length(regexp_replace(n, '[^\\-]', '', 'g')) / greatest(length(n), 1), 6) AS hyphens, len(list_distinct(string_split(n, ''))) AS different FROM y"""
+)
+def training_names(spark, d):
+    h = hosts(spark, d).withColumns(features.training_name_columns(F.col("qname")))
+    names = {"entropy": "dns_entropy", "bigram_entropy": "dns_ngram_entropy", "digits": "dns_digit_ratio", "letters": "dns_alpha_ratio", "hyphens": "dns_hyphen_ratio"}
+    return h.select("page_id", F.col("dns_query_length").cast("long").alias("length"), *[r6(v).alias(k) for k, v in names.items()], F.col("dns_unique_char_count").cast("long").alias("different"))
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q, l_extendedprice AS p, l_returnflag AS m FROM lineitem WHERE l_linenumber <> 7)
+SELECT k, n, round(q + n, 6) AS packets, round(q / greatest(1e0, n / 4e0), 6) AS size_cv, round((p / 1e6) / greatest(0.0001e0, q / 1e6), 6) AS iat_cv, round(p / 1e6, 9) AS duration, (upper(m) <> 'BENIGN')::INT AS label FROM (SELECT *, CASE WHEN m = 'A' THEN 'Benign' ELSE m END AS m2 FROM x) t(k, n, q, p, m0, m)"""
+)
+def cic_training(spark, d):
+    i = table(spark, d, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    mode = F.when(F.col("l_returnflag") == "A", "Benign").otherwise(F.col("l_returnflag"))
+    rows = i.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), text("l_quantity").alias("Total Fwd Packets"), F.when(F.col("l_linenumber") == 7, "x").otherwise(text("l_linenumber")).alias("Total Backward Packets"), (F.col("l_linenumber") / 4).cast("string").alias("Packet Length Mean"),
+        text("l_quantity").alias("Packet Length Std"), text("l_quantity").alias("Flow IAT Mean"), text("l_extendedprice").alias("Flow IAT Std"), text("l_extendedprice").alias("Flow Duration"), mode.alias("Label"), F.col("l_orderkey").cast("double").alias("Total Length of Fwd Packets"), F.col("l_linenumber").cast("double").alias("Total Length of Bwd Packets"),
+    )
+    t = logs.cic_training(rows)
+    n = F.col("packet_count") - F.col("pkt_size_std")
+    k = F.col("byte_count") - n
+    return t.select(k.cast("long").alias("k"), n.cast("int").alias("n"), r6("packet_count").alias("packets"), r6("pkt_size_cv").alias("size_cv"), r6("iat_cv").alias("iat_cv"), F.round("flow_duration", 9).alias("duration"), "label")
+
+
+@query(
+    f"""WITH {OBS}, x AS (SELECT CASE id % 5 WHEN 0 THEN '203.0.113.' || src WHEN 1 THEN '192.168.1.50' WHEN 2 THEN '192.168.1.52' WHEN 3 THEN '192.168.1.53' ELSE '10.0.0.' || src END AS s, CASE dport WHEN 'click' THEN '103.45.67.89' WHEN 'view' THEN '10.0.0.10' WHEN 'error' THEN '8.8.8.8' ELSE '172.16.0.' || dst END AS t FROM obs),
+y AS (SELECT CASE WHEN s LIKE '203.0.113.%' THEN 'DDoS' WHEN s = '192.168.1.50' AND t = '103.45.67.89' THEN 'C2_Beacon' WHEN s = '192.168.1.50' AND t = '10.0.0.10' THEN 'Reconnaissance' WHEN t = '8.8.8.8' THEN 'DNS_DGA' WHEN s = '192.168.1.52' THEN 'Encrypted_Anomaly'
+  WHEN s = '192.168.1.53' AND t = '103.45.67.89' THEN 'Exfiltration' ELSE 'Benign' END AS truth FROM x)
+SELECT truth, count(*) AS n, round(count(*) / (SELECT count(*) FROM y), 6) AS share FROM y GROUP BY 1"""
+)
+def truth_composition(spark, d):
+    o, src = observations(spark, d), F.col("src").cast("string")
+    s = F.element_at(F.array(F.concat(F.lit("203.0.113."), src), F.lit("192.168.1.50"), F.lit("192.168.1.52"), F.lit("192.168.1.53"), F.concat(F.lit("10.0.0."), src)), (F.col("id") % 5 + 1).cast("int"))
+    t = F.when(F.col("dport") == "click", "103.45.67.89").when(F.col("dport") == "view", "10.0.0.10").when(F.col("dport") == "error", "8.8.8.8").otherwise(F.concat(F.lit("172.16.0."), "dst"))
+    return evaluation.composition(o.select(evaluation.address_truth(s, t).alias("truth")), "truth").withColumn("share", r6("share"))
+
+
+@query(f"WITH {ALERTS} SELECT detector, count(*) AS calls, round(avg(x), 6) AS avg_latency_ms, count(*) FILTER (hit) AS true_positives, count(*) FILTER (NOT hit) AS false_positives FROM (SELECT lower(threat_class) AS detector, processing_latency AS x, CASE WHEN id % 3 > 0 THEN id % 3 = 1 END AS hit FROM al) GROUP BY 1")
+def detector_counters(spark, d):
+    rows = alerts(spark, d).withColumn("is_tp", F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1))
+    return evaluation.detector_counters(rows, latency="processing_latency").withColumn("avg_latency_ms", r6("avg_latency_ms"))
+
+
+@query(
+    f"""WITH RECURSIVE {OBS}, o AS (SELECT src, bytes AS x, row_number() OVER (PARTITION BY src ORDER BY us, id) AS rn, row_number() OVER (PARTITION BY src ORDER BY us DESC, id DESC) AS back, count(*) OVER (PARTITION BY src) AS n FROM obs),
+f AS (SELECT src, rn, x AS m FROM o WHERE rn = 1 UNION ALL SELECT o.src, o.rn, 0.9e0 * f.m + 0.1e0 * o.x FROM f JOIN o ON o.src = f.src AND o.rn = f.rn + 1),
+r AS (SELECT src, x, row_number() OVER (PARTITION BY src ORDER BY x) - 1 AS i, least(n, 1000) AS k FROM o WHERE back <= 1000)
+SELECT o.src, max(o.n) AS flows, round(max(f.m), 6) AS latency, max(p.p50) AS latency_p50, max(p.p95) AS latency_p95, max(p.p99) AS latency_p99 FROM o JOIN f ON f.src = o.src AND f.rn = o.n
+JOIN (SELECT src, min(x) FILTER (i = floor(k * 0.5e0)) AS p50, min(x) FILTER (i = floor(k * 0.95e0)) AS p95, min(x) FILTER (i = floor(k * 0.99e0)) AS p99 FROM r GROUP BY src) p ON p.src = o.src GROUP BY o.src"""
+)
+def running_latency(spark, d):
+    return serving.running_latency(observations(spark, d), ["us", "id"], "bytes", ["src"]).withColumn("latency", r6("latency"))
+
+
+@query(
+    f"""WITH {RISK_SQL}, e AS (SELECT *, CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 40 THEN 'MEDIUM' WHEN raw >= 20 THEN 'LOW' ELSE 'INFORMATIONAL' END AS level FROM rs), k AS (SELECT incident_key, list_sort(list(DISTINCT threat_class)) AS b FROM al GROUP BY 1)
+SELECT incident_key, concat_ws(' ', upper(level[1]) || lower(level[2:]) || ' risk was assigned because a single internal source generated ' || CASE WHEN len(b) = 1 THEN b[1] ELSE array_to_string(b[1:len(b) - 1], ', ') || ', and ' || b[len(b)] END || '.',
+  CASE WHEN temporal_bonus > 0 AND corroboration > 0 THEN 'These events occurred within a tightly correlated time window and flagged by multiple independent detectors.' WHEN temporal_bonus > 0 THEN 'These events occurred within a tightly correlated time window.' WHEN corroboration > 0 THEN 'These events occurred flagged by multiple independent detectors.' END,
+  CASE WHEN progression_bonus > 0 THEN 'The sequence of these indicators is consistent with potentially malicious multi-stage activity.' WHEN level IN ('HIGH', 'CRITICAL') THEN 'The observed indicators form a potentially related sequence of high-risk behavior.' END) AS explanation FROM e JOIN k USING (incident_key)"""
+)
+def risk_explanation(spark, d):
+    r = A.risk(_toy_incidents(spark, d), alerts(spark, d))
+    above = lambda c: F.col(c) > 0
+    return r.select("incident_key", A.risk_explanation(F.col("risk_level"), F.col("sources"), F.col("detectors"), above("temporal_bonus"), above("corroboration"), above("progression_bonus")).alias("explanation"))
+
+
+@query(
+    """WITH x AS (SELECT toxic, ntile_key, count(*) AS n FROM (SELECT toxic, doc_id % 7 + toxic AS ntile_key FROM labels) GROUP BY ALL), p AS (SELECT ntile_key AS s, sum(n) FILTER (toxic = 1) AS p, sum(n) FILTER (toxic = 0) AS q FROM x GROUP BY 1),
+w AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, coalesce(sum(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
+SELECT sum(p)::BIGINT AS positives, sum(q)::BIGINT AS negatives, round(sum(p * (b + q / 2e0)) / (sum(p) * sum(q)), 6) AS auc FROM w"""
+)
+def roc_auc(spark, d):
+    rows = table(spark, d, "labels").select("toxic", (F.col("doc_id") % 7 + F.col("toxic")).cast("double").alias("score"))
+    return evaluation.roc_auc(rows, "score", "toxic").withColumn("auc", r6("auc"))
+
+
+@query(f"WITH {OBS} SELECT id, 'fd00:' || printf('%x', src % 65535 + 1) || CASE WHEN id % 3 = 0 THEN '' ELSE ':0:' || printf('%x', id % 3) END || '::/64' AS net FROM obs")
+def subnet64(spark, d):
+    o = observations(spark, d)
+    part = F.lower(F.hex(F.col("src") % 65535 + 1))
+    ip = F.when(F.col("id") % 3 == 0, F.concat(F.lit("FD00:"), part, F.lit("::"), F.lower(F.hex(F.col("id") % 65536)))).otherwise(F.concat(F.lit("fd00:"), part, F.lit(":0000:000"), (F.col("id") % 3).cast("string"), F.lit(":1:2:3:4")))
+    return o.select("id", lexical.subnet(ip).alias("net"))
+
+
+@query(f"WITH {RISK_SQL}, f AS (SELECT incident_key, max(us) AS last FROM al GROUP BY 1) SELECT incident_key FROM rs JOIN f USING (incident_key) ORDER BY last DESC, incident_key OFFSET 3 LIMIT 20")
+def incidents_recent(spark, d):
+    return serving.top_incidents(A.risk(_toy_incidents(spark, d), alerts(spark, d)), 20, 3, "last_seen", "incident_key").select("incident_key")
+
+
+@query(f"WITH {ALERTS} SELECT threat_class, count(*) AS n, round(sum(detection_score), 4) AS total, count(*) FILTER (id % 2 = 0) AS evidence FROM al GROUP BY 1")
+def sink_alerts(spark, d):
+    """Alerts saved twice, read back with their evidence."""
+    one = F.array(F.struct(F.lit("f").alias("feature"), F.col("detection_score").alias("score")))
+    a = alerts(spark, d).withColumn("evidence", F.when(F.col("id") % 2 == 0, one).otherwise(F.array().cast("array<struct<feature:string,score:double>>")))
+    folder = fresh_dir(spark, "alerts")
+    for _ in range(2):
+        sinks.save_alerts(spark, a, folder)
+    proof = spark.read.parquet(f"{folder}/evidence").groupBy(F.col("alert_id").alias("id")).agg(F.count(F.lit(1)).alias("e"))
+    back = spark.read.parquet(f"{folder}/alerts").join(proof, "id", "left")
+    return back.groupBy("threat_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("detection_score"), 4).alias("total"), F.sum(F.coalesce("e", F.lit(0))).alias("evidence"))
+
+
+@query(f"WITH {RISK_SQL}, f AS (SELECT incident_key, min(us) AS first, max(us) AS last, count(*) AS links FROM al GROUP BY 1) SELECT incident_key, first, CASE WHEN hash_key THEN last + 1000000 ELSE last END AS last, links FROM (SELECT *, split_part(incident_key, '-', 1)::INT % 2 = 0 AS hash_key FROM f)")
+def sink_incidents(spark, d):
+    """Incidents of a run and a second run over half of them: latest rows, first times, links once each."""
+    a, folder = alerts(spark, d), fresh_dir(spark, "incidents")
+    found = a.groupBy("incident_key").agg(F.min("us").alias("first_seen"), F.max("us").alias("last_seen"))
+    links = a.select("incident_key", F.col("id").cast("string").alias("id"))
+    sinks.save_incidents(spark, found, links, folder, "incident_key")
+    again = found.filter(F.split_part("incident_key", F.lit("-"), F.lit(1)).cast("int") % 2 == 0).select("incident_key", (F.col("first_seen") + 5).alias("first_seen"), (F.col("last_seen") + 1_000_000).alias("last_seen"))
+    sinks.save_incidents(spark, again, links, folder, "incident_key")
+    counts = spark.read.parquet(f"{folder}/links").groupBy("incident_key").agg(F.count(F.lit(1)).alias("links"))
+    return sinks.latest_incidents(spark, folder).drop("version").join(counts, "incident_key").select("incident_key", F.col("first_seen").alias("first"), F.col("last_seen").alias("last"), "links")
+
+
+@query(f"WITH {HOSTS} SELECT page_id::VARCHAR AS uid, page_id * 1000000 AS us, CASE WHEN page_id % 5 > 0 THEN qname END AS query_name, CASE WHEN page_id % 3 = 0 THEN 'TXT' ELSE 'A' END AS query_type, CASE WHEN page_id % 4 > 0 THEN 'NXDOMAIN' END AS response_code, page_id % 2 = 0 AS is_query FROM hosts")
+def src_tsv_dns(spark, d):
+    i, mark = F.col("page_id"), F.lit("-")
+    parts = [F.format_string("%.6f", i.cast("double")), i.cast("string"), F.lit("10.0.0.1"), F.lit("5000"), F.lit("8.8.8.8"), F.lit("53"), F.when(i % 5 > 0, F.col("qname")).otherwise(mark), F.when(i % 3 == 0, "16").otherwise(mark), F.when(i % 3 == 0, mark).otherwise("A"), F.when(i % 4 > 0, "NXDOMAIN").otherwise(mark), F.when(i % 2 == 0, "F").otherwise("T")]
+    lines = hosts(spark, d).select(F.concat_ws("\t", *parts).alias("value"))
+    fields = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "query", "qtype", "qtype_name", "rcode_name", "QR"]
+    out = logs.dns_events(logs.read_tsv(spark, _written_text(lines, "dns-tsv"), fields))
+    return out.select(F.col("zeek_uid").alias("uid"), F.round(F.col("timestamp") * 1e6).cast("long").alias("us"), "dns.query_name", "dns.query_type", "dns.response_code", "dns.is_query")
+
+
+@query(f"WITH {HOSTS} SELECT page_id::VARCHAR AS uid, CASE WHEN page_id % 3 > 0 THEN qname END AS sni, CASE page_id % 4 WHEN 0 THEN 'TLSv13' WHEN 1 THEN 'TLSv12' WHEN 2 THEN 'SSLv3' END AS version, CASE WHEN page_id % 2 = 0 THEN true WHEN page_id % 7 > 0 THEN false END AS resumed, CASE WHEN page_id % 4 = 0 THEN 'tls13' WHEN page_id % 4 = 1 THEN 'tls12' WHEN page_id % 4 = 2 THEN 'old' END AS kind FROM hosts")
+def src_tsv_ssl(spark, d):
+    i, mark = F.col("page_id"), F.lit("-")
+    version = F.when(i % 4 == 0, "TLSv13").when(i % 4 == 1, "TLSv12").when(i % 4 == 2, "SSLv3").otherwise(mark)
+    parts = [F.format_string("%.6f", i.cast("double")), i.cast("string"), F.lit("10.0.0.1"), F.lit("5000"), F.lit("1.1.1.1"), F.lit("443"), version, F.when(i % 3 > 0, F.col("qname")).otherwise(mark), F.when(i % 2 == 0, "T").when(i % 7 > 0, "F").otherwise(mark)]
+    lines = hosts(spark, d).select(F.concat_ws("\t", *parts).alias("value"))
+    fields = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "version", "server_name", "resumed"]
+    out = logs.ssl_events(logs.read_tsv(spark, _written_text(lines, "ssl-tsv"), fields))
+    return out.select(F.col("zeek_uid").alias("uid"), "tls.sni", "tls.version", "tls.resumed", lexical.tls_class(F.col("tls.version")).alias("kind"))
+
 
 # --- streams ---------------------------------------------------------------------------------------------------------------------
 
@@ -906,8 +1049,23 @@ def model_dga_forest(spark, d):
     made = items.withColumns(features.dns_columns(F.col("qname"), F.col("qtype"), F.lit(0), F.lit("NOERROR"), F.lit(True))).withColumn("label", F.lit(1))
     rows = names.unionByName(made)
     train, test = models.split(rows, "label", "dns_query_name")
-    model = models.train_forest(train, models.dga_vector(), trees=20, depth=6)
-    return models.add_score(test, model, models.dga_vector()).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("model_score").alias("mean_score"))
+    model = models.train_forest(train, models.dga_vector())
+    return evaluation.roc_auc(models.add_score(test, model, models.dga_vector()), "model_score", "label").withColumn("auc", r6("auc"))
+
+
+@query()
+def model_encrypted_boosted(spark, d):
+    """How well boosted trees tell the sessions of large orders from small ones by the flow statistics that encrypted sessions have."""
+    w = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("_l"))
+    sizes, times = F.transform("_l", lambda x: x["l_quantity"].cast("double")), F.transform("_l", lambda x: x["l_extendedprice"].cast("double") / 1e3)
+    named = {
+        "flow_duration": stats.total(times), "packet_count": F.size(sizes).cast("double"), "byte_count": stats.total(sizes), "packets_per_second": F.size(sizes) / stats.total(times), "bytes_per_second": stats.total(sizes) / stats.total(times), "pkt_size_mean": stats.mean(sizes),
+        "pkt_size_std": stats.stddev(sizes), "pkt_size_min": F.array_min(sizes), "pkt_size_max": F.array_max(sizes), "iat_mean": stats.mean(times), "iat_std": stats.stddev(times), "iat_cv": stats.cv(times), "splt_sizes": sizes, "splt_times": times,
+    }
+    rows = w.select("k", *[v.alias(n) for n, v in named.items()]).withColumn("label", F.when(F.col("pkt_size_mean") * F.col("iat_mean") > 1000, 1).otherwise(0))
+    train, test = models.split(rows, "label", "k")
+    model = models.train_boosted(train, models.encrypted_vector(), rounds=20, depth=4)
+    return evaluation.roc_auc(models.add_score(test, model, models.encrypted_vector()), "model_score", "label").withColumn("auc", r6("auc"))
 
 
 @query()
