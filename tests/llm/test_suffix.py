@@ -27,9 +27,9 @@ def found(rows) -> dict:
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in rows}
 
 
-@pytest.mark.parametrize("block", [20_000, 1])
-def test_against_brute_force(odd, texts, block):
-    assert found(suffix_dedup.remove_repeats(odd, block_segments=block).collect()) == brute(texts)
+@pytest.mark.parametrize("block, busy", [(20_000, 5_000), (2, 1)])
+def test_against_brute_force(odd, texts, block, busy):
+    assert found(suffix_dedup.remove_repeats(odd, block_segments=block, busy_segments=busy).collect()) == brute(texts)
 
 
 def test_busy_keys_are_split(spark):
@@ -37,7 +37,7 @@ def test_busy_keys_are_split(spark):
     passage = "the quick brown fox jumps over the lazy dog, said the page nr"
     texts = {i: f"{'x' * (i % 3)}{passage}{i * i * 7919} and {i} {passage[:52]}{i % 4}" for i in range(1, 60)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert found(suffix_dedup.remove_repeats(docs, block_segments=3).collect()) == brute(texts)
+    assert found(suffix_dedup.remove_repeats(docs, block_segments=3, busy_segments=3).collect()) == brute(texts)
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):

@@ -54,6 +54,7 @@ def test_long_words_follow_the_same_rule(vocabulary, monkeypatch):
 
 def test_encode_and_decode_tables(odd, nothing, texts):
     rows = {r["doc_id"]: r for r in pieces.summarise(pieces.encode(odd)).collect()}
+    assert sorted(pieces.encode_checked(odd).collect()) == sorted(pieces.summarise(pieces.encode(odd)).collect())
     assert len(rows) == len(texts) and all(r["lossless"] for r in rows.values())
     assert [rows[i]["n_tokens"] for i in (1, 2)] == [0, 0] and rows[1]["ids_crc32"] == 0
     assert pieces.encode(nothing).collect() == []
