@@ -500,6 +500,20 @@ def det_c2(spark, d):
     return out.select("id", F.round("r.detection_score", 10).alias("score"), F.round("r.confidence", 10).alias("confidence"), F.col("r.sub_type").alias("sub_type"), F.col("r.is_suppressed").alias("suppressed"))
 
 
+@query(
+    f"""WITH {BEACON_SQL}, u AS (SELECT id, count(DISTINCT dst) OVER (PARTITION BY src ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS h FROM obs),
+x AS (SELECT id, n, h, CASE WHEN n >= 5 AND cv IS NOT NULL AND len(g) >= 3 THEN least(1e0, greatest(0e0, 1 - cv / 0.6e0)) ELSE 0e0 END AS p0, CASE WHEN n >= 10 THEN n / (n + 50e0) ELSE 0e0 END AS q,
+  CASE WHEN n >= 5 THEN greatest(coalesce(least(1e0, greatest(0e0, 1 - bcv / 0.8e0)), 0e0), coalesce(0.5e0 * least(1e0, greatest(0e0, 1 - pcv / 0.8e0)), 0e0)) ELSE 0e0 END AS z, CASE WHEN h BETWEEN 1 AND 3 THEN 1e0 / h ELSE 0e0 END AS few FROM bc JOIN u USING (id)),
+y AS (SELECT *, CASE WHEN p0 >= 0.1 THEN p0 ELSE 0e0 END AS p FROM x)
+SELECT id, h AS hosts, CASE WHEN n >= 5 THEN round(0.4e0 * p + 0.25e0 * q + 0.2e0 * z + 0.15e0 * few, 10) ELSE 0e0 END AS score FROM y"""
+)
+def det_c2_behaviour(spark, d):
+    """Beacons with how few destinations their source has."""
+    hosts_ = windows.source_features(observations(spark, d), (86_400,), ["src_uniq_dst_hosts"]).select("id", "src_uniq_dst_hosts_86400s")
+    out = detectors.c2_beacon(_beacons(spark, d).join(hosts_, "id"), config(c2={"expire": 5 * 86_400.0}, flow={"windows": (86_400,)}), name="r")
+    return out.select("id", F.col("src_uniq_dst_hosts_86400s").alias("hosts"), F.round("r.detection_score", 10).alias("score"))
+
+
 @query(
     f"""WITH {LEX}, s AS (SELECT page_id, CASE WHEN h >= 4.2 THEN 0.6e0 WHEN h >= 3.5 THEN 0.3e0 * (h - 3.5e0) / (4.2e0 - 3.5e0) ELSE 0e0 END AS a, CASE WHEN ng >= 3.8 THEN 0.4e0 WHEN ng >= 3.2 THEN 0.2e0 * (ng - 3.2e0) / (3.8e0 - 3.2e0) ELSE 0e0 END AS b,
   CASE WHEN len >= 35 THEN least(0.4e0, 0.4e0 * len / 52.5e0) ELSE 0e0 END AS c, CASE WHEN digits >= 0.3 THEN least(0.3e0, 0.3e0 * digits / 0.8e0) ELSE 0e0 END AS e, CASE WHEN uniq >= 25 THEN 0.3e0 ELSE 0e0 END AS u FROM lex),
@@ -674,16 +688,17 @@ def alert_dedup_session(spark, d):
 
 
 @query(
-    f"""WITH {ALERTS}, p AS (SELECT a.id AS a, b.id AS b, a.source_ip = b.source_ip AS ss, a.destination_ip = b.destination_ip AS sd, abs(a.us - b.us) / 1e6 AS dt, a.threat_class AS ta, b.threat_class AS tb FROM al a JOIN al b ON a.source_ip = b.source_ip AND b.id > a.id AND b.us - a.us <= 3600000000),
+    f"""WITH {ALERTS}, p AS (SELECT a.id AS a, b.id AS b, a.source_ip = b.source_ip AS ss, a.destination_ip = b.destination_ip AS sd, abs(a.us - b.us) / 1e6 AS dt, a.threat_class AS ta, b.threat_class AS tb FROM al a JOIN al b ON a.source_ip = b.source_ip AND b.id > a.id AND abs(b.us - a.us) <= 3600000000),
 o AS (SELECT *, list_position(['Reconnaissance', 'DNS_DGA', 'DNS_Tunnel', 'C2_Beacon', 'EncryptedAnomaly', 'Exfiltration'], ta) AS pa, list_position(['Reconnaissance', 'DNS_DGA', 'DNS_Tunnel', 'C2_Beacon', 'EncryptedAnomaly', 'Exfiltration'], tb) AS pb FROM p)
 SELECT a, b, round(least(1e0, CASE WHEN ss THEN 0.35e0 ELSE 0e0 END + CASE WHEN sd THEN 0.3e0 ELSE 0e0 END + 0.2e0 * CASE WHEN dt <= 300 THEN 1e0 WHEN dt >= 3600 THEN 0e0 ELSE 1 - (dt - 300) / 3300 END + 0.15e0 * CASE WHEN coalesce(pb, 0) = 0 THEN 0e0 WHEN coalesce(pa, 0) > 0 AND pa < pb THEN 1e0 WHEN ta <> tb THEN 0.5e0 ELSE 0e0 END), 6) AS score FROM o"""
 )
 def correlation_pair_score(spark, d):
-    a = alerts(spark, d)
-    b = a.select(F.col("id").alias("b"), F.col("source_ip").alias("s2"), F.col("destination_ip").alias("d2"), F.col("us").alias("us2"), F.col("threat_class").alias("t2"))
-    p = a.join(b, (F.col("source_ip") == F.col("s2")) & (F.col("b") > F.col("id")) & (F.col("us2") - F.col("us") <= 3_600_000_000))
+    """Pairs of alerts of one source at most an hour apart. They meet in hours: each alert in its own, and as the second of a pair in those beside it."""
+    a = alerts(spark, d).withColumn("slot", F.floor(F.col("us") / 3_600_000_000))
+    b = a.select(F.col("id").alias("b"), F.col("source_ip").alias("s2"), F.col("destination_ip").alias("d2"), F.col("us").alias("us2"), F.col("threat_class").alias("t2"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot2"))
+    p = a.join(b, (F.col("source_ip") == F.col("s2")) & (F.col("slot") == F.col("slot2")) & (F.col("b") > F.col("id")) & (F.abs(F.col("us2") - F.col("us")) <= 3_600_000_000))
     sequence = scoring.sequence_match(F.col("t2"), F.array("threat_class"))
-    score = scoring.pair_score(F.col("source_ip") == F.col("s2"), F.col("destination_ip") == F.col("d2"), (F.col("us2") - F.col("us")) / 1e6, sequence)
+    score = scoring.pair_score(F.col("source_ip") == F.col("s2"), F.col("destination_ip") == F.col("d2"), F.abs(F.col("us2") - F.col("us")) / 1e6, sequence)
     return p.select(F.col("id").alias("a"), "b", r6(score).alias("score"))
 
 
@@ -695,18 +710,36 @@ def correlation_incidents(spark, d):
 
 
 def _packet_events(spark, d) -> DataFrame:
+    """The observations as packets: a third of the services are DNS and a third TLS, whose names are those of pages with the event's number, or made-up ones."""
     e = addresses(observations(spark, d))
-    none = {"ip_version": "int", "dns": schemas.DNS, "tls": schemas.TLS, "aggregated_duration": "double", "aggregated_packet_count": "long", "aggregated_byte_count": "long"}
-    return e.withColumns({**{c: F.lit(None).cast(t) for c, t in none.items()}, "timestamp": F.col("seconds"), "is_aggregated": F.lit(False)})
+    port = F.when(F.col("destination_port") == 81, 53).when(F.col("destination_port") == 82, 443).otherwise(F.col("destination_port"))
+    e = e.withColumns({"destination_port": port, "protocol": F.when(port == 53, 17).otherwise(F.col("protocol"))})
+    e = e.join(hosts(spark, d).select(F.col("page_id").alias("event_id"), "qname"), "event_id", "left")
+    i, none = F.col("event_id"), lambda t: F.lit(None).cast(t)
+    name = F.coalesce("qname", F.concat(F.sha1(i.cast("string")), F.lit(".net")))
+    dns = F.struct(name.alias("query_name"), F.when(i % 3 == 0, "TXT").otherwise("A").alias("query_type"), none("string").alias("query_class"), F.when(i % 4 == 0, "NXDOMAIN").otherwise("NOERROR").alias("response_code"), F.lit(0).alias("answer_count"), F.lit(True).alias("is_query"), none("int").alias("transaction_id"), none("int").alias("ttl"))
+    tls = F.struct(F.when(i % 3 == 0, "TLS 1.0").otherwise("TLS 1.3").alias("version"), F.when(i % 2 == 0, name).alias("sni"), *[none("string").alias(n) for n in ("cipher_suite", "ja3_fingerprint", "ja3s_fingerprint", "cert_subject", "cert_issuer", "cert_not_before", "cert_not_after")], none("boolean").alias("is_self_signed"), none("boolean").alias("resumed"))
+    more = {"ip_version": none("int"), "aggregated_duration": none("double"), "aggregated_packet_count": none("long"), "aggregated_byte_count": none("long")}
+    return e.withColumns({"dns": F.when(F.col("destination_port") == 53, dns).cast(schemas.DNS), "tls": F.when(F.col("destination_port") == 443, tls).cast(schemas.TLS), **more, "timestamp": F.col("seconds"), "is_aggregated": F.lit(False)}).drop("qname")
+
+
+LOW = config(flow={"windows": (10, 60, 3600)}, recon={"min_connections": 2, "fan": 2, "pairs": 2, "subnets": 2}, tunnel={"min_queries": 2, "window": 3600, "rate": (0.0001, 0.01), "length": 20, "entropy": 3.0})
 
 
 @query()
 def end_to_end_alerts(spark, d):
     """Packets to alerts: flows, all features and all detectors."""
-    found = pipeline.detect(_packet_events(spark, d), config(flow={"windows": (10, 60, 3600)}, recon={"min_connections": 2, "fan": 2, "pairs": 2, "subnets": 2}))
+    found = pipeline.detect(_packet_events(spark, d), LOW)
     return found.select("id", "threat_class", "sub_type", "severity", r6("detection_score").alias("score"), r6("confidence").alias("confidence"), "source_ip", "destination_ip")
 
 
+@query()
+def end_to_end_incidents(spark, d):
+    """Packets to incidents, by their risk."""
+    found = pipeline.investigate(_packet_events(spark, d), F.lit(AS_OF), LOW)
+    return found.select("incident_id", "first_seen", "last_seen", "sources", "detectors", "alert_count", r6("risk_score").alias("risk_score"), "risk_level", "priority", "explanation")
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------------------
 
 
