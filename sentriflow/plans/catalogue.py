@@ -356,6 +356,18 @@ def event_properties(spark, d):
     return e.select("event_id", lexical.dictionary(F.col("protocol"), lexical.PROTOCOLS).alias("proto"), scoring.iso_time(F.col("seconds")).substr(1, 19).alias("t"), lexical.is_syn(f).alias("syn"), lexical.is_syn_ack(f).alias("syn_ack"))
 
 
+@query(f"WITH {ADDRESSES} SELECT event_id, strftime(make_timestamp(us), '%H:%M:%S.%f') || ' ' || source_ip || ':' || source_port || ' \u2192 ' || destination_ip || ':' || destination_port || ' [' || CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END || '] ' || packet_length || 'B' AS line FROM adr")
+def event_summary(spark, d):
+    e = addresses(observations(spark, d))
+    return e.select("event_id", flows.event_summary(*[F.col(c) for c in ("seconds", "source_ip", "source_port", "destination_ip", "destination_port", "protocol", "packet_length")]).alias("line"))
+
+
+@query(f"WITH {ALERTS} SELECT id, round_even(detection_score / 3, 4) AS detection_score, round_even(confidence, 4) AS confidence FROM al")
+def alerts_rounded(spark, d):
+    rows = alerts(spark, d).select("id", (F.col("detection_score") / 3).alias("detection_score"), "confidence")
+    return A.rounded(rows)
+
+
 # --- baselines and histories -----------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`. Where it is unset, a single-machine session gets a temporary folder, and a cluster's an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
