@@ -12,8 +12,14 @@ from sentriflow.llm import exact_dedup, language_id, mixing, near_dedup, pieces
 from sentriflow.llm.common import materialize
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Rows hold whole texts, and executors run all stages one after another: hand fewer of them to Python at a time than Spark does by default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts, texts without letters and texts that no mixture of the learned languages explains go."""
+    few_rows(spark)
     return language_id.keep_known(docs)
 
 
@@ -34,7 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row (doc_id, tokens), with their number and CRC, the digest of the text they decode to, and whether it is the row's."""
-    return pieces.summarise(pieces.encode(docs))
+    few_rows(spark)
+    return pieces.encode_checked(docs)
 
 
 STAGES = [

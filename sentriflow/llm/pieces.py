@@ -241,17 +241,8 @@ def _default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED
-) -> DataFrame:
-    """One row per row of `df`: id, text as it came, and tokens (array of ids).
-
-    Null and empty texts have no tokens. Rows that repeat id and text get equal tokens; equal texts of other ids are segmented on their
-    own; of merges of equal score the leftmost goes first. U+2581 in a text is encoded as bytes, so that it doesn't come back as a space. A text
-    of any length is encoded whole, in one piece; a word of any length too. An empty table gives an empty result. Only the id and the text are read.
-    """
-    spark = df.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
+def _encoded(vocabulary, dropout: float, seed: int):
+    """Batches of (_id, _text, _key) to batches of (_id, _text, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, dropout, seed)
@@ -262,9 +253,25 @@ def encode(
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["_id", "_text", "tokens"])
 
+    return run
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("string")).alias("_key"))
+
+
+def encode(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED
+) -> DataFrame:
+    """One row per row of `df`: id, text as it came, and tokens (array of ids).
+
+    Null and empty texts have no tokens. Rows that repeat id and text get equal tokens; equal texts of other ids are segmented on their
+    own; of merges of equal score the leftmost goes first. U+2581 in a text is encoded as bytes, so that it doesn't come back as a space. A text
+    of any length is encoded whole, in one piece; a word of any length too. An empty table gives an empty result. Only the id and the text are read.
+    """
+    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("string")).alias("_key"))
-    out = rows.mapInArrow(run, f"_id {kind}, _text string, tokens array<int>")
+    out = _keyed(df, id_col, text_col).mapInArrow(_encoded(vocabulary, dropout, seed), f"_id {kind}, _text string, tokens array<int>")
     return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "tokens")
 
 
@@ -287,33 +294,44 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, StringType())]))
 
 
-def summarise(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(id, tokens, n_tokens, ids_crc32, decoded_sha256, lossless) of encoded rows, after decoding them.
+_SUMMARY = "tokens array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
-    Decoding and the digests are one step, so that a task needs two Python workers (with the encoder's), not more. Null token lists count as empty.
-    """
-    kind = dict(encoded.dtypes)[id_col]
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
+
+def _summarised(vocabulary):
+    """Batches of (_id, _text, tokens) to the columns of `summarise`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
+            texts = batch.column(1).cast(pa.binary())
             for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                lists = part.column(2)
+                lists = batch.column(2).slice(a, 500)
                 first = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
                 tokens = lists.flatten().to_numpy().astype("<u4")
-                for text, back, x, y in zip(part.column(1), decode_slice(vocabulary.value, tokens, first), first[:-1], first[1:]):
+                for text, back, x, y in zip(texts.slice(a, 500), decode_slice(vocabulary.value, tokens, first), first[:-1], first[1:]):
                     raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                     rows.append((int(y - x), zlib.crc32(tokens[x:y].tobytes()), hashlib.sha256(back).hexdigest(), raw == back))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["_id", "tokens", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
-    rows = encoded.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), "tokens")
-    out = rows.mapInArrow(run, f"_id {kind}, tokens array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
-    return out.withColumnRenamed("_id", id_col)
+    return run
+
+
+def summarise(encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """(id, tokens, n_tokens, ids_crc32, decoded_sha256, lossless) of encoded rows, after decoding them. Null token lists count as empty."""
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
+    kind = dict(encoded.dtypes)[id_col]
+    rows = encoded.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), "tokens")
+    return rows.mapInArrow(_summarised(vocabulary), f"_id {kind}, {_SUMMARY}").withColumnRenamed("_id", id_col)
+
+
+def encode_checked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """`summarise(encode(df))` in one step, so that a task needs one Python worker and texts go there once."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
+    encoded, summarised, kind = _encoded(vocabulary, dropout, seed), _summarised(vocabulary), dict(df.dtypes)[id_col]
+    return _keyed(df, id_col, text_col).mapInArrow(lambda batches: summarised(encoded(batches)), f"_id {kind}, {_SUMMARY}").withColumnRenamed("_id", id_col)
 
 
 def op3_sentencepiece_dropout(spark, sf_dir: str) -> DataFrame:
-    return summarise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return encode_checked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
