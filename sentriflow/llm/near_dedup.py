@@ -7,8 +7,9 @@ Coordinates of two sets agree with a probability equal to their similarity, conc
 
 Banding: `BANDS` hashes of `ROWS` coordinates; at similarity 0.85 a pair shares no band with probability 3e-10, at 0.8 1.4e-7.
 
-Equal sets (by SHA-256 of the whole sorted set) are one class from the start. In a round, each bucket's members are compared with one centre, the member
-that shares most buckets; the centre then leaves the bucket, as all its links there are known, and buckets whose members are all joined are done.
+Equal sets (by SHA-256 of the whole sorted set) are one class from the start. A bucket's centre is the member that shares most buckets. Each member is first compared
+with the best of its buckets' centres, and buckets whose members are all joined are done. Then, round by round, the members of each open bucket are
+compared with its centre, which leaves the bucket, as all its links there are known.
 After `ROUNDS` rounds, the members of each bucket that is still open are compared in full, in pairs of blocks of bounded bytes and of sizes that allow a link,
 so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list of all pairs is ever made.
 """
@@ -182,21 +183,20 @@ def _solve(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> D
     degree = rows.groupBy("_rep").agg(F.sum("_count").alias("_degree"))
     rows = materialize(rows.join(degree, "_rep").drop("_count"), "near-members")
 
-    links, labels = None, None
+    # first each member with one of its buckets' centres, which joins most of a large group by a link a member
+    links = materialize(_linked(materialize(_nearest(rows, percent), "near-pairs"), docs, k, percent), "near-links")
+    labels = connected_components(links) if not links.isEmpty() else None
+    rows = _unsettled(rows, labels)
     for _ in range(ROUNDS):
-        centre = rows.groupBy("_h").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"), "_n")).alias("_c"))
-        centre = centre.select(F.expr("_h ^ 1").alias("_g"), (-F.col("_c._minus")).alias("_rep2"), F.col("_c._n").alias("_n2"))
-        met = rows.join(centre, F.expr("_h ^ 1") == F.col("_g")).filter("_rep != _rep2")
-        met = materialize(_labelled(met, labels), "near-met")
+        if rows.isEmpty():
+            break
+        met = materialize(_labelled(_met(rows), labels), "near-met")
         pairs = materialize(_candidates(_apart(met, labels), percent), "near-pairs")
-        found = materialize(_linked(pairs, docs, k, percent), "near-links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(materialize(_linked(pairs, docs, k, percent), "near-links"))
         labels = connected_components(links) if not links.isEmpty() else None
         # the centres have met all of their buckets
         rows = _unsettled(met.select("_rep", "_n", "_h", "_degree"), labels)
-        if rows.isEmpty():
-            break
-    else:
+    if not rows.isEmpty():
         links = links.unionByName(materialize(_compare_rest(rows, docs, k, percent), "near-links"))
         labels = connected_components(links) if not links.isEmpty() else None
     classes = classes.select(F.expr("concat(_digest, X'')").alias("_of"), "_rep")
@@ -210,10 +210,26 @@ def _solve(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> D
     return out.unionByName(known.filter(~linked).select("_id", "_row", "n_shingles", F.col("_id").alias("_component")))
 
 
+def _sizes_allow(percent: int):
+    return F.least("_n", "_n2") * 100 >= F.greatest("_n", "_n2") * percent
+
+
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct (u, v), u < v, of (_rep, _n) and (_rep2, _n2) whose sizes allow the similarity."""
-    sizes = F.least("_n", "_n2") * 100 >= F.greatest("_n", "_n2") * percent
-    return pairs.filter(sizes).select(F.least("_rep", "_rep2").alias("u"), F.greatest("_rep", "_rep2").alias("v")).distinct()
+    return pairs.filter(_sizes_allow(percent)).select(F.least("_rep", "_rep2").alias("u"), F.greatest("_rep", "_rep2").alias("v")).distinct()
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """`rows` with the centre of their bucket (_rep2, _n2, _degree2), without the centres themselves."""
+    centre = rows.groupBy("_h").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"), "_n")).alias("_c"))
+    centre = centre.select(F.expr("_h ^ 1").alias("_g"), (-F.col("_c._minus")).alias("_rep2"), F.col("_c._n").alias("_n2"), F.col("_c._degree").alias("_degree2"))
+    return rows.join(centre, F.expr("_h ^ 1") == F.col("_g")).filter("_rep != _rep2").drop("_g")
+
+
+def _nearest(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of each member and, of the centres of its buckets whose size allows a link, the one that shares most buckets."""
+    best = _met(rows).filter(_sizes_allow(percent)).groupBy("_rep").agg(F.max(F.struct("_degree2", (-F.col("_rep2")).alias("_minus"))).alias("_c"))
+    return best.select(F.least("_rep", -F.col("_c._minus")).alias("u"), F.greatest("_rep", -F.col("_c._minus")).alias("v")).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
