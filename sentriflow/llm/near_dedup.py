@@ -35,7 +35,7 @@ ROUNDS = 3
 #: Documents in a block, and shingles of all of them (8 bytes each), when the rest of a bucket is compared in full.
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Rows that go to Python at a time; each holds a text, a set or two.
-BATCH_ROWS = 500
+BATCH_ROWS = 100
 _ROUND_BLOCK = 8
 
 
