@@ -9,7 +9,7 @@ A byte goes if a string of `WINDOW` bytes that covers it also starts in a docume
 3. The segments are dealt out by key. Each task takes keys together into blocks of bounded size and builds the suffix order of a block's different segments
    column by column (`bwt`). Suffixes that share `WINDOW` bytes lie together in it; the smallest id of such a run
    decides for each window whether it goes. A segment that a smaller document has, too, goes as a whole.
-4. A key with more segments than a block takes is busy. Of its segments, different ones are found first, each with its smallest document, summed map-side: a passage
+4. A key with more than `BUSY_SEGMENTS` segments is busy. Of its segments, different ones are found first, each with its smallest document, summed map-side: a passage
    that a third of all documents hold is one row per task. The decisions on these are joined back to all documents that hold the segment. If the different
    ones are still too many, the windows are dealt out anew by half the distance of the anchor from a window's start and the longer string around the anchor that
    such windows share, again and again, until they fit. At the last split all windows of a key are equal.
@@ -31,10 +31,11 @@ from .text import U, mix64, prefix_hashes, utf8_column, window_hashes
 
 WINDOW = 50
 GRAM = 20
-#: Segments in a block, about; a key with more is busy.
+#: Segments in a block, about, and of a key from which on it is busy.
 BLOCK_SEGMENTS = 20_000
-#: Bits of the bitmap of shared keys: 16 MB.
-KEY_BITS = 27
+BUSY_SEGMENTS = 5_000
+#: The bitmap of shared keys has 2**28 bits: 32 MB.
+KEY_BITS = 28
 _SLICE = 1 << 15
 _CHUNK = 1 << 20
 _POSITION = 26
@@ -70,10 +71,6 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(offsets, first, "right") - 1, gram[at].view(np.int64), at, first, last, prefix
 
 
-def _bit(key: np.ndarray) -> np.ndarray:
-    return ((key.view(U) >> U(33))).astype(np.int32)
-
-
 def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets, offset in the row) for texts in pieces of about `_CHUNK` bytes; long ones in overlapping pieces."""
     data, offsets = utf8_column(column.cast(pa.string()))
@@ -92,23 +89,24 @@ def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """31 bits of the different keys of each document, with the number of its segments."""
+    """The different keys of each document, with the number of its segments."""
     for batch in batches:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, data, offsets, _ in chunks(batch.column(0)):
             doc, key, *_ = segments(data, offsets)
-            pair = rows[doc] << 31 | _bit(key)
             if len(rows) == 1:  # perhaps a piece of a long text
-                held.append(pair)
+                held.append((rows[doc], key))
                 continue
-            yield _key_batch(pair)
+            yield _key_batch(rows[doc], key)
         if held:
-            yield _key_batch(np.concatenate(held))
+            yield _key_batch(*(np.concatenate(x) for x in zip(*held)))
 
 
-def _key_batch(pair: np.ndarray) -> pa.RecordBatch:
-    found, count = np.unique(pair, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array((found & ((1 << 31) - 1)).astype(np.int32)), pa.array(count.astype(np.int32))], ["bit", "n"])
+def _key_batch(doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(key) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(np.diff(np.append(new, len(key))).astype(np.int32))], ["key", "n"])
 
 
 _ROW = "key long, lo int, hi int, place int, doc long, row long, starts array<long>, segment binary"
@@ -116,7 +114,7 @@ _ROW_NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
 
 def _in(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    bit = _bit(key) & ((1 << KEY_BITS) - 1)
+    bit = key & ((1 << KEY_BITS) - 1)  # the low bits: an anchor is the smallest hash of many, so its high ones are mostly 0
     return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -337,8 +335,8 @@ def _busy_spans(rows: DataFrame, block_segments: int, folder: str) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of the column `bit` of a written table: at most 4096 slices of 4 KB, whatever the input."""
-    bit = F.pmod(F.col("bit"), F.lit(1 << KEY_BITS))
+    """A bit for each key of a written table: at most 8192 slices of 4 KB, whatever the input."""
+    bit = F.pmod(F.col("key"), F.lit(1 << KEY_BITS)).cast("int")
     found = keys.groupBy(F.shiftright(bit, 15).alias("slice")).agg(F.bitmap_construct_agg(bit.bitwiseAND(_SLICE - 1).cast("long")).alias("bits")).toArrow()
     table = np.zeros(((1 << KEY_BITS) // _SLICE, _SLICE // 8), np.uint8)
     for s, b in zip(found["slice"].to_pylist(), found["bits"]):
@@ -346,12 +344,12 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def repeated_spans(texts: DataFrame, block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
+def repeated_spans(texts: DataFrame, block_segments: int = BLOCK_SEGMENTS, busy_segments: int = BUSY_SEGMENTS) -> DataFrame:
     """(doc, row, spans): byte ranges of `texts` (_id, _row, _text; ids not null) that a text with a smaller id holds, overlapping ones included."""
     spark = texts.sparkSession
     folder = fresh_dir(spark, "suffix-rounds")
-    counts = texts.select("_text").mapInArrow(_keys, "bit int, n int").groupBy("bit").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    shared = materialize(counts.filter("docs > 1").select("bit", (F.col("n") > block_segments).alias("busy")), "suffix-keys")
+    counts = texts.select("_text").mapInArrow(_keys, "key long, n int").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    shared = materialize(counts.filter("docs > 1").select("key", (F.col("n") > busy_segments).alias("busy")), "suffix-keys")
     wanted = spark.sparkContext.broadcast(_bitmap(shared))
     busy = shared.filter("busy")
     crowd = None if busy.isEmpty() else spark.sparkContext.broadcast(_bitmap(busy))
@@ -393,7 +391,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["_id", "n_bytes", "n_removed", "removed", "kept"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_segments: int = BLOCK_SEGMENTS, busy_segments: int = BUSY_SEGMENTS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, removed (byte ranges, maximal) and kept (the other bytes).
 
     Null texts count as empty; texts of fewer than `WINDOW` bytes lose nothing. A very long text is worked on in overlapping pieces. Rows that repeat an id
@@ -411,7 +409,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wholes = materialize(members.filter(later).select("_id", "_row").distinct(), "suffix-wholes")
     columns = ["_id", "_row", "_text"]
     unique = flagged.filter("NOT _maybe").select(columns).unionByName(members.filter(~later).select(columns))
-    spans = repeated_spans(unique, block_segments).groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    spans = repeated_spans(unique, block_segments, busy_segments).groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     changes = spans.select("doc", "row", "_spans", F.lit(False).alias("_whole")).unionByName(
         wholes.select(F.col("_id").alias("doc"), F.col("_row").alias("row"), F.lit(None).cast(_SPANS).alias("_spans"), F.lit(True).alias("_whole"))
     )
