@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, matroska, mixing, near_dedup, pieces, suffix_dedup, toxicity, warc, wavelet
+from . import collocations, exact_dedup, hard_negatives, language_id, matroska, mixing, near_dedup, pieces, suffix_dedup, toxicity, url_filter, warc, wavelet
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_media_matroska": matroska.op9_media_matroska,
     "op10_token_wavelet": wavelet.op10_token_wavelet,
+    "op11_url_filter": url_filter.op11_url_filter,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL}
+ORACLE_SQL = {**exact_dedup.SQL, **mixing.SQL, **url_filter.SQL, **hard_negatives.SQL, **collocations.SQL}
