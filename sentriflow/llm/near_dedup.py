@@ -10,7 +10,9 @@ Banding: `BANDS` hashes of `ROWS` coordinates; at similarity 0.85 a pair shares
 Equal sets (by SHA-256 of the whole sorted set) are one class from the start. A bucket's centre is the member that shares most buckets. Each member is first compared
 with the best of its buckets' centres, and buckets whose members are all joined are done. Then, round by round, the members of each open bucket are
 compared with its centre, which leaves the bucket, as all its links there are known.
-After `ROUNDS` rounds, the members of each bucket that is still open are compared in full, in pairs of blocks of bounded bytes and of sizes that allow a link,
+After `ROUNDS` rounds, what is left are mostly texts that meet in a band by chance. They are dealt out anew, by the rarest shingles: of a set of n shingles, one of the n - ceil(n percent / 100) + 1 rarest
+is in every set that is linked with it (prefix filter), and shingles that one of them holds alone decide nothing. So texts that share common passages alone meet no more. These smaller buckets go
+through the same rounds, and of the few that are still open, the members are compared in full, in pairs of blocks of bounded bytes and of sizes that allow a link,
 so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list of all pairs is ever made.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bitmap_bits, flag_in_bitmap, key_bitmap, materialize, row_key, without_rows
 from .components import connected_components
-from .text import U, lower_ascii, mix64, slices, word_hashes, words
+from .text import U, exact_word_hashes, lower_ascii, mix64, slices, words
 
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
@@ -37,6 +39,8 @@ BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Rows that go to Python at a time; each holds a text, a set or two.
 BATCH_ROWS = 100
 _ROUND_BLOCK = 8
+#: Shingles are counted by so many bits of their hash (8 bytes each: 8 MB), in slices.
+COUNT_BITS, _COUNT_SLICE = 20, 4096
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -44,7 +48,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in slices(column):
         data = lower_ascii(data)
         starts, ends, first = words(data, offsets)
-        h = word_hashes(data, starts, ends)
+        h = exact_word_hashes(data, starts, ends)
         n = len(h)
         rolled = np.zeros(max(0, n - k + 1), U)
         for j in range(k):
@@ -186,16 +190,9 @@ def _solve(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> D
     # first each member with one of its buckets' centres, which joins most of a large group by a link a member
     links = materialize(_linked(materialize(_nearest(rows, percent), "near-pairs"), docs, k, percent), "near-links")
     labels = connected_components(links) if not links.isEmpty() else None
-    rows = _unsettled(rows, labels)
-    for _ in range(ROUNDS):
-        if rows.isEmpty():
-            break
-        met = materialize(_labelled(_met(rows), labels), "near-met")
-        pairs = materialize(_candidates(_apart(met, labels), percent), "near-pairs")
-        links = links.unionByName(materialize(_linked(pairs, docs, k, percent), "near-links"))
-        labels = connected_components(links) if not links.isEmpty() else None
-        # the centres have met all of their buckets
-        rows = _unsettled(met.select("_rep", "_n", "_h", "_degree"), labels)
+    rows, links, labels = _rounds(_unsettled(rows, labels), links, labels, docs, k, percent)
+    if not rows.isEmpty():
+        rows, links, labels = _rounds(_unsettled(_by_rarest(rows, docs, k, percent), labels), links, labels, docs, k, percent)
     if not rows.isEmpty():
         links = links.unionByName(materialize(_compare_rest(rows, docs, k, percent), "near-links"))
         labels = connected_components(links) if not links.isEmpty() else None
@@ -210,6 +207,72 @@ def _solve(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> D
     return out.unionByName(known.filter(~linked).select("_id", "_row", "n_shingles", F.col("_id").alias("_component")))
 
 
+def _rounds(rows: DataFrame, links: DataFrame, labels: DataFrame | None, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """After `ROUNDS` rounds with a new centre per open bucket: the rows of buckets that are still open, all links, and their components."""
+    for _ in range(ROUNDS):
+        if rows.isEmpty():
+            break
+        met = materialize(_labelled(_met(rows), labels), "near-met")
+        pairs = materialize(_candidates(_apart(met, labels), percent), "near-pairs")
+        links = links.unionByName(materialize(_linked(pairs, docs, k, percent), "near-links"))
+        labels = connected_components(links) if not links.isEmpty() else None
+        # the centres have met all of their buckets
+        rows = _unsettled(met.select("_rep", "_n", "_h", "_degree"), labels)
+    return rows, links, labels
+
+
+def _hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task hold shingles of each of 2**`COUNT_BITS` hashes, in slices."""
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        for v in batch.column(1):
+            counts += np.bincount((np.frombuffer(v.as_buffer(), U) >> U(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
+    slices_ = counts.reshape(-1, _COUNT_SLICE)
+    used = np.flatnonzero(slices_.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([slices_[i].tobytes() for i in used], pa.binary())], ["slice", "counts"])
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    total = np.zeros(_COUNT_SLICE, np.int64)
+    for chunk in table["counts"].chunks:
+        for c in chunk:
+            total += np.frombuffer(c.as_buffer(), np.int64)
+    return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _prefixes(counts, percent: int):
+    """(_rep, _n, _h): the rarest shingles of each set, of which each set that is linked with it holds one; without those that no other set can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(v.as_buffer(), U)
+                n = len(s)
+                often = counts.value[(s >> U(64 - COUNT_BITS)).astype(np.int64)]
+                rarest = np.lexsort((s, often))[: n - -(-n * percent // 100) + 1]
+                h = s[rarest][often[rarest] > 1].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x), pa.int64()) for x in (rep, n)] + [pa.array(h)], ["_rep", "_n", "_h"])
+
+    return run
+
+
+def _by_rarest(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The members of open buckets (_rep, _n, _h, _degree) in buckets by their rarest shingles. "Rare" is by counts of hashes, an array of 2**`COUNT_BITS` numbers that is broadcast."""
+    spark = rows.sparkSession
+    ends = materialize(rows.select(F.col("_rep").alias("_e")).distinct(), "near-ends")
+    sets = materialize(_sets_of(ends, docs, k), "near-sets")
+    summed = sets.mapInArrow(_hashed_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_counts, "slice int, counts binary")
+    counts = np.zeros((1 << COUNT_BITS) // _COUNT_SLICE * _COUNT_SLICE, np.int64).reshape(-1, _COUNT_SLICE)
+    for r in summed.toLocalIterator():
+        counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    sent = spark.sparkContext.broadcast(counts.ravel())
+    near = materialize(sets.mapInArrow(_prefixes(sent, percent), "_rep long, _n long, _h long"), "near-rarest")
+    shared = near.groupBy("_h").agg(F.count(F.lit(1)).alias("_count")).filter("_count > 1")
+    near = near.join(shared.select(F.expr("_h ^ 1").alias("_g"), "_count"), F.expr("_h ^ 1") == F.col("_g")).drop("_g")
+    degree = near.groupBy("_rep").agg(F.sum("_count").alias("_degree")).select(F.expr("_rep ^ 1").alias("_r"), "_degree")
+    return materialize(near.join(degree, F.expr("_rep ^ 1") == F.col("_r")).drop("_count", "_r"), "near-members")
+
+
 def _sizes_allow(percent: int):
     return F.least("_n", "_n2") * 100 >= F.greatest("_n", "_n2") * percent
 

@@ -79,3 +79,28 @@ def test_connected_components(spark):
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 131)}, 3: 3, 7: 3, 9: 3}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_cheat_polynomial_hashes_stay_apart(spark):
+    a = thue_morse(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = {1: a, 2: b, 3: f"x {a} y", 4: f"x {b} y", 5: f"x {a} y", 6: "a" * 16 + " b", 7: "a" * 17 + " b", 8: "a" * 8 + "\0 b", 9: "a" * 8 + " b"}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=3, percent=85).collect()}
+    assert got == brute(texts, 3, 85) and got[5] == (1, 3)
+
+
+def test_texts_that_share_a_passage_are_not_compared_with_all(spark, monkeypatch):
+    """Similarity 0.3 to 0.6 meets in bands without a link; the rarest shingles keep such texts apart."""
+    common = " ".join(f"c{i}" for i in range(120))
+    texts = {i: f"{common} " + " ".join(f"d{i}x{j}" for j in range(60)) for i in range(1, 400)}
+    texts |= {1000 + i: texts[i] + " end" for i in range(1, 400, 40)}
+    rest = []
+    full = near_dedup._compare_rest
+    monkeypatch.setattr(near_dedup, "_compare_rest", lambda rows, *a: rest.append(rows.count()) or full(rows, *a))
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=3, percent=85).collect()}
+    assert got == brute(texts, 3, 85) and sum(rest) == 0
