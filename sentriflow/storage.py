@@ -32,6 +32,14 @@ def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add a running number from 1 in the order of the columns, without bringing all rows to one task.
 

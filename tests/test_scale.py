@@ -51,6 +51,31 @@ def test_windows_against_plain_python(spark, monkeypatch, chunk):
             assert (b[f"dst_conn_count_{w}s"], b[f"dst_uniq_src_hosts_{w}s"]) == (len(to), len(set(to))) and b[f"dst_src_concentration_{w}s"] == pytest.approx(1 - min(1.0, share), abs=1e-9)
 
 
+@pytest.mark.parametrize("parts, chunk", [(1, 100_000), (3, 5), (8, 20)])
+def test_windows_with_odd_values(spark, monkeypatch, parts, chunk):
+    """Null times, infinities and very large values, clashing names, however the keys are dealt out."""
+    monkeypatch.setattr(windows, "CHUNK_ROWS", chunk)
+    inf = float("inf")
+    rows = [(i, None if i % 9 == 4 else (i * 37 % 50) * 1_000_000, "abcz"[i % 4], str(i % 5), 80, [1e20, inf, -inf, 0.25, 0.5, float("nan"), None, 1e-3][i * 7 % 8], i % 5, [inf, 1.5, None][i % 3], 1, "x", 3.0, 4) for i in range(120)]
+    df = spark.createDataFrame(rows, KIND + ", _own int, _slice string, _net double, _row int").repartition(parts)
+    found = windows.source_features(df, (5, 20))
+    got = {r["id"]: r for r in found.collect()}
+    counts = {r["id"]: (r["src_conn_count_5s"], r["src_conn_count_20s"]) for r in windows.source_features(df, (5, 20), ["src_conn_count"]).collect()}
+    assert len(got) == len(rows) == found.count() and found.columns[: len(df.columns)] == df.columns and {r["_slice"] for r in got.values()} == {"x"}
+    for i, us, src, *_ in rows:
+        for k, w in enumerate((5, 20)):
+            r, own = got[i], [x for x in rows if us is not None and x[1] is not None and x[2] == src and us - w * 1_000_000 <= x[1] <= us]
+            if us is None:
+                assert {r[f"{n}_{w}s"] for n in windows.SOURCE} == {None} and counts[i][k] is None
+                continue
+            total, longer = math.fsum(x for x in (y[5] for y in own) if x is not None and math.isfinite(x)), [x[7] for x in own if x[7]]
+            ends = {x[5] for x in own} & {inf, -inf}
+            assert r[f"src_bytes_out_{w}s"] == (None if len(ends) == 2 else ends.pop() if ends else pytest.approx(total))
+            assert r[f"src_conn_count_{w}s"] == counts[i][k] == len(own) and r[f"src_avg_flow_dur_{w}s"] == (inf if inf in longer else 1.5 if longer else None)
+    rate = {r["id"]: r["rate"] for r in windows.burst_rate(df, "src", "us", 5).collect()}
+    assert rate == {i: None if c is None else c / 5 for i, (c, _) in counts.items()}
+
+
 def test_windows_of_nothing(spark):
     assert windows.source_features(spark.createDataFrame([], KIND)).collect() == []
 
