@@ -383,13 +383,19 @@ def ewma_zscore(spark, d):
 
 
 @query(
-    f"""WITH {OBS}, o AS (SELECT id, bytes AS x, row_number() OVER (ORDER BY us, id) AS rn FROM obs), p AS (SELECT (SELECT x FROM o WHERE rn = 1) AS x1)
-SELECT a.id, round(sum(CASE WHEN b.rn = 1 THEN power(0.85e0, a.rn - 1) * b.x ELSE 0.15e0 * power(0.85e0, a.rn - b.rn) * b.x END), 6) AS mean
-FROM o a JOIN o b ON b.rn <= a.rn AND b.rn > a.rn - 300 GROUP BY a.id"""
+    f"""WITH {OBS}, o AS (SELECT id, bytes AS x, row_number() OVER (ORDER BY us, id) AS rn FROM obs),
+m AS (
+  SELECT a.id, a.rn, a.x, sum(CASE WHEN b.rn = 1 THEN power(0.85e0, a.rn - 1) * b.x ELSE 0.15e0 * power(0.85e0, a.rn - b.rn) * b.x END) AS mean
+  FROM o a JOIN o b ON b.rn <= a.rn AND b.rn > a.rn - 300 GROUP BY ALL
+), d AS (SELECT rn, x - lag(mean) OVER (ORDER BY rn) AS d FROM m),
+v AS (SELECT a.rn, sum(0.15e0 * power(0.85e0, a.rn - b.rn + 1) * coalesce(b.d * b.d, 0)) AS var FROM m a JOIN d b ON b.rn <= a.rn AND b.rn > a.rn - 300 GROUP BY a.rn)
+SELECT id, round(mean, 6) AS mean, round(var, 4) AS var, rn >= 500 AS warm,
+  CASE WHEN rn >= 5 THEN round((x - mean) / greatest(sqrt(var), 0.01e0 * abs(mean), 0.001e0), 6) END AS z
+FROM m JOIN v USING (rn)"""
 )
 def ewma_global(spark, d):
-    e = baselines.global_ewma(observations(spark, d).select("id", "us", "bytes"), ["us", "id"], ["bytes"], chunk=2000)
-    return e.select("id", r6("bytes_mean").alias("mean"))
+    e = baselines.global_ewma(observations(spark, d).select("id", "us", "bytes"), ["us", "id"], ["bytes"], chunk=2000, variance=True)
+    return e.select("id", r6("bytes_mean").alias("mean"), F.round("bytes_var", 4).alias("var"), F.col("baseline_warm").alias("warm"), r6("bytes_z").alias("z"))
 
 
 @query(f"WITH {OBS} SELECT id, row_number() OVER (PARTITION BY src, dst ORDER BY us, id) = 1 AS novel, row_number() OVER (PARTITION BY src ORDER BY us, id) AS flows, CASE WHEN row_number() OVER (PARTITION BY src ORDER BY us, id) < 50 THEN 'BASELINE_INSUFFICIENT' WHEN row_number() OVER (PARTITION BY src ORDER BY us, id) < 150 THEN 'BASELINE_WARMING' ELSE 'BASELINE_AVAILABLE' END AS state FROM obs")
