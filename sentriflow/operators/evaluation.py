@@ -28,17 +28,36 @@ def false_positive_ratio(metrics: DataFrame, limit: float = 0.15) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Per group: min, max, mean, and the value at index int(n * share) of the sorted values, the last one at most.
+    """Per group: n, min, max, mean, and the value at index int(n * share) of the sorted values, the last one at most. Nulls don't count; a null group is one.
 
-    Values are ranked by counts of different values, so that a group is summed map-side before it is ordered.
+    Values are counted by different values first, map-side. These are dealt out by ranges of group and value, so a group that holds all rows is many tasks: each has its own running counts, and a
+    table of a row per task and group gives the counts before it. The groups' sums are joined back as whole rows a group.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    keys = [F.struct(*[F.col(f"`{c}`") for c in by]).alias("_g") if by else F.struct(F.lit(0).alias("_0")).alias("_g")]
+    counts = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = written(counts.repartitionByRange("_g", "_v").sortWithinPartitions("_g", "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    parts = counts.groupBy("_part", "_g").agg(F.sum("_c").alias("_s"))
+    parts = parts.withColumn("_before", F.sum("_s").over(Window.partitionBy("_g").orderBy("_part")) - F.col("_s"))
+    whole = counts.groupBy("_g").agg(F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+    offsets = parts.join(whole.select(F.col("_g").alias("_w"), F.col("n").alias("_n")), F.col("_g").eqNullSafe(F.col("_w"))).select(F.col("_part").alias("_p"), F.col("_g").alias("_h"), "_before", "_n")
+    inside = F.sum("_c").over(Window.partitionBy("_part", "_g").orderBy("_v"))
+    ranked = counts.withColumn("_to", inside).join(offsets, (F.col("_part") == F.col("_p")) & F.col("_g").eqNullSafe(F.col("_h")))
+    ranked = ranked.withColumn("_to", F.col("_to") + F.col("_before"))
     at = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
-    pick = [F.min(F.when(F.col("_to") > at(q), F.col(value))).alias(f"p{round(q * 100)}") for q in shares]
-    mean = (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean")
-    return ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), mean, *pick)
+    pick = ranked.groupBy("_g").agg(*[F.min(F.when(F.col("_to") > at(q), F.col("_v"))).alias(f"p{round(q * 100)}") for q in shares])
+    out = whole.join(pick.withColumnRenamed("_g", "_q"), F.col("_g").eqNullSafe(F.col("_q")))
+    return out.select(*[F.col(f"_g.`{c}`").alias(c) for c in by], "n", "min", "max", "mean", *[f"p{round(q * 100)}" for q in shares])
+
+
+def latency_sketches(df: DataFrame, by: list[str], value: str, size: int = 400) -> DataFrame:
+    """Per group a quantile sketch (KLL) of its values, some kilobytes whatever their number: for running percentiles that are kept and merged later."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Number of values and quantiles per group of kept sketches; at a size of 400 within a rank error of about 1 %."""
+    whole = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("_s"))
+    return whole.select(*by, F.kll_sketch_get_n_double("_s").alias("n"), *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(f"p{round(q * 100)}") for q in shares])
 
 
 def interpolated(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:

@@ -97,6 +97,37 @@ def test_incidents_are_saved_in_versions(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/links").count() == 3
 
 
+def test_a_save_writes_its_changes_and_lost_writers_leave_no_trace(spark, tmp_path):
+    kind = "incident_id string, first_seen double, last_seen double"
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    log = sinks.IncidentLog(spark, str(tmp_path))
+    assert log.rows() is None and log.compact() is None
+    seen = lambda: sorted(map(tuple, log.rows().select("incident_id", "first_seen", "last_seen").collect()))
+    assert log.save(rows(*[(f"I{i}", 1.0, 2.0) for i in range(50)])) == 0
+    assert log.save(rows(("I1", 5.0, 6.0), ("J", 5.0, 6.0))) == 1
+    sizes = {c["number"]: spark.read.parquet(f"{tmp_path}/data/{c['data']}").count() for c in log.commits()}
+    assert sizes == {0: 50, 1: 2} and ("I1", 1.0, 6.0) in seen() and len(seen()) == 51
+    rows(("LOST", 0.0, 0.0)).write.parquet(f"{tmp_path}/data/lost")  # no commit
+    assert len(seen()) == 51
+    # a writer that saw the same commits: its number is taken, it gets the next one, and both count
+    other = sinks.IncidentLog(spark, str(tmp_path))
+    before = other.commits()
+    log.save(rows(("I2", 9.0, 9.0)))
+    other.commits = lambda: before
+    assert other.save(rows(("I3", 9.0, 9.0))) == 3
+    want = seen()
+    assert ("I2", 1.0, 9.0) in want and ("I3", 1.0, 9.0) in want
+    # a save between what a compaction has read and its commit
+    late = sinks.IncidentLog(spark, str(tmp_path))
+    read = late.commits()
+    log.save(rows(("I4", 9.0, 9.0)))
+    late.commits = lambda: read
+    assert late.compact() == 5 and len(log.commits()) == 2
+    assert seen() == sorted([x if x[0] != "I4" else ("I4", 1.0, 9.0) for x in want])
+    log.save(spark.createDataFrame([("K", 1.0, 2.0, "NEW")], kind + ", status string"))
+    assert {r["incident_id"]: r["status"] for r in log.rows().collect()} == {**{x[0]: None for x in want}, "K": "NEW"}
+
+
 def test_changed_model_files_are_not_loaded(spark, tmp_path):
     from pyspark.ml.functions import array_to_vector
 

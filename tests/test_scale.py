@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sentriflow.config import DEFAULTS
+from sentriflow.config import DEFAULTS, config
 from sentriflow.functions import lexical
 from sentriflow.operators import alerts as A
 from sentriflow.operators import baselines, evaluation, windows
@@ -144,10 +144,10 @@ def plain_incidents(rows):
     return everything
 
 
-def compare_incidents(alerts):
+def compare_incidents(alerts, **how):
     rows = [(r["id"], r["timestamp"], r["threat_class"], r["source_ip"], r["destination_ip"]) for r in alerts.collect()]
     got = collections.defaultdict(dict)
-    for r in A.correlate(alerts).collect():
+    for r in A.correlate(alerts, **how).collect():
         got[r["incident_key"]][r["id"]] = r["correlation_strength"]
     want = [dict(x["ids"]) for x in plain_incidents(rows)]
     key = lambda x: min(x)
@@ -155,15 +155,21 @@ def compare_incidents(alerts):
         assert a == {i: s if s is None else pytest.approx(s) for i, s in b.items()}
 
 
-def test_incidents_of_the_test_table_against_one_plain_fold(spark, sf):
-    compare_incidents(views.alerts(spark, sf).withColumn("id", F.col("id").cast("string")))
+@pytest.mark.parametrize("slice_rows", [200_000, 300])
+def test_incidents_of_the_test_table_against_one_plain_fold(spark, sf, slice_rows):
+    """The table is one component: whole, and in slices of which no task has more than one."""
+    compare_incidents(views.alerts(spark, sf).withColumn("id", F.col("id").cast("string")), slice_rows=slice_rows)
 
 
 def test_incidents_of_close_alerts_against_one_plain_fold(spark):
     r = random.Random(5)
     kinds = [*DEFAULTS["correlation"]["order"], "DDoS"]
     rows = [(f"{i:04d}", r.choice([100.0, 3000.0, 90_000.0]) * r.random() + i * 200.0, r.choice(kinds), r.choice("abc"), r.choice("xyz")) for i in range(250)]
-    compare_incidents(spark.createDataFrame(rows, "id string, timestamp double, threat_class string, source_ip string, destination_ip string"))
+    df = spark.createDataFrame(rows, "id string, timestamp double, threat_class string, source_ip string, destination_ip string")
+    compare_incidents(df)
+    compare_incidents(df, slice_rows=40)
+    with pytest.raises(ValueError):
+        A.correlate(df, config(correlation={"merge": 0.3}))
 
 
 @pytest.mark.parametrize("chars", ["2001:db8::1", "2001:DB8:0:1:2:3:4:5", "::1", "fe80::1:2:3:4", "1:0:0:2:3:4:5:6", "0:0:0:1::", "::ffff:1.2.3.4", "1::2::3", "12345::", "a:b", "::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "10.1.2.3", "10.1.2.300", "x", ":::"])
@@ -211,3 +217,31 @@ def test_explanations(spark):
         "Low risk was assigned because multiple internal sources generated suspicious network behavior. The sequence of these indicators is consistent with potentially malicious multi-stage activity.",
         "Low risk was assigned because a single internal source generated A, B, and C. These events occurred flagged by multiple independent detectors.",
     ]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ranks_by_ranges_of_values(spark, parts):
+    """The value at int(n q) of the sorted ones, of a group that holds nearly all rows."""
+    r = random.Random(8)
+    rows = [("a" if i % 50 else r.choice(["b", None]), r.choice([r.random(), 0.5, None, 1.0])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(parts)
+    got = {x["k"]: x for x in evaluation.nearest_rank(df, ["k"], "x", (0.0, 0.5, 0.9, 1.0)).collect()}
+    for k in ("a", "b", None):
+        own = sorted(x for g, x in rows if g == k and x is not None)
+        want = [own[min(len(own) - 1, int(len(own) * q))] for q in (0.0, 0.5, 0.9, 1.0)]
+        assert [got[k][f"p{q}"] for q in (0, 50, 90, 100)] == want and (got[k]["n"], got[k]["min"], got[k]["max"]) == (len(own), own[0], own[-1]) and got[k]["mean"] == pytest.approx(sum(own) / len(own))
+    whole = evaluation.nearest_rank(df, [], "x").first()
+    own = sorted(x for _, x in rows if x is not None)
+    assert (whole["n"], whole["p50"], whole["p99"]) == (len(own), own[len(own) // 2], own[int(len(own) * 0.99)])
+    assert evaluation.nearest_rank(df.filter("false"), ["k"], "x").collect() == []
+
+
+def test_sketches_merge(spark):
+    xs = [float((i * 7919) % 10_007) for i in range(10_007)]
+    df = spark.createDataFrame([(i % 3, x, i // 2000) for i, x in enumerate(xs)], "k int, x double, day int")
+    days = evaluation.latency_sketches(df, ["k", "day"], "x")
+    assert days.count() == 18
+    got = {r["k"]: r for r in evaluation.merged_quantiles(days, ["k"], (0.5, 0.95)).collect()}
+    for k in range(3):
+        own = sorted(x for i, x in enumerate(xs) if i % 3 == k)
+        assert got[k]["n"] == len(own) and all(abs(sum(x <= got[k][f"p{p}"] for x in own) / len(own) - p / 100) < 0.02 for p in (50, 95))
