@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.lexical import subnet
+from ..functions.lexical import string_entropy, subnet
 from ..storage import unused
 
 SECOND = 1_000_000
@@ -184,18 +184,8 @@ def _check(widths: tuple[int, ...]) -> None:
         raise ValueError(f"window widths must be above 0: {widths}")
 
 
-def source_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60), only: list[str] | None = None) -> DataFrame:
-    """`df` with the features of each row's source, for each width; `only` limits them by name without the width. Null addresses and ports are values."""
-    _check(widths)
-    wanted = [n for n in SOURCE if only is None or n in only]
-    packets = dict(df.dtypes).get("packets")
-    kinds = SOURCE | ({"src_pkts_out": "long"} if packets in ("tinyint", "smallint", "int", "bigint") else {})
-    names = {f"{n}_{w}s": kinds[n] for w in widths for n in wanted}
-    if wanted == ["src_conn_count"]:
-        return window_counts(df, ["src"], "us", {w: f"src_conn_count_{w}s" for w in widths})
-    nets = "src_uniq_dst_subnets" in wanted
-    net = unused(df, "_net")
-    rows = df.withColumn(net, subnet(F.coalesce("dst", F.lit("")))) if nets else df
+def source_columns(widths: tuple[int, ...], wanted: list[str], packets: str = "long", net: str = "_net"):
+    """The function that computes the features of sources from a table of rows in order and their frames."""
 
     def columns(table, frames):
         host, port = (_codes(table.column(c), null) if c in table.column_names else None for c, null in (("dst", ""), ("dport", "0")))
@@ -204,13 +194,30 @@ def source_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60), only:
             f = frames(w)
             make = {
                 "src_uniq_dst_hosts": lambda: f.distinct(host), "src_uniq_dst_ports": lambda: f.distinct(port), "src_conn_count": lambda: f.n,  # noqa: B023
-                "src_bytes_out": lambda: f.total(_numbers(table.column("bytes"))), "src_pkts_out": lambda: _whole(f.total(_numbers(table.column("packets"))), kinds["src_pkts_out"]),  # noqa: B023
+                "src_bytes_out": lambda: f.total(_numbers(table.column("bytes"))), "src_pkts_out": lambda: _whole(f.total(_numbers(table.column("packets"))), packets),  # noqa: B023
                 "src_avg_flow_dur": lambda: _mean_positive(f, _numbers(table.column("duration"))), "src_dst_entropy": lambda: f.entropy(host),  # noqa: B023
                 "src_uniq_dst_subnets": lambda: f.distinct(_codes(table.column(net))), "src_uniq_host_port_pairs": lambda: f.distinct((host + 1) * (port.max(initial=0) + 2) + port),  # noqa: B023
             }
             out |= {f"{n}_{w}s": make[n]() for n in wanted}
         return out
 
+    return columns
+
+
+def source_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60), only: list[str] | None = None) -> DataFrame:
+    """`df` with the features of each row's source, for each width; `only` limits them by name without the width. Null addresses and ports are values."""
+    _check(widths)
+    wanted = [n for n in SOURCE if only is None or n in only]
+    packets = dict(df.dtypes).get("packets")
+    kinds = SOURCE | ({"src_pkts_out": "long"} if packets in ("tinyint", "smallint", "int", "bigint") else {})
+    names = {f"{n}_{w}s": kinds[n] for w in widths for n in wanted}
+    if wanted == ["src_conn_count"]:
+        return window_counts(df, ["src"], "us", {w: f"src_conn_count_{w}s" for w in widths})
+    nets = "src_uniq_dst_subnets" in wanted
+    net = unused(df, "_net")
+    rows = df.withColumn(net, subnet(F.coalesce("dst", F.lit("")))) if nets else df
+
+    columns = source_columns(widths, wanted, kinds["src_pkts_out"], net)
     out = sliding(rows, ["src"], "us", widths, names, columns)
     return out.drop(net) if nets else out
 
@@ -225,9 +232,8 @@ def _mean_positive(f: Frames, values: np.ndarray) -> np.ndarray:
     return np.where(n > 0, f.total(np.where(some, values, 0.0)) / np.maximum(n, 1), np.nan)
 
 
-def destination_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60)) -> DataFrame:
-    """`df` with the features of each row's destination, for each width. A null source is a value."""
-    _check(widths)
+def destination_columns(widths: tuple[int, ...]):
+    """As `source_columns`, for destinations."""
 
     def columns(table, frames):
         source, out = _codes(table.column("src"), ""), {}
@@ -239,7 +245,28 @@ def destination_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60))
             out |= {f"dst_uniq_src_hosts_{w}s": k, f"dst_conn_count_{w}s": f.n, f"dst_src_concentration_{w}s": 1 - share}
         return out
 
-    return sliding(df, ["dst"], "us", widths, {f"{n}_{w}s": k for w in widths for n, k in DESTINATION.items()}, columns)
+    return columns
+
+
+def destination_features(df: DataFrame, widths: tuple[int, ...] = (10, 30, 60)) -> DataFrame:
+    """`df` with the features of each row's destination, for each width. A null source is a value."""
+    _check(widths)
+
+    return sliding(df, ["dst"], "us", widths, {f"{n}_{w}s": k for w in widths for n, k in DESTINATION.items()}, destination_columns(widths))
+
+
+def traffic_rates(df: DataFrame, us: str = "us", source: str = "src", seconds: int = 1) -> DataFrame:
+    """Add the two metrics of all traffic that are no flow's own: flows_per_second and unique_sources, over the rows of the last `seconds`. A null source is one.
+
+    All rows of a slice of `seconds` lie in one task for the different sources, so the window should be short where traffic is dense.
+    """
+    _check((seconds,))
+    name = unused(df, "_count")
+    counted = window_counts(df, [], us, {seconds: name}).withColumn("flows_per_second", F.col(name) / F.lit(float(seconds))).drop(name)
+    # the key's text: whatever its type, null is a value of its own
+    text = unused(counted, "_text")
+    rows = counted.withColumn(text, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
+    return sliding(rows, [], us, (seconds,), {"unique_sources": "long"}, lambda table, frames: {"unique_sources": frames(seconds).distinct(_codes(table.column(text)))}).drop(text)
 
 
 def burst_rate(df: DataFrame, key: str, us: str = "us", seconds: int = 5) -> DataFrame:
@@ -255,9 +282,8 @@ DNS = {
 }
 
 
-def dns_window(df: DataFrame, seconds: int = 300) -> DataFrame:
-    """Add the query statistics of each row's source over its last queries: src, us, qname, qtype. Rows without a name go."""
-    from ..functions.lexical import string_entropy
+def query_columns(seconds: int, extra: dict[str, str]):
+    """As `source_columns`, for queries; `extra` names the columns of length, entropy and type."""
 
     def columns(table, frames):
         f = frames(seconds)
@@ -270,10 +296,15 @@ def dns_window(df: DataFrame, seconds: int = 300) -> DataFrame:
             "avg_query_length": mean("length"), "avg_entropy": mean("entropy"), "txt_null_ratio": mean("txt"),
         }
 
+    return columns
+
+
+def dns_window(df: DataFrame, seconds: int = 300) -> DataFrame:
+    """Add the query statistics of each row's source over its last queries: src, us, qname, qtype. Rows without a name go."""
     extra = {c: unused(df, f"_{c}") for c in ("entropy", "length", "txt")}
     found = {"entropy": string_entropy(F.col("qname")), "length": F.length("qname"), "txt": F.when(F.col("qtype").isin("TXT", "NULL"), 1).otherwise(0)}
     rows = df.filter(F.col("qname").isNotNull()).withColumns({extra[c]: v for c, v in found.items()})
-    return sliding(rows, ["src"], "us", (seconds,), DNS, columns).drop(*extra.values())
+    return sliding(rows, ["src"], "us", (seconds,), DNS, query_columns(seconds, extra)).drop(*extra.values())
 
 
 def query_frequency(df: DataFrame, key: str, us: str, seconds: int) -> DataFrame:

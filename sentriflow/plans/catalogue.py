@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..config import config
+from ..config import DEFAULTS, config
 from ..functions import lexical, scoring, stats
 from ..operators import alerts as A
 from ..operators import baselines, detectors, evaluation, features, flows, models, serving, windows
-from ..sources import logs, pcap, sinks
+from ..sources import capture_splits, logs, pcap, sinks
 from ..storage import fresh_dir
-from ..streaming import stateful
+from ..streaming import keyed, ordered, stateful
 from . import pipeline
 from .views import ADDRESSES, ALERTS, HOSTS, OBS, addresses, alerts, hosts, observations, table
 
@@ -1043,7 +1043,7 @@ def sink_incidents(spark, d):
     again = found.filter(F.split_part("incident_key", F.lit("-"), F.lit(1)).cast("int") % 2 == 0).select("incident_key", (F.col("first_seen") + 5).alias("first_seen"), (F.col("last_seen") + 1_000_000).alias("last_seen"))
     sinks.save_incidents(spark, again, links, folder, "incident_key")
     counts = spark.read.parquet(f"{folder}/links").groupBy("incident_key").agg(F.count(F.lit(1)).alias("links"))
-    return sinks.latest_incidents(spark, folder).drop("version").join(counts, "incident_key").select("incident_key", F.col("first_seen").alias("first"), F.col("last_seen").alias("last"), "links")
+    return sinks.latest_incidents(spark, folder, "incident_key").join(counts, "incident_key").select("incident_key", F.col("first_seen").alias("first"), F.col("last_seen").alias("last"), "links")
 
 
 @query(f"WITH {HOSTS} SELECT page_id::VARCHAR AS uid, page_id * 1000000 AS us, CASE WHEN page_id % 5 > 0 THEN qname END AS query_name, CASE WHEN page_id % 3 = 0 THEN 'TXT' ELSE 'A' END AS query_type, CASE WHEN page_id % 4 > 0 THEN 'NXDOMAIN' END AS response_code, page_id % 2 = 0 AS is_query FROM hosts")
@@ -1089,6 +1089,73 @@ def stream_tumbling(spark, d):
     return w.groupBy("event_type", F.date_format("window.start", "yyyy-MM-dd HH").alias("hour")).agg(F.max("n").alias("n"))
 
 
+@query(SQL["host_baseline_state"])
+def stream_host_baseline(spark, d):
+    """Host baselines of the events as a stream with keyed state: what the batch gives."""
+    b = _stream_histories(spark, d, DEFAULTS, ("src", "dst", "dport"))
+    return b.select(F.col("flow_id").cast("long").alias("id"), F.round("avg_flow_size_bytes", 3).alias("avg_flow_size"), F.round("avg_daily_bytes", 3).alias("avg_daily"), F.round("current_day_bytes", 4).alias("today"))
+
+
+@query(SQL["beacon_features"])
+def stream_beacons(spark, d):
+    """Beacon histories of the events as a stream with keyed state."""
+    b, four = _stream_histories(spark, d, BEACON, ("src", "dport"), (5.0, 604_800.0)), lambda c: F.round(c, 4)
+    return b.select(F.col("flow_id").cast("long").alias("id"), F.col("connection_count").alias("connections"), four("ici_mean").alias("mean"), four("ici_median").alias("median"), r6("ici_cv").alias("cv"), r6("ici_periodicity").alias("periodicity"), F.col("ici_sample_count").alias("gaps"), r6("byte_cv").alias("byte_cv"), r6("pkt_cv").alias("pkt_cv"), four("observation_duration").alias("span"))
+
+
+@query(f"WITH {OBS} SELECT id, count(*) OVER s AS flows, count(DISTINCT dst) OVER s AS hosts, round(sum(bytes) OVER s, 6) AS total, count(DISTINCT src) OVER t AS sources FROM obs WINDOW s AS (PARTITION BY src ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), t AS (PARTITION BY dst ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")
+def stream_windows(spark, d):
+    """Windows of sources and destinations of the events as a stream with keyed state."""
+    b = _stream_histories(spark, d, DEFAULTS, ("src", "dst", "dport"))
+    return b.select(F.col("flow_id").cast("long").alias("id"), F.col("src_conn_count_60s").alias("flows"), F.col("src_uniq_dst_hosts_60s").alias("hosts"), r6("src_bytes_out_60s").alias("total"), F.col("dst_uniq_src_hosts_60s").alias("sources"))
+
+
+def _stream_histories(spark, d, cfg, pair, interval=None) -> DataFrame:
+    """The events as flows through `keyed.histories`, with a last row in 2255 that lets all out."""
+    e = stateful.read_table_stream(spark, d, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = e.select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("flow_id"), F.col("user_id").cast("string").alias("src"), F.get_json_object("props", "$.k").alias("dst"), F.col("event_type").alias("dport"), F.col("value").alias("bytes"),
+        (F.col("event_id") % 10 + 1).alias("packets"), ((F.col("event_id") % 7) * 1.5).alias("duration"), (us / 1e6).alias("seconds"), us.alias("us"), F.lit(None).cast("string").alias("qname"), F.lit(None).cast("string").alias("qtype"), F.lit(None).cast("string").alias("flow"),
+    )
+    folder, kind = fresh_dir(spark, "last"), rows.schema
+    spark.createDataFrame([tuple({"flow_id": "", "seconds": 9e9, "us": 9 * 10**15}.get(f.name) for f in kind)], kind).write.parquet(folder)
+    with keyed.rocksdb(spark):
+        found = stateful.drain(keyed.histories(rows.unionByName(spark.readStream.schema(kind).parquet(folder)), "40 days", cfg, pair), "histories")
+    return keyed.joined_histories(found, cfg, interval)
+
+
+@query(
+    f"""WITH {OBS}, m AS (SELECT id % 3 AS batch, max(us) AS high FROM obs GROUP BY 1), w AS (SELECT batch, max(high) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000000 AS low FROM m)
+SELECT id, low IS NOT NULL AND us < low AS is_late, CASE WHEN (low IS NULL OR us >= low) AND us > (SELECT max(us) FROM obs WHERE id % 3 <= batch) - 86400000000 THEN NULL ELSE batch END AS batch
+FROM obs JOIN w ON batch = id % 3"""
+)
+def stream_ordered_release(spark, d):
+    """The events in three micro-batches through a buffer that lets them out in order: which come late, and those that leave in their own micro-batch."""
+    o = observations(spark, d).select("id", "us", "seconds")
+    buffer = ordered.ReleaseBuffer(spark, fresh_dir(spark, "release"), "seconds", 86_400.0)
+    for n in range(3):
+        buffer.take(o.filter(F.col("id") % 3 == n), n)
+    buffer.flush()
+    own = F.when((F.col("batch") == F.col("id") % 3), F.col("batch").cast("long"))
+    return buffer.released().select("id", "is_late", own.alias("batch"))
+
+
+@query(SQL["src_pcap_roundtrip"])
+def src_capture_parts(spark, d):
+    """The events as capture files, which are read in parts."""
+    e = addresses(observations(spark, d)).withColumn("payload", F.expr("cast(repeat('x', packet_length - 60) AS binary)"))
+    folder = fresh_dir(spark, "captures")
+    pcap.write_captures(e, folder, 2)
+    out = capture_splits.read_captures(spark, folder, 1 << 17)
+    return out.select(F.round(F.col("timestamp") * 1e6).cast("long").alias("us"), "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "tcp_flags", "payload_length")
+
+
+@query(f"WITH {OBS} SELECT id, round(count(*) OVER w / 600e0, 9) AS flows_per_second, count(DISTINCT src) OVER w AS unique_sources FROM obs WINDOW w AS (ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW)")
+def traffic_rates(spark, d):
+    return windows.traffic_rates(observations(spark, d), seconds=600).select("id", F.round("flows_per_second", 9).alias("flows_per_second"), "unique_sources")
+
+
 # --- models ----------------------------------------------------------------------------------------------------------------------
 
 

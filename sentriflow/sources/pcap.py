@@ -1,23 +1,26 @@
 """Packet captures as event rows, and events as packet captures.
 
 Classic captures (both byte orders, micro- and nanoseconds) and pcapng (sections, interfaces, enhanced, simple and obsolete packet blocks) with Ethernet, raw IP
-or Linux cooked frames; IPv4 and IPv6 with TCP, UDP and ICMP; DNS headers and questions on port 53; TLS hellos. Other frames are skipped and counted. A capture
-has no marks from which one could read on, so a file is one task.
+or Linux cooked frames; IPv4 and IPv6 with TCP, UDP and ICMP; DNS headers and questions on port 53; TLS hellos. Other frames are skipped and counted. Here a file is
+one task; `capture_splits` reads files in parts.
 """
 
 from __future__ import annotations
 
 import ipaddress
 import struct
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexical import DNS_CODES, DNS_TYPES
 from ..schemas import EVENT
+from ..storage import written
 
 # Fixed values of the format: magic numbers (byte order, fraction of a second), link types, TLS versions.
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}
@@ -252,19 +255,47 @@ def frame(src: str, dst: str, sport: int, dport: int, proto: int, payload: bytes
     return b"\0" * 12 + b"\x08\x00" + ip + body
 
 
+def record(us: int, f: bytes) -> bytes:
+    return struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(f), len(f)) + f
+
+
 def capture(frames: list[tuple[int, bytes]]) -> bytes:
     """A capture of (microseconds, frame)."""
-    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, ETHERNET)]
-    out += [struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(f), len(f)) + f for us, f in frames]
-    return b"".join(out)
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, ETHERNET) + b"".join(record(*f) for f in frames)
 
 
 def to_captures(events: DataFrame, by: str) -> DataFrame:
-    """One capture per value of `by`, of rows with us, source_ip, destination_ip, source_port, destination_port, protocol, tcp_flags and payload, in time order."""
+    """One capture per value of `by`, of rows with us, source_ip, destination_ip, source_port, destination_port, protocol, tcp_flags and payload, in time order. A cell holds a whole capture; see `write_captures`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        frames = [(int(r.us), frame(r.source_ip, r.destination_ip, int(r.source_port), int(r.destination_port), int(r.protocol), bytes(r.payload), int(r.tcp_flags))) for r in pdf.itertuples()]
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "content": [capture(frames)]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "content": [capture(list(_frames(pdf.sort_values("us"))))]})
 
     return events.groupBy(by).applyInPandas(run, f"{by} {dict(events.dtypes)[by]}, content binary")
+
+
+def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+    for r in pdf.itertuples():
+        yield int(r.us), frame(r.source_ip, r.destination_ip, int(r.source_port), int(r.destination_port), int(r.protocol), bytes(r.payload), int(r.tcp_flags))
+
+
+def write_captures(events: DataFrame, folder: str, files: int) -> DataFrame:
+    """The rows of `to_captures` as `files` capture files at most, each of a range of times, in time order, written record by record; returns (path, packets) of the files that count.
+
+    A file has a name of its own per attempt, so what a lost task left isn't among them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, path, out, n = *pafs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}.pcap"), None, 0
+        for pdf in frames:
+            if out is None:
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                out = fs.open_output_stream(path)
+                out.write(capture([]))
+            out.write(b"".join(map(record, *zip(*_frames(pdf)))))
+            n += len(pdf)
+        if out is not None:
+            out.close()
+            yield pd.DataFrame([(f"{folder}/{path.rsplit('/', 1)[1]}", n)], columns=["path", "packets"])
+
+    names = ["us", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "tcp_flags", "payload"]
+    return written(events.select(*names).repartitionByRange(files, "us").sortWithinPartitions("us").mapInPandas(run, "path string, packets long"), "captures")
