@@ -10,10 +10,10 @@ Banding: `BANDS` hashes of `ROWS` coordinates; at similarity 0.85 a pair shares
 Equal sets (by SHA-256 of the whole sorted set) are one class from the start. A bucket's centre is the member that shares most buckets. Each member is first compared
 with the best of its buckets' centres, and buckets whose members are all joined are done. Then, round by round, the members of each open bucket are
 compared with its centre, which leaves the bucket, as all its links there are known.
-After `ROUNDS` rounds, what is left are mostly texts that meet in a band by chance. They are dealt out anew, by the rarest shingles: of a set of n shingles, one of the n - ceil(n percent / 100) + 1 rarest
-is in every set that is linked with it (prefix filter), and shingles that one of them holds alone decide nothing. So texts that share common passages alone meet no more. These smaller buckets go
-through the same rounds, and of the few that are still open, the members are compared in full, in pairs of blocks of bounded bytes and of sizes that allow a link,
-so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list of all pairs is ever made.
+After `ROUNDS` rounds, what is left are mostly texts that meet in a band by chance or by a common passage. A prefix filter takes them out: of a set of n shingles, one of the n - ceil(n percent / 100) + 1
+rarest is in every set that is linked with it, so a text stays only if it shares one of its rarest shingles with a text of another component. Of the buckets that are still open then, the members
+are compared in full, in pairs of blocks of bounded bytes and of sizes that allow a link, so no link that decides a component is lost. Each comparison intersects whole shingle sets, and no list
+of all pairs is ever made.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .text import U, exact_word_hashes, lower_ascii, mix64, slices, words
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
 #: Rounds with a new centre per open bucket.
-ROUNDS = 3
+ROUNDS = 1
 #: Documents in a block, and shingles of all of them (8 bytes each), when the rest of a bucket is compared in full.
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Rows that go to Python at a time; each holds a text, a set or two.
@@ -192,7 +192,7 @@ def _solve(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> D
     labels = connected_components(links) if not links.isEmpty() else None
     rows, links, labels = _rounds(_unsettled(rows, labels), links, labels, docs, k, percent)
     if not rows.isEmpty():
-        rows, links, labels = _rounds(_unsettled(_by_rarest(rows, docs, k, percent), labels), links, labels, docs, k, percent)
+        rows = _unsettled(_that_may_link(rows, labels, docs, k, percent), labels)
     if not rows.isEmpty():
         links = links.unionByName(materialize(_compare_rest(rows, docs, k, percent), "near-links"))
         labels = connected_components(links) if not links.isEmpty() else None
@@ -241,23 +241,26 @@ def _sum_counts(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(counts, percent: int):
-    """(_rep, _n, _h): the rarest shingles of each set, of which each set that is linked with it holds one; without those that no other set can hold."""
+    """(_rep, _s): the rarest shingles of each set, of which each set that is linked with it holds one; without those that no other set can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for rep, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = np.frombuffer(v.as_buffer(), U)
                 n = len(s)
                 often = counts.value[(s >> U(64 - COUNT_BITS)).astype(np.int64)]
                 rarest = np.lexsort((s, often))[: n - -(-n * percent // 100) + 1]
-                h = s[rarest][often[rarest] > 1].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x), pa.int64()) for x in (rep, n)] + [pa.array(h)], ["_rep", "_n", "_h"])
+                s = s[rarest][often[rarest] > 1].view(np.int64)
+                found.append((np.full(len(s), rep), s))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], ["_rep", "_s"])
 
     return run
 
 
-def _by_rarest(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The members of open buckets (_rep, _n, _h, _degree) in buckets by their rarest shingles. "Rare" is by counts of hashes, an array of 2**`COUNT_BITS` numbers that is broadcast."""
+def _that_may_link(rows: DataFrame, labels: DataFrame | None, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows (_rep, _n, _h, _degree) whose text shares one of its rarest shingles with a text of another component. "Rare" is by counts of hashes, an array of 2**`COUNT_BITS` numbers that is broadcast."""
     spark = rows.sparkSession
     ends = materialize(rows.select(F.col("_rep").alias("_e")).distinct(), "near-ends")
     sets = materialize(_sets_of(ends, docs, k), "near-sets")
@@ -266,11 +269,10 @@ def _by_rarest(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     for r in summed.toLocalIterator():
         counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     sent = spark.sparkContext.broadcast(counts.ravel())
-    near = materialize(sets.mapInArrow(_prefixes(sent, percent), "_rep long, _n long, _h long"), "near-rarest")
-    shared = near.groupBy("_h").agg(F.count(F.lit(1)).alias("_count")).filter("_count > 1")
-    near = near.join(shared.select(F.expr("_h ^ 1").alias("_g"), "_count"), F.expr("_h ^ 1") == F.col("_g")).drop("_g")
-    degree = near.groupBy("_rep").agg(F.sum("_count").alias("_degree")).select(F.expr("_rep ^ 1").alias("_r"), "_degree")
-    return materialize(near.join(degree, F.expr("_rep ^ 1") == F.col("_r")).drop("_count", "_r"), "near-members")
+    near = materialize(_labelled(sets.mapInArrow(_prefixes(sent, percent), "_rep long, _s long"), labels), "near-rarest")
+    mixed = near.groupBy("_s").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).filter("_lo != _hi").select(F.expr("_s ^ 1").alias("_t"))
+    may = near.join(mixed, F.expr("_s ^ 1") == F.col("_t"), "left_semi").groupBy("_rep").agg(F.count(F.lit(1)).alias("_c")).select(F.expr("_rep ^ 1").alias("_r"))
+    return materialize(rows.join(may, F.expr("_rep ^ 1") == F.col("_r"), "left_semi"), "near-members")
 
 
 def _sizes_allow(percent: int):
