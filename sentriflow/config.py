@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from pathlib import Path
 from types import MappingProxyType
 from typing import Any
 
@@ -53,3 +55,27 @@ def config(**overrides: Mapping[str, Any]) -> Config:
 
 
 DEFAULTS = config()
+
+
+class ConfigFiles:
+    """Thresholds from the JSON files of a folder ({section: {name: value}}), taken in the order of their names; later ones win. Lists stand for tuples.
+
+    `current` reads them again when a file has changed, come or gone. A file that can't be read or names an unknown threshold is an error that leaves the thresholds as they were.
+    """
+
+    def __init__(self, folder: str | Path):
+        self.folder, self._seen, self._now = Path(folder), None, DEFAULTS
+
+    def current(self) -> Config:
+        seen = [(p.name, p.stat().st_mtime_ns, p.stat().st_size) for p in sorted(self.folder.glob("*.json"))]
+        if seen != self._seen:
+            sections: dict[str, dict[str, Any]] = {}
+            for name, _, _ in seen:
+                for section, values in json.loads((self.folder / name).read_text()).items():
+                    sections.setdefault(section, {}).update({k: _tuples(v) for k, v in values.items()})
+            self._now, self._seen = config(**sections), seen
+        return self._now
+
+
+def _tuples(value: Any) -> Any:
+    return tuple(map(_tuples, value)) if isinstance(value, list) else value

@@ -1067,6 +1067,17 @@ def src_tsv_ssl(spark, d):
     return out.select(F.col("zeek_uid").alias("uid"), "tls.sni", "tls.version", "tls.resumed", lexical.tls_class(F.col("tls.version")).alias("kind"))
 
 
+@query("SELECT count(*) AS rows, count(*) FILTER (event_id % 5 > 0 AND event_id % 7 > 0) AS processed, count(*) FILTER (event_id % 5 > 0 AND event_id % 7 = 0) AS skipped, count(*) FILTER (event_id % 5 = 0) AS errors FROM events")
+def src_log_counters(spark, d):
+    """A connection log without a header, some of whose rows have no time or a port that is none: columns by number, rows by what becomes of them."""
+    e = table(spark, d, "events")
+    i, mark = F.col("event_id"), F.lit("-")
+    parts = [F.when(i % 7 == 0, mark).otherwise((i * 0.5).cast("string")), i.cast("string"), F.lit("10.0.0.1"), F.when(i % 5 == 0, "http").otherwise("80"), F.lit("10.0.0.2"), F.lit("443")]
+    rows = logs.read_tsv(spark, _written_text(e.select(F.concat_ws("\t", *parts).alias("value")), "bare-tsv"))
+    names = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p"]
+    return logs.tsv_counters(rows.select(*[F.col(f"`{n}`").alias(name) for n, name in enumerate(names)]))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -1092,7 +1103,7 @@ def stream_tumbling(spark, d):
 @query(SQL["host_baseline_state"])
 def stream_host_baseline(spark, d):
     """Host baselines of the events as a stream with keyed state: what the batch gives."""
-    b = _stream_histories(spark, d, DEFAULTS, ("src", "dst", "dport"))
+    b = _stream_histories(spark, d, DEFAULTS, ("src",))
     return b.select(F.col("flow_id").cast("long").alias("id"), F.round("avg_flow_size_bytes", 3).alias("avg_flow_size"), F.round("avg_daily_bytes", 3).alias("avg_daily"), F.round("current_day_bytes", 4).alias("today"))
 
 
@@ -1106,7 +1117,7 @@ def stream_beacons(spark, d):
 @query(f"WITH {OBS} SELECT id, count(*) OVER s AS flows, count(DISTINCT dst) OVER s AS hosts, round(sum(bytes) OVER s, 6) AS total, count(DISTINCT src) OVER t AS sources FROM obs WINDOW s AS (PARTITION BY src ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), t AS (PARTITION BY dst ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")
 def stream_windows(spark, d):
     """Windows of sources and destinations of the events as a stream with keyed state."""
-    b = _stream_histories(spark, d, DEFAULTS, ("src", "dst", "dport"))
+    b = _stream_histories(spark, d, DEFAULTS, ("src",))
     return b.select(F.col("flow_id").cast("long").alias("id"), F.col("src_conn_count_60s").alias("flows"), F.col("src_uniq_dst_hosts_60s").alias("hosts"), r6("src_bytes_out_60s").alias("total"), F.col("dst_uniq_src_hosts_60s").alias("sources"))
 
 

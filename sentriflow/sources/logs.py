@@ -35,13 +35,14 @@ def _event(**given: Column) -> list[Column]:
 
 
 def read_tsv(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """Rows of a tab-separated log as text columns. The columns are those of its #fields line, which is read first, or `fields`."""
+    """Rows of a tab-separated log as text columns. The columns are those of its #fields line, which is read first, or `fields`; without either they are numbered from 0, as many as the widest row has."""
     lines = spark.read.text(path)
     if fields is None:
         head = lines.filter(F.col("value").startswith("#fields\t")).limit(1).collect()
-        if not head:
-            raise ValueError(f"{path} has no #fields line; give `fields`")
-        fields = head[0][0].split("\t")[1:]
+        fields = head[0][0].split("\t")[1:] if head else None
+    if fields is None:
+        rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+        fields = [str(i) for i in range(rows.agg(F.max(F.size(F.split("value", "\t")))).first()[0] or 0)]
     return split_tsv(lines, fields)
 
 
@@ -116,6 +117,34 @@ def read_json_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return json_events(rows, kind)
 
 
+def tsv_counters(rows: DataFrame) -> DataFrame:
+    """Of the rows of a tab-separated log: rows, processed (events), skipped (without a time) and errors (a time that can't be read, or an address or port that isn't one)."""
+    f = _field(rows)
+    given = lambda name: null_field(f(name)).isNotNull()
+    bad = given("ts") & double_field(f("ts")).isNull()
+    for port in ("id.orig_p", "id.resp_p"):
+        bad = bad | (given(port) & int_field(f(port)).isNull())
+    return _counted(rows.select(F.coalesce(bad, F.lit(False)).alias("bad"), (~given("ts")).alias("skipped")))
+
+
+def json_counters(lines: DataFrame, kind: str) -> DataFrame:
+    """As `tsv_counters`, of the lines (value) of a JSON log: errors aren't JSON, skipped ones lack a time, an address or what their kind needs; blank lines don't count."""
+    rows = lines.filter(F.trim("value") != "").withColumn("r", F.from_json("value", LOG_JSON))
+    r = lambda n: F.col(f"r.`{n}`")
+    some = r("ts").isNotNull() & r("id.orig_h").isNotNull() & r("id.resp_h").isNotNull()
+    if kind == "dns":
+        some = some & r("query").isNotNull()
+    elif kind in ("ssl", "tls"):
+        some = some & (r("version").isNotNull() | r("cipher").isNotNull() | r("server_name").isNotNull())
+    return _counted(rows.select(F.try_parse_json("value").isNull().alias("bad"), (~F.coalesce(some, F.lit(False))).alias("skipped")))
+
+
+def _counted(marks: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1))
+    bad, skipped = F.count_if("bad"), F.count_if(~F.col("bad") & F.col("skipped"))
+    return marks.agg(n.alias("rows"), (n - bad - skipped).alias("processed"), skipped.alias("skipped"), bad.alias("errors"))
+
+
 def merge_logs(*logs: DataFrame) -> DataFrame:
     """All rows of several event tables."""
     out = logs[0]

@@ -22,7 +22,15 @@ def log_lines(start, n):
     return [json.dumps({"ts": start + i * 0.5, "uid": f"C{start}{i}", "id.orig_h": "10.0.0.1", "id.orig_p": 4000 + i, "id.resp_h": f"10.1.{i % 5}.{i}", "id.resp_p": 80, "proto": "tcp", "duration": 0.1, "orig_bytes": 10, "resp_bytes": 0, "orig_pkts": 1, "resp_pkts": 0}) for i in range(n)]
 
 
-def test_a_folder_of_logs_becomes_alerts_once(spark, tmp_path):
+@pytest.fixture()
+def two_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_folder_of_logs_becomes_alerts_once(spark, tmp_path, two_partitions):
     folder = tmp_path / "logs"
     folder.mkdir()
     (folder / "a.json").write_text("\n".join([*log_lines(1_000.0, 12), "{broken"]))

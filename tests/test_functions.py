@@ -80,3 +80,20 @@ def test_config_is_copied_not_changed():
         config(recon={"fann": 1})
     with pytest.raises(TypeError):
         DEFAULTS["recon"]["fan"] = 1
+
+
+def test_thresholds_from_files_are_read_again(tmp_path):
+    from sentriflow.config import DEFAULTS, ConfigFiles
+
+    files = ConfigFiles(tmp_path)
+    assert files.current() == DEFAULTS
+    (tmp_path / "a.json").write_text('{"recon": {"fan": 7, "pairs": 9}, "flow": {"windows": [5, 10]}}')
+    (tmp_path / "b.json").write_text('{"recon": {"fan": 8}}')
+    now = files.current()
+    assert (now["recon"]["fan"], now["recon"]["pairs"], now["flow"]["windows"], now["ddos"]) == (8, 9, (5, 10), DEFAULTS["ddos"]) and files.current() is now
+    (tmp_path / "b.json").write_text('{"recon": {"fun": 8}}')
+    with pytest.raises(KeyError):
+        files.current()
+    assert files._now is now
+    (tmp_path / "b.json").unlink()
+    assert files.current()["recon"]["fan"] == 7

@@ -18,7 +18,15 @@ CFG = config(
 )
 
 
-def events(spark, n=260, days=4):
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def events(spark, n=200, days=4):
     """Packets of a few hosts over days: flows that FIN ends, flows that silence ends, beacons, names and handshakes."""
     r = random.Random(7)
     rows = []
@@ -42,16 +50,16 @@ def test_a_stream_of_days_gives_the_features_and_alerts_of_the_batch(spark, tmp_
     all_events = events(spark)
     low, high = all_events.agg(F.min("timestamp"), F.max("timestamp")).first()
     state = None
-    for i in range(3):  # a restart for each
-        part = all_events.filter((F.col("timestamp") >= low + i * (high - low) / 3) & ((F.col("timestamp") < low + (i + 1) * (high - low) / 3) | (i == 2)))
+    for i in range(2):  # a restart for each
+        part = all_events.filter((F.col("timestamp") >= low + i * (high - low) / 2) & ((F.col("timestamp") < low + (i + 1) * (high - low) / 2) | (i == 1)))
         part.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
         run, state = engine.run(spark.readStream.schema(all_events.schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), CFG)
         run.awaitTermination()
-    assert run.late == 0 and state.features().count() > 100
+    assert run.late == 0 and state.features().count() > 60
     state.flush()
     got = {r["flow_id"]: r.asDict(True) for r in state.features().collect()}
     want = {r["flow_id"]: r.asDict(True) for r in pipeline.featurise(all_events, CFG).collect()}
-    assert got.keys() == want.keys() and len(want) > 150
+    assert got.keys() == want.keys() and len(want) > 100
     close = lambda x: pytest.approx(x, rel=1e-9, abs=1e-9) if isinstance(x, float) else x
     for f, row in want.items():
         for c, v in row.items():
@@ -62,7 +70,7 @@ def test_a_stream_of_days_gives_the_features_and_alerts_of_the_batch(spark, tmp_
     assert len({r["detector"] for r in state.alerts().collect()}) >= 3
     # a micro-batch releases its own flows alone
     sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "state" / "features")).groupBy("batch").count().collect()]
-    assert len(sizes) >= 3 and max(sizes) < len(want)
+    assert len(sizes) >= 2 and max(sizes) < len(want)
 
 
 def test_histories_of_rows_that_come_in_any_order(spark, tmp_path):

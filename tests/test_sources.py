@@ -108,3 +108,18 @@ def test_isolation_forest_and_registry(spark, tmp_path):
     assert reg.rollback("m") == "1"
     out = models.add_score(rows, reg.load("m"), vec).groupBy("label").agg(F.avg("model_score").alias("s")).collect()
     assert {r["label"]: round(r["s"]) for r in out} == {0.0: 0, 1.0: 1}
+
+
+def test_logs_without_a_header_and_what_becomes_of_rows(spark, tmp_path):
+    (tmp_path / "x.log").write_text("#close\n1.5\ta\tb\n2.5\tc\n\n")
+    assert [tuple(r) for r in logs.read_tsv(spark, str(tmp_path / "x.log")).orderBy("`0`").collect()] == [("1.5", "a", "b"), ("2.5", "c", None)]
+    (tmp_path / "none.log").write_text("#close\n")
+    assert logs.read_tsv(spark, str(tmp_path / "none.log")).count() == 0
+    rows = logs.read_tsv(spark, str(tmp_path / "x.log"), ["ts", "uid", "id.orig_h"])
+    assert tuple(logs.tsv_counters(rows).first()) == (2, 2, 0, 0)
+    bad = spark.createDataFrame([("1.0", "80"), ("x", "80"), ("-", "80"), ("2.0", "http"), ("3.0", "-")], "ts string, `id.orig_p` string")
+    assert tuple(logs.tsv_counters(bad).first()) == (5, 2, 1, 2)
+    ends = '"id.orig_h": "a", "id.resp_h": "b"'
+    lines = spark.createDataFrame([(x,) for x in ('{"ts": 1.0, %s, "query": "q"}' % ends, '{"ts": 1.0, %s}' % ends, '{"query": "q", %s}' % ends, "{broken", " ", "")], "value string")
+    assert tuple(logs.json_counters(lines, "dns").first()) == (4, 1, 2, 1) and tuple(logs.json_counters(lines, "conn").first()) == (4, 2, 1, 1)
+    assert tuple(logs.json_counters(lines.filter("false"), "conn").first()) == (0, 0, 0, 0)
