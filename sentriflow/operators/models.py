@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -171,8 +173,13 @@ class Registry:
         self.spark.createDataFrame([(json.dumps(what),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     def _digest(self, name: str, version: str) -> str:
-        """One SHA-256 over the names and digests of a model's files, without Spark's own marks."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.folder}/{name}/{version}/model")
+        """One SHA-256 over the names and digests of a model's files, without Spark's own marks; of no files if there are none."""
+        try:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.folder}/{name}/{version}/model")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return ""
+            raise
         rows = files.select(F.substring_index("path", f"/{version}/model/", -1).alias("path"), F.sha2("content", 256).alias("digest")).orderBy("path")
         return hashlib.sha256("".join(f"{r['path']}:{r['digest']};" for r in rows.collect()).encode()).hexdigest()
 
@@ -180,6 +187,48 @@ class Registry:
         model.write().overwrite().save(f"{self.folder}/{name}/{version}/model")
         self._write(f"{self.folder}/{name}/{version}/manifest", {"name": name, "version": version, "schema": SCHEMA_VERSION, "class": type(model).__module__ + "." + type(model).__name__, "metrics": metrics or {}, "sha256": self._digest(name, version)})
 
+    def versions(self, name: str) -> list[str]:
+        """The versions that have a manifest."""
+        try:
+            found = self.spark.read.text(f"{self.folder}/{name}/*/manifest").select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/manifest/[^/]*$", 1).alias("v")).distinct()
+            return sorted(r["v"] for r in found.collect())
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+
+    def sync(self, source: Registry, name: str, version: str) -> bool:
+        """Take a version over from another registry; whether it is here and sound then.
+
+        One that is here with the right digest stays. Else the files are copied beside, checked against the manifest, and put in place with it; files that don't fit it are thrown away, and
+        what was here stays as it was.
+        """
+        manifest = source._read(f"{source.folder}/{name}/{version}/manifest")
+        if manifest is None or "sha256" not in manifest:
+            return False
+        own = self._read(f"{self.folder}/{name}/{version}/manifest")
+        if own == manifest and self._digest(name, version) == manifest["sha256"]:
+            return True
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        there, beside = path(f"{source.folder}/{name}/{version}/model"), f"{name}/.sync-{uuid.uuid4().hex}"
+        fs, new = path(self.folder).getFileSystem(conf), path(f"{self.folder}/{beside}/{version}/model")
+        try:
+            if not there.getFileSystem(conf).exists(there):
+                return False
+            jvm.org.apache.hadoop.fs.FileUtil.copy(there.getFileSystem(conf), there, fs, new, False, conf)
+            if self._digest(beside, version) != manifest["sha256"]:
+                return False
+            here = path(f"{self.folder}/{name}/{version}/model")
+            fs.delete(here, True)
+            fs.mkdirs(here.getParent())
+            if not fs.rename(new, here):
+                return False
+            self._write(f"{self.folder}/{name}/{version}/manifest", manifest)
+            return True
+        finally:
+            fs.delete(path(f"{self.folder}/{beside}"), True)
+
     def promote(self, name: str, version: str) -> None:
         """Make a version the active one; the one before is kept for `rollback`."""
         if self._read(f"{self.folder}/{name}/{version}/manifest") is None:
@@ -222,7 +271,6 @@ class Registry:
 
 
 
-
 def score_drift(scores: DataFrame, order: list[str], score: str = "model_score", by: list[str] | None = None, last: int = 10_000) -> DataFrame:
     """Per model: the number, mean and spread of its last `last` scores, and how far their mean lies from that of all earlier ones, in spreads of these (null without)."""
     by = by or []

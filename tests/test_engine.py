@@ -155,6 +155,25 @@ def test_changed_model_files_are_not_loaded(spark, tmp_path):
     assert (d["n"], d["mean"]) == (10, pytest.approx(0.9)) and d["drift"] > 5
 
 
+def test_versions_are_taken_over_between_registries(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.createDataFrame([(float(i % 2), float(i)) for i in range(40)], "label double, v double")
+    there, here = models.Registry(spark, str(tmp_path / "there")), models.Registry(spark, str(tmp_path / "here"))
+    assert not here.sync(there, "m", "1") and here.versions("m") == []
+    there.save("m", "1", models.train_boosted(rows, array_to_vector(F.array(F.col("label") * 3)), rounds=2, depth=2))
+    assert here.sync(there, "m", "1") and here.sync(there, "m", "1") and here.versions("m") == ["1"]
+    here.promote("m", "1")
+    assert here.status("m") == "VALID" and here.load("m") is not None
+    broken = next(p for p in (tmp_path / "here" / "m" / "1" / "model").rglob("part-*") if p.suffix != ".crc")
+    (broken.parent / "part-99999.parquet").write_bytes(b"more")
+    assert here.status("m") == "INVALID" and here.sync(there, "m", "1") and here.status("m") == "VALID"
+    victim = next(p for p in (tmp_path / "there" / "m" / "1" / "model").rglob("part-*") if p.suffix != ".crc")
+    (victim.parent / "part-99999.parquet").write_bytes(b"more")
+    third = models.Registry(spark, str(tmp_path / "third"))
+    assert not third.sync(there, "m", "1") and third.versions("m") == [] and not list((tmp_path / "third").rglob(".sync-*"))
+
+
 def test_running_latency(spark):
     xs = [float((i * 37) % 101) for i in range(1500)]
     got = serving.running_latency(spark.createDataFrame(list(enumerate(xs)), "i int, latency double").repartition(3), ["i"]).first()
