@@ -845,6 +845,42 @@ def rates_per_minute(spark, d):
     return r.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), r6("per_second").alias("per_second"))
 
 
+@query(
+    f"""WITH {OBS}, v AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'NaN'::DOUBLE WHEN id % 7 = 0 THEN NULL ELSE bytes END AS a, CASE WHEN id % 5 = 0 THEN 'Infinity'::DOUBLE ELSE duration END AS b FROM obs)
+SELECT id, concat_ws(',', CASE WHEN isnan(a) OR isinf(a) THEN 'a' END, CASE WHEN isinf(b) THEN 'b' END) AS non_finite FROM v"""
+)
+def non_finite_columns(spark, d):
+    """The double columns of a row that are NaN or infinite."""
+    o, i = observations(spark, d), F.col("id")
+    v = o.select("id", F.when(i % 3 == 0, float("nan")).when(i % 7 == 0, None).otherwise(F.col("bytes")).alias("a"), F.when(i % 5 == 0, float("inf")).otherwise(F.col("duration")).alias("b"))
+    return features.non_finite(v).select("id", F.array_join("non_finite", ",").alias("non_finite"))
+
+
+@query(
+    f"""WITH {ALERTS} SELECT id, CASE WHEN id % 7 = 0 THEN -1 ELSE round(detection_score / (id % 7), 9) END AS quotient, CASE WHEN confidence > 0 THEN round(detection_score / confidence, 9) END AS ratio,
+CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 END AS rank, CASE WHEN id % 5 = 0 THEN -2 ELSE processing_latency END AS latency FROM al"""
+)
+def scoring_functions(spark, d):
+    """Quotients with a default, ratios to a mean, ranks of severities, finite values."""
+    a, i = alerts(spark, d), F.col("id")
+    odd = F.when(i % 5 > 0, F.col("processing_latency")).when(i % 3 == 0, float("nan")).when(i % 3 == 1, float("-inf"))
+    return a.select(
+        "id", F.round(scoring.safe_divide(F.col("detection_score"), i % 7, -1.0), 9).alias("quotient"), F.round(scoring.ratio_to(F.col("detection_score"), F.col("confidence")), 9).alias("ratio"),
+        scoring.severity_rank(F.col("severity")).alias("rank"), stats.finite(odd, -2.0).alias("latency"),
+    )
+
+
+@query(
+    """WITH c AS (SELECT doc_id % 9 AS g, count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 0 AND quality = 1) AS tn, count(*) FILTER (toxic = 1 AND quality = 1) AS fn FROM labels WHERE doc_id % 9 < 5 OR quality = 1 GROUP BY 1)
+SELECT g, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr FROM c"""
+)
+def confusion_undefined(spark, d):
+    """Ratios of groups of which some have no positive prediction: null instead of 0."""
+    rows = table(spark, d, "labels").filter((F.col("doc_id") % 9 < 5) | (F.col("quality") == 1)).withColumn("g", F.col("doc_id") % 9)
+    found = evaluation.confusion(rows, F.col("toxic") == 1, F.col("quality") == 0, ["g"], undefined=None)
+    return found.select("g", *[r6(c).alias(c) for c in ("precision", "recall", "fpr")])
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------------------------------
 
 
