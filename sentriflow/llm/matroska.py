@@ -304,7 +304,7 @@ def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     """One row per packet of each file, in file order: id, packet number and the columns of PACKET_SCHEMA, and `error`.
 
     A null or empty file has no rows; one that can't be parsed has a single row with `error` set, the rest null. Only the id and
-    the media column are read, whatever else the table holds.
+    the media column are read, whatever else the table holds. Rows that repeat give their packets as often as they come. An empty table gives an empty result.
     """
     kind = dict(df.dtypes)[id_col]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
@@ -354,6 +354,7 @@ def read_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
     """One row per file: id, the payload's size and digests from its packets, the file's own, and `feature`.
 
     A null file counts as empty: no packets, payload_bytes 0. A file that can't be parsed fails the job; `packet_table` reports such files.
+    Rows that repeat come as often as they are. An empty table gives an empty result.
     """
     kind = dict(df.dtypes)[id_col]
     names = ["_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -147,7 +147,7 @@ def repeat_to_targets(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A copy is never cut: of the one document per source at which the budget ends, the partial copy becomes whole
     when the budget holds half of it or more, else it is left out. Decisions hold for an id with its text, null ids too; rows that repeat
-    both are all taken as often as the one taken most.
+    both are all taken as often as the one taken most. A null text has no words and is never taken. An empty table gives an empty result. An id that isn't a number is an error.
     """
     extra = F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
     copies = _mix(df, id_col, text_col, source_col, **options).groupBy("_id", "_row").agg(F.max(F.col("epochs") + extra).alias("_copies")).filter("_copies > 0")

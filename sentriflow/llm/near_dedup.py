@@ -156,7 +156,7 @@ def near_duplicates(
     distinct `k`-word shingles have 100 * intersection >= `percent` * union. A text with fewer than k words
     is one shingle; null, empty and blank texts have an empty set, n_shingles 0 and no links. A text of any length is one set of one row. Ids are
     expected to be unique; rows that repeat an id with other text share that id's component. A row with a null id is linked with nothing: its
-    component_id is null and it is kept. An empty table gives an empty result. Other columns of `df` are ignored, whatever their names.
+    component_id is null and it is kept. An id that isn't a number is an error. Bytes that aren't valid UTF-8 are bytes of words like others. An empty table gives an empty result. Other columns of `df` are ignored, whatever their names.
     """
     return _components(df, id_col, text_col, k, percent).select(
         F.col("_id").alias(id_col), "n_shingles", F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept")
@@ -403,7 +403,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of `df` that stay, one document of each component, with their columns, whatever their names.
 
     Decisions hold for an id with its text. Rows that repeat both stay as often as they came, and so do rows with a null id. Rows that repeat an id with other
-    texts share a component; all of them stay if the id is the smallest of it, else all go.
+    texts share a component; all of them stay if the id is the smallest of it, else all go. Null, empty and blank texts stay. An empty table gives an empty result. An id that isn't a
+    number is an error.
     """
     gone = _components(df, id_col, text_col, k, percent).filter("_id != _component").select("_id", "_row").distinct()
     return without_rows(df, id_col, text_col, materialize(gone, "near-gone"))

@@ -276,7 +276,10 @@ def encode(
 
 
 def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded", model: str | None = None) -> DataFrame:
-    """`df` with its tokens decoded in `out_col`; null and empty token lists give an empty text."""
+    """`df` with its tokens decoded in `out_col`, a name that it doesn't have; null and empty token lists give an empty text. Rows that repeat come as often as they are. An empty
+    table gives an empty result."""
+    if out_col.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out_col} already; give another out_col")
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model or _default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

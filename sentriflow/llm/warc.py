@@ -211,6 +211,7 @@ def read_records(index: DataFrame) -> DataFrame:
     """The records at the listed places: page_id, url, record_type, refers_to, payload_digest, stated_bytes and payload (null for revisits).
 
     Each record is one seek and one gzip member. A response whose payload doesn't have the stated digest fails the job.
+    A place that repeats gives its record as often. An empty index gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

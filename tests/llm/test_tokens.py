@@ -131,3 +131,9 @@ def test_shards_round_trip(odd, nothing, texts):
 def test_readers_get_a_task_per_shard(odd):
     shards = wavelet.write_shards(odd, shard_ids=200)
     assert shards.count() > 4 and wavelet.read_documents(shards).rdd.getNumPartitions() == shards.count()
+
+
+def test_decoding_into_a_column_that_is_there_is_refused(spark):
+    df = spark.createDataFrame([([1, 2], "x")], "tokens array<int>, Decoded string")
+    with pytest.raises(ValueError):
+        pieces.decode(df)
