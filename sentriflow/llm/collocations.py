@@ -3,11 +3,10 @@
 1. Texts become blocks, each of one language: the different words of the block, and the text as numbers of these with 0 between pieces. Words are counted from the blocks' own counts.
 2. Candidates, level by level: a phrase of m words may be frequent only if its first and its last m - 1 words are (Apriori). Each task follows the positions of its blocks where both are, by a
    bitmap of hashes of what was frequent so far (32 MB at most; its errors let more through), and hashes of the phrases of m words there are counted, summed in each task first.
-   Those that reach the limit are candidates; each has two places in the corpus where it occurs (the same hash of two phrases gives both), spread over the blocks by scrambled addresses,
-   and there its words are read. So no list of possible phrases is made, and what is shuffled are numbers.
+   Those that reach the limit are candidates; each has a block in which it occurs, one of many by its hash, and is read there. So no list of possible phrases is made, and what is shuffled are numbers.
 3. The candidates are dealt out to double-array tries of `TRIE_PHRASES` phrases about, each of one language. Tries of `TRIE_BYTES` together are broadcast, in several passes if need be. In each block numpy
    advances the states of all positions at once, word by word, and the accepting states are counted by bincount. The counts of all shards of the corpus, in slices, are summed. These counts are exact, whatever
-   the hashes.
+   the hashes: a candidate that occurs less often than its hash shares the hash with another phrase, and then all phrases of such hashes are read, wherever they are.
 4. Counts of phrases and of their parts meet in joins, and scores are whole-number divisions of decimals.
 """
 
@@ -23,20 +22,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bitmap_bits, key_bitmap, materialize
+from .common import arrow_rows, bitmap_bits, key_bitmap, materialize, spread
 from .double_array import DoubleArray
 from .text import U, lower_ascii, mix64, utf8_column
 
 LONGEST = 5
 #: Bytes of text of a task that are made into blocks together, rows that go to Python at a time, and positions whose hashes are summed together.
-BLOCK_BYTES, BATCH_ROWS, FLUSH = 1 << 24, 1000, 1 << 21
+BLOCK_BYTES, BATCH_ROWS, FLUSH = 6 << 20, 500, 1 << 21
 #: Phrases in a trie, about, and bytes of the tries of one pass.
-TRIE_PHRASES, TRIE_BYTES = 50_000, 64 << 20
+TRIE_PHRASES, TRIE_BYTES = 50_000, 32 << 20
 #: Counts that are summed together.
 SLICE = 256
-_PLACE_BITS, _BLOCK_BITS = 30, 13
+#: Blocks of a partition, and bits of a block's number.
+_BLOCK_BITS, _NUMBER_BITS = 13, 40
 _SCRAMBLE = 0x9E3779B97F4A7C15
-_UNSCRAMBLE = pow(_SCRAMBLE, -1, 1 << 64)
 #: Of each byte: 0 between words, 1 in a word, 2 between pieces.
 _KIND = np.ones(256, np.uint8)
 _KIND[[32, 9]] = 0
@@ -77,7 +76,7 @@ def numbered_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     if not len(starts):
         return pa.array([], pa.binary()), np.zeros(0, np.int32)
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts] + np.searchsorted(offsets, starts, "right")
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts].astype(np.int64) + np.searchsorted(offsets, starts, "right")
     new = np.concatenate(([True], piece[1:] != piece[:-1]))
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
     found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data[inside].tobytes())]).dictionary_encode()
@@ -106,10 +105,10 @@ def _to_blocks(limit: int):
                     words, numbers = numbered_words(run, inner)
                     if not len(words):
                         continue
-                    if made >> _BLOCK_BITS or len(numbers) >> _PLACE_BITS:
-                        raise ValueError("a partition has too many blocks, or a piece too many words")
-                    seed = xxhash.xxh3_64_intdigest(lang.encode())
-                    hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist()], U).view(np.int64)
+                    if made >> _BLOCK_BITS:
+                        raise ValueError("a partition has too many blocks")
+                    seed = xxhash.xxh64_intdigest(lang.encode(), 42)  # as Spark's xxhash64(lang, word)
+                    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], U).view(np.int64)
                     counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
                     one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
                     yield pa.RecordBatch.from_pydict({
@@ -164,28 +163,28 @@ def phrase_hashes(numbers: np.ndarray, hashes: np.ndarray, bits: np.ndarray, m:
     return at, h
 
 
-def _summed(h: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((place, h))
-    h, place = h[order], place[order]
+def _summed(h: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    """Per hash its count, and a block that has it: of several the one that a hash of both picks, so that hashes spread over the blocks. In 16 bits, as these are shuffled."""
+    pick = (mix64(h ^ mix64(block)) & U(0xFFFF)) << U(_NUMBER_BITS) | block
+    order = np.lexsort((pick, h))
+    h, pick = h[order], pick[order]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(h)) - 1 if len(h) else first
-    columns = [h[first].view(np.int64), last - first + 1, place[first], place[last]]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "n", "lo", "hi"])
+    columns = [h[first].view(np.int64), np.diff(np.append(first, len(h))), pick[first].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "n", "pick"])
 
 
-def _level(bits, m: int):
-    """Hashes of phrases of m words that may be frequent, with their number and the smallest and largest scrambled address, summed over `FLUSH` positions."""
+def _level(bits, m: int, flush: int):
+    """Hashes of phrases of m words that may be frequent, with their number and a block, summed over `flush` positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for block, hashes, numbers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 numbers = np.frombuffer(numbers.as_buffer(), np.int32)
-                at, h = phrase_hashes(numbers, hashes.values.to_numpy().view(U), bits.value, m)
-                place = ((U(block) << U(_PLACE_BITS) | at.astype(U)) * U(_SCRAMBLE)).view(np.int64)
-                held.append((h, place))
+                _, h = phrase_hashes(numbers, hashes.values.to_numpy().view(U), bits.value, m)
+                held.append((h, np.full(len(h), block, U)))
                 size += len(h)
-                if size >= FLUSH:
+                if size >= flush:
                     yield _summed(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
@@ -194,22 +193,26 @@ def _level(bits, m: int):
     return run
 
 
-def _addresses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.column(0).to_numpy().view(U) * U(_UNSCRAMBLE)
-        columns = [pa.array((place >> U(_PLACE_BITS)).view(np.int64)), pa.array((place & U((1 << _PLACE_BITS) - 1)).view(np.int64)), batch.column(1)]
-        yield pa.RecordBatch.from_arrays(columns, ["_of", "at", "words"])
+def _read_phrases(bits, only=None):
+    """(lang, phrase, key) of the phrases of a block (lang, words, hashes, numbers, keys) that have one of its hashes `keys`, or, for blocks without such a list, a hash in the bitmap `only`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [None] * batch.num_rows if only is not None else batch.column(4)
+            for lang, words, hashes, numbers, keys in zip(*batch.columns[:4], lists):
+                words, numbers = words.values, np.frombuffer(numbers.as_buffer(), np.int32)
+                found: dict[bytes, int] = {}
+                for m in range(2, LONGEST + 1):
+                    at, h = phrase_hashes(numbers, hashes.values.to_numpy().view(U), bits.value, m)
+                    here = np.isin(h, keys.values.to_numpy().view(U)) if keys is not None else _in(only.value, h)
+                    at, h = at[here], h[here]
+                    # the words themselves tell phrases of one hash apart
+                    rows, first = np.unique(numbers[at[:, None] + np.arange(m)], axis=0, return_index=True)
+                    text = words.take(pa.array(rows.ravel() - 1)).to_pylist()
+                    found |= {b" ".join(text[i * m : (i + 1) * m]): k for i, k in enumerate(h[first].view(np.int64).tolist())}
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found)), pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], ["lang", "phrase", "key"])
 
-def _read_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lang, words, numbers, places in zip(*(batch.column(i) for i in range(4))):
-            words, numbers = words.values, np.frombuffer(numbers.as_buffer(), np.int32)
-            at, m = (np.array(places.values.field(i).to_numpy(), np.int64) for i in (0, 1))
-            wanted = np.unique(np.concatenate([numbers[a : a + k] for a, k in zip(at, m)]))
-            text = dict(zip(wanted.tolist(), words.take(pa.array(wanted - 1)).to_pylist()))
-            found = {b" ".join(text[w] for w in numbers[a : a + k].tolist()): int(k) for a, k in zip(at, m)}
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found)), pa.array(found, pa.binary()), pa.array(found.values(), pa.int32())], ["lang", "phrase", "m"])
+    return run
 
 
 _TRIE = "lang string, shard int, words array<binary>, phrases array<binary>, base binary, check binary, accept binary"
@@ -256,26 +259,51 @@ def _sum_slices(width: int):
     return run
 
 
-def _candidates(blocks: DataFrame, words: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, m): all phrases of 2 to `LONGEST` words that occur `least` times, and perhaps a few more."""
+def _candidates(blocks: DataFrame, words: DataFrame, least: int) -> tuple[DataFrame, DataFrame, object] | None:
+    """Written tables (lang, phrase, key) of phrases of 2 to `LONGEST` words, one for each hash that occurs `least` times, and (key, n), and the bitmap. None if there are no such hashes."""
     spark = blocks.sparkSession
     slim = blocks.select("_block", "hashes", "numbers")
-    keys, places = words.select(F.col("hash").alias("key")), None
+    keys, counts = words.select(F.xxhash64("lang", "word").alias("key")), None
     for m in range(2, LONGEST + 1):
         bits = spark.sparkContext.broadcast(_bits(keys))
-        found = slim.mapInArrow(_level(bits, m), "key long, n long, lo long, hi long").groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        found = materialize(found.filter(F.col("n") >= least).select("key", "lo", "hi"), "phrase-level")
-        bits.destroy()
+        found = slim.mapInArrow(_level(bits, m, FLUSH), "key long, n long, pick long").groupBy("key").agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
+        found = materialize(found.filter(F.col("n") >= least), "phrase-level")
         if found.isEmpty():
             break
-        here = found.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("place"), F.lit(m).alias("words"))
-        keys, places = keys.unionByName(found.select("key")), here if places is None else places.unionByName(here)
-    if places is None:
-        return spark.createDataFrame([], "lang string, phrase binary, m int")
-    # some 2 in 100 positions of a block at most, as each candidate occurs `least` times
-    at = places.mapInArrow(_addresses, "_of long, at long, words int").groupBy("_of").agg(F.collect_list(F.struct("at", "words")).alias("places"))
-    read = blocks.join(at, F.col("_block") == F.col("_of")).select("lang", "words", "numbers", "places").mapInArrow(_read_phrases, "lang string, phrase binary, m int")
-    return materialize(read.distinct(), "phrase-candidates")
+        keys, counts = keys.unionByName(found.select("key")), found if counts is None else counts.unionByName(found)
+        bits.destroy()
+    else:
+        bits = spark.sparkContext.broadcast(_bits(keys))
+    if counts is None:
+        return None
+    # a block has some in 100 of its own positions at most, as each candidate occurs `least` times
+    at = counts.groupBy(F.col("pick").bitwiseAND((1 << _NUMBER_BITS) - 1).alias("_of")).agg(F.collect_list("key").alias("keys"))
+    read = blocks.join(at, F.col("_block") == F.col("_of")).select("lang", "words", "hashes", "numbers", "keys").mapInArrow(_read_phrases(bits), "lang string, phrase binary, key long")
+    return materialize(read.distinct(), "phrase-candidates"), counts.select("key", "n"), bits
+
+
+def _all_of(blocks: DataFrame, keys: DataFrame, bits) -> DataFrame:
+    """(lang, phrase) of all phrases that have one of the hashes `key`, wherever they are, and of some more that their bitmap lets through."""
+    only = blocks.sparkSession.sparkContext.broadcast(_bits(keys))
+    return blocks.select("lang", "words", "hashes", "numbers").mapInArrow(_read_phrases(bits, only), "lang string, phrase binary, key long").select("lang", "phrase").distinct()
+
+
+def _frequent_phrases(blocks: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases that occur `least` times."""
+    found = _candidates(blocks, words, least)
+    if found is None:
+        return blocks.sparkSession.createDataFrame([], "lang string, phrase string, f long")
+    candidates, counts, bits = found
+    exact = materialize(_counts(blocks, candidates.select("lang", "phrase")), "phrase-exact")
+    own = candidates.select("lang", F.col("phrase").cast("string").alias("phrase"), "key").join(exact, ["lang", "phrase"], "left")
+    short = own.groupBy("key").agg(F.sum(F.coalesce("f", F.lit(0))).alias("f")).join(counts, "key").filter("f < n").select("key")
+    short = materialize(short, "phrase-shared")
+    if not short.isEmpty():
+        others = materialize(_all_of(blocks, short, bits), "phrase-others")
+        known = exact.select(F.col("lang").alias("_l"), F.col("phrase").alias("_p"))
+        more = _counts(blocks, others).join(known, (F.col("lang") == F.col("_l")) & (F.col("phrase") == F.col("_p")), "left_anti")
+        exact = exact.unionByName(more)
+    return exact.filter(F.col("f") >= least)
 
 
 def _counts(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -293,7 +321,8 @@ def _counts(blocks: DataFrame, candidates: DataFrame) -> DataFrame:
         slices = slim.mapInArrow(_counted(sent, SLICE), "lang string, shard int, slice int, counts binary")
         return materialize(slices.groupBy("lang", "shard", "slice").applyInArrow(_sum_slices(SLICE), "lang string, shard int, at int, f long"), "phrase-counts")
 
-    for r in tries.select("lang", "shard", "words", F.size("phrases").alias("n"), *arrays, size.alias("bytes")).toLocalIterator():
+    # a trie at a time comes to the driver
+    for r in spread(tries).select("lang", "shard", "words", F.size("phrases").alias("n"), *arrays, size.alias("bytes")).toLocalIterator():
         if held and held_bytes + r["bytes"] > TRIE_BYTES:
             part = count_held()
             found, held, held_bytes = part if found is None else found.unionByName(part), [], 0
@@ -327,11 +356,11 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def _frequent(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables of the words and of the phrases that occur `least` times: (lang, word, hash, f) and (lang, phrase, f, m)."""
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
-    words = each.groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("hash")).agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= least)
-    words = materialize(words.select("lang", F.col("word").cast("string").alias("word"), "hash", "f"), "phrase-words")
-    found = _counts(blocks, _candidates(blocks, words, least)).filter(F.col("f") >= least)
+    """Written tables of the words and of the phrases that occur `least` times: (lang, word, f) and (lang, phrase, f, m)."""
+    each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    words = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= least)
+    words = materialize(words.select("lang", F.col("word").cast("string").alias("word"), "f"), "phrase-words")
+    found = _frequent_phrases(blocks, words, least)
     return words, materialize(found.withColumn("m", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1), "phrase-found")
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Free places that are tried for a node with several children before it goes to the end.
-_TRIES = 64
+#: Free places that are tried for a node with several children, first the lowest and then any, before it goes to the end.
+_TRIES = 256
 
 
 class DoubleArray:
@@ -21,7 +21,7 @@ class DoubleArray:
         size = max(16, 2 * sum(map(len, phrases)) + max((max(p) for p in phrases), default=0) + 2)
         base, check, accept = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         check[0], end, head = 0, 1, 1  # `end`: all places from here on are free; `head`: none below is
-        level = [(0, 0, len(order))]
+        level, draw = [(0, 0, len(order))], np.random.default_rng(len(phrases))
         for depth in range(max(map(len, phrases), default=0)):
             nodes = []
             for state, lo, hi in level:
@@ -43,9 +43,12 @@ class DoubleArray:
                     base, check, accept = (np.concatenate((x, np.full(more, fill, np.int32))) for x, fill in ((base, 0), (check, -1), (accept, -1)))
                 while head < end and check[head] >= 0:
                     head += 1
-                near = head + np.flatnonzero(check[head : min(end, head + 4 * _TRIES)] < 0)[:_TRIES]
-                fits = near[(check[near[:, None] + (c - c[0])[None, :]] < 0).all(1)] if len(near) else near
-                at = int(fits[0]) if len(fits) else end
+                at = end
+                for near in (np.arange(head, min(end, head + _TRIES)), draw.integers(head, max(end, head + 1), _TRIES)):
+                    fits = near[(check[near[:, None] + (c - c[0])[None, :]] < 0).all(1)] if len(near) else near
+                    if len(fits):
+                        at = int(fits.min())
+                        break
                 base[state] = at - int(c[0])
                 for k, lo, hi in kids:
                     t = at - int(c[0]) + k

@@ -84,3 +84,26 @@ def test_long_texts_are_cut_between_pieces():
     data = np.frombuffer(b"aa bb cc. dd ee, ff gggggggg hh; ii", np.uint8)
     runs = [bytes(run) for run, _ in C.cut_long(data, np.array([0, len(data)]), 6)]
     assert b"".join(runs) == bytes(data) and runs == [b"aa bb cc.", b" dd ee,", b" ff gggggggg hh;", b" ii"]
+
+
+def test_phrases_that_share_a_hash(spark, monkeypatch):
+    """With hashes of four bits nearly all phrases share one; the counts stay those of the phrases."""
+
+    def short_hashes(numbers, hashes, bits, m):
+        at = np.flatnonzero(numbers[: len(numbers) - m + 1])
+        at = at[(numbers[at[:, None] + np.arange(m)] > 0).all(1)]
+        own = np.concatenate(([0], hashes)).astype(np.uint64)
+        return at, own[numbers[at]] & np.uint64(15) | np.uint64(m << 8)
+
+    monkeypatch.setattr(C, "phrase_hashes", short_hashes)
+    rows = texts(9, 60)
+    got = sorted(map(tuple, C.collocations(spark.createDataFrame(rows, "lang string, text string"), least=12).collect()))
+    assert got == brute(rows, 12, 2000) and len(got) > 5
+
+
+def test_word_hashes_are_those_of_the_jvm(spark):
+    import xxhash
+
+    for lang, word in (("en", "a"), ("und", "été"), ("x" * 40, "w" * 77)):
+        own = np.array([xxhash.xxh64_intdigest(word.encode(), xxhash.xxh64_intdigest(lang.encode(), 42))], np.uint64).view(np.int64)[0]
+        assert spark.sql(f"SELECT xxhash64('{lang}', CAST('{word}' AS BINARY)), xxhash64('{lang}', '{word}')").first()[:] == (own, own)
