@@ -3,6 +3,8 @@
 import duckdb
 
 import __spark_entry__ as entry
+from sentriflow.config import DEFAULTS
+from sentriflow.operators import alerts
 
 
 def test_scores_that_are_a_half_round_alike(spark, tmp_path):
@@ -15,3 +17,13 @@ def test_scores_that_are_a_half_round_alike(spark, tmp_path):
     for name, shown in (("det_c2", ["id", "score", "confidence"]), ("det_c2_behaviour", ["id", "score"])):
         got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).select(*shown).collect()))
         assert got == sorted(con.execute(f"SELECT {', '.join(shown)} FROM ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_an_alert_is_scored_against_few_of_many_open_incidents(monkeypatch):
+    """2,000 sources talk to one destination within minutes: each is an incident of its own, and an alert looks at one incident for each set of threats."""
+    scored, plain = [], alerts._Fold._score
+    monkeypatch.setattr(alerts._Fold, "_score", lambda self, *row: scored.append(row) or plain(self, *row))
+    fold = alerts._Fold(dict(DEFAULTS["correlation"]))
+    kinds = ("Reconnaissance", "C2_Beacon", "DDoS")
+    found = [fold.take(kinds[i % 3], f"s{i}", "d", 0.1 * i) for i in range(2000)]
+    assert [n for n, _ in found] == list(range(1, 2001)) and len(scored) <= 3 * 2000
