@@ -1144,26 +1144,26 @@ def stream_tumbling(spark, d):
 @query(SQL["host_baseline_state"])
 def stream_host_baseline(spark, d):
     """Host baselines of the events as a stream with keyed state: what the batch gives."""
-    b = _stream_histories(spark, d, DEFAULTS, ("src",))
+    b = _stream_histories(spark, d, DEFAULTS, ("src",), ("baseline",))
     return b.select(F.col("flow_id").cast("long").alias("id"), F.round("avg_flow_size_bytes", 3).alias("avg_flow_size"), F.round("avg_daily_bytes", 3).alias("avg_daily"), F.round("current_day_bytes", 4).alias("today"))
 
 
 @query(SQL["beacon_features"])
 def stream_beacons(spark, d):
     """Beacon histories of the events as a stream with keyed state."""
-    b, four = _stream_histories(spark, d, BEACON, ("src", "dport"), (5.0, 604_800.0)), lambda c: F.round(c, 4)
+    b, four = _stream_histories(spark, d, BEACON, ("src", "dport"), ("pair",), (5.0, 604_800.0)), lambda c: F.round(c, 4)
     return b.select(F.col("flow_id").cast("long").alias("id"), F.col("connection_count").alias("connections"), four("ici_mean").alias("mean"), four("ici_median").alias("median"), r6("ici_cv").alias("cv"), r6("ici_periodicity").alias("periodicity"), F.col("ici_sample_count").alias("gaps"), r6("byte_cv").alias("byte_cv"), r6("pkt_cv").alias("pkt_cv"), four("observation_duration").alias("span"))
 
 
 @query(f"WITH {OBS} SELECT id, count(*) OVER s AS flows, count(DISTINCT dst) OVER s AS hosts, round(sum(bytes) OVER s, 6) AS total, count(DISTINCT src) OVER t AS sources FROM obs WINDOW s AS (PARTITION BY src ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW), t AS (PARTITION BY dst ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")
 def stream_windows(spark, d):
     """Windows of sources and destinations of the events as a stream with keyed state."""
-    b = _stream_histories(spark, d, DEFAULTS, ("src",))
+    b = _stream_histories(spark, d, config(flow={"windows": (60,)}), ("src",), ("windows", "destination"))
     return b.select(F.col("flow_id").cast("long").alias("id"), F.col("src_conn_count_60s").alias("flows"), F.col("src_uniq_dst_hosts_60s").alias("hosts"), r6("src_bytes_out_60s").alias("total"), F.col("dst_uniq_src_hosts_60s").alias("sources"))
 
 
-def _stream_histories(spark, d, cfg, pair, interval=None) -> DataFrame:
-    """The events as flows through `keyed.histories`, with a last row in 2255 that lets all out."""
+def _stream_histories(spark, d, cfg, pair, parts, interval=None) -> DataFrame:
+    """The events as flows through `keyed.histories`, for the given parts, with a last row in 2255 that lets all out."""
     e = stateful.read_table_stream(spark, d, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = e.select(
@@ -1173,8 +1173,8 @@ def _stream_histories(spark, d, cfg, pair, interval=None) -> DataFrame:
     folder, kind = fresh_dir(spark, "last"), rows.schema
     spark.createDataFrame([tuple({"flow_id": "", "seconds": 9e9, "us": 9 * 10**15}.get(f.name) for f in kind)], kind).write.parquet(folder)
     with keyed.rocksdb(spark):
-        found = stateful.drain(keyed.histories(rows.unionByName(spark.readStream.schema(kind).parquet(folder)), "40 days", cfg, pair), "histories")
-    return keyed.joined_histories(found, cfg, interval)
+        found = stateful.drain(keyed.histories(rows.unionByName(spark.readStream.schema(kind).parquet(folder)), "40 days", cfg, pair, parts), "histories")
+    return keyed.joined_histories(found, cfg, interval, parts)
 
 
 @query(

@@ -116,21 +116,27 @@ def events_of(closed: DataFrame, schema: str) -> DataFrame:
 FLOW = "flow_id string, src string, dst string, dport string, bytes double, packets double, duration double, seconds double, us long, net string, qname string, q_length double, q_entropy double, q_txt double, flow string"
 _FLOW = [c.split()[0] for c in FLOW.split(", ")]
 SOURCE, DESTINATION, PAIR = "source", "destination", "pair"
+#: What histories give, by the key that holds it: windows, baselines and query statistics of sources, windows of destinations, and the last connections of pairs.
+PARTS = {"windows": SOURCE, "baseline": SOURCE, "dns": SOURCE, "destination": DESTINATION, "pair": PAIR}
 _HISTORY = ("seconds", "bytes", "packets", "duration")
 
 
 class Histories(StatefulProcessor):
     """State of a source, a destination or a pair: rows that wait, and rows that windows or histories reach back to (ListStates); of a source also the numbers of
-    its baseline (ValueState) and the destinations that it knows (MapState)."""
+    its baseline (ValueState) and the destinations that it knows (ListState, read and extended once for all rows that are taken together)."""
 
-    def __init__(self, cfg: Config):
+    def __init__(self, cfg: Config, parts: tuple[str, ...] = tuple(PARTS)):
+        self.parts, self.kinds = parts, [k for k in (SOURCE, DESTINATION, PAIR) if k in {PARTS[p] for p in parts}]
         self.widths, self.dns = tuple(cfg["flow"]["windows"]), cfg["tunnel"]["window"]
         self.exfil, self.records, self.expire = dict(cfg["exfil"]), cfg["c2"]["records"], cfg["c2"]["expire"]
 
     def columns(self) -> dict[str, str]:
         """Names and types of what is put out beside flow_id, kind and flow."""
-        source = {f"{n}_{w}s": k for w in self.widths for n, k in windows.SOURCE.items()} | {n: t.simpleString() for n, t in baselines.HOST.items()} | windows.DNS
-        return source | {f"{n}_{w}s": k for w in self.widths for n, k in windows.DESTINATION.items()} | {"_h": "array<struct<seconds:double,bytes:double,packets:double,duration:double>>"}
+        made = {
+            "windows": {f"{n}_{w}s": k for w in self.widths for n, k in windows.SOURCE.items()}, "baseline": {n: t.simpleString() for n, t in baselines.HOST.items()}, "dns": windows.DNS,
+            "destination": {f"{n}_{w}s": k for w in self.widths for n, k in windows.DESTINATION.items()}, "pair": {"_h": "array<struct<seconds:double,bytes:double,packets:double,duration:double>>"},
+        }
+        return {n: k for p, columns in made.items() if p in self.parts for n, k in columns.items()}
 
     def schema(self) -> str:
         return ", ".join(["flow_id string", "kind string", "us long", "flow string", *(f"`{n}` {k}" for n, k in self.columns().items())])
@@ -138,8 +144,7 @@ class Histories(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.wait, self.past = handle.getListState("wait", FLOW), handle.getListState("past", FLOW)
-        self.host, self.known = handle.getValueState("host", "n long, size double, day_mean double, today double, began double"), handle.getMapState("known", "dst string", "seen boolean")
-        self.count = handle.getValueState("count", "n long")
+        self.host, self.known = handle.getValueState("host", "n long, size double, day_mean double, today double, began double"), handle.getListState("known", "dst string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -154,13 +159,17 @@ class Histories(StatefulProcessor):
         # a flow that was written again by a repeated batch counts once
         ready = sorted({r[0]: r for r in rows if r[8] <= until}.values(), key=lambda r: (r[7], r[0]))
         wait = [r for r in rows if r[8] > until]
-        past = [tuple(r) for r in self.past.get()]
+        # a baseline alone reaches back to no rows
+        reaches = kind != SOURCE or "windows" in self.parts or "dns" in self.parts
+        past = [tuple(r) for r in self.past.get()] if reaches else []
         found = None
         if ready:
             found = {SOURCE: self._source, DESTINATION: self._destination, PAIR: self._pair}[kind](past, ready)
             self.wait.put(wait) if wait else self.wait.clear()
-        past, keep = self._kept(kind, [*past, *(r[:-1] + (None,) for r in ready)], until)
-        self.past.put(past) if past else self.past.clear()
+        keep = 0
+        if reaches:
+            past, keep = self._kept(kind, [*past, *(r[:-1] + (None,) for r in ready)], until)
+            self.past.put(past) if past else self.past.clear()
         again = [_ms(min(r[8] for r in wait))] if wait else []
         again += [_ms(past[-1][8] + keep)] if past else []
         if again:
@@ -197,8 +206,13 @@ class Histories(StatefulProcessor):
         return {n: [None if x != x else x for x in v[len(past) :].tolist()] for n, v in found.items()}
 
     def _source(self, past: list, ready: list) -> dict[str, list]:
-        out = self._windows(past, ready, self.widths, windows.source_columns(self.widths, list(windows.SOURCE), "long", "net"))
-        out |= self._baseline(ready)
+        out = {}
+        if "windows" in self.parts:
+            out |= self._windows(past, ready, self.widths, windows.source_columns(self.widths, list(windows.SOURCE), "long", "net"))
+        if "baseline" in self.parts:
+            out |= self._baseline(ready)
+        if "dns" not in self.parts:
+            return out
         asked = [i for i, r in enumerate(ready) if r[10] is not None]
         out |= {n: [None] * len(ready) for n in windows.DNS}
         if asked:
@@ -210,16 +224,18 @@ class Histories(StatefulProcessor):
 
     def _baseline(self, ready: list) -> dict[str, list]:
         host = baselines.HostState(*self.host.get()) if self.host.exists() else baselines.HostState()
-        known, out = (self.count.get()[0] if self.count.exists() else 0), []
+        # of at most `known` destinations
+        known, added, out = {r[0] for r in self.known.get()} if host.n else set(), [], []
         for r in ready:
             dst = "" if r[2] is None else f"={r[2]}"  # a null destination is one, too
-            new = not self.known.containsKey((dst,))
-            if new and known < self.exfil["known"]:
-                known += 1
-                self.known.updateValue((dst,), (True,))
+            new = dst not in known
+            if new and len(known) < self.exfil["known"]:
+                known.add(dst)
+                added.append((dst,))
             out.append(host.take(r[4], r[7], new, self.exfil))
         self.host.update(host.numbers())
-        self.count.update((known,))
+        if added:
+            self.known.appendList(added)
         return dict(zip(baselines.HOST, map(list, zip(*out))))
 
     def _destination(self, past: list, ready: list) -> dict[str, list]:
@@ -235,32 +251,33 @@ class Histories(StatefulProcessor):
         return {"_h": out}
 
 
-def histories(rows: DataFrame, delay: str, cfg: Config = DEFAULTS, pair: tuple[str, ...] = ("src", "dst", "dport")) -> DataFrame:
+def histories(rows: DataFrame, delay: str, cfg: Config = DEFAULTS, pair: tuple[str, ...] = ("src", "dst", "dport"), parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
     """A stream of flows as three rows each, of its source, destination and pair, with their features (`Histories.schema`), in the micro-batch whose watermark passes its time.
 
+    `parts` limits the features (`PARTS`), and thereby the keys: what no part needs is neither shuffled nor held.
+
     `rows` has flow_id, src, dst, dport, bytes, packets, duration, seconds, us, qname (of queries, else null), qtype and flow, which is given back with the source's row.
     """
-    state = Histories(cfg)
+    state = Histories(cfg, parts)
     made = {
         "net": subnet(F.coalesce("dst", F.lit(""))), "q_length": F.length("qname"), "q_entropy": F.when(F.col("qname").isNotNull(), string_entropy(F.col("qname"))),
         "q_txt": F.when(F.col("qtype").isin("TXT", "NULL"), 1).otherwise(0), "flow": F.col("flow"),
     }
     known = rows.withColumns(made)
     kinds = {c.split()[0]: c.split()[1] for c in FLOW.split(", ")}
-    keys = [(SOURCE, ["src"]), (DESTINATION, ["dst"]), (PAIR, list(pair))]
+    keys = [(k, names) for k, names in ((SOURCE, ["src"]), (DESTINATION, ["dst"]), (PAIR, list(pair))) if k in state.kinds]
     key = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in names])).alias("key")) for k, names in keys])).alias("_k")
     dealt = _timed(known, "seconds", delay).select("_ts", *[F.col(c).cast(t).alias(c) for c, t in kinds.items()], key)
-    dealt = dealt.select("_ts", "_k.kind", "_k.key", *[c for c in kinds if c != "flow"], F.when(F.col("_k.kind") == SOURCE, F.col("flow")).alias("flow"))
+    dealt = dealt.select("_ts", "_k.kind", "_k.key", *[c for c in kinds if c != "flow"], F.when(F.col("_k.kind") == state.kinds[0], F.col("flow")).alias("flow"))
     return dealt.groupBy("kind", "key").transformWithStateInPandas(state, state.schema(), "append", "EventTime")
 
 
-def joined_histories(found: DataFrame, cfg: Config = DEFAULTS, interval: tuple[float, float] | None = None) -> DataFrame:
-    """The rows of `histories` of one micro-batch or table as one row per flow: flow_id, us, flow and all features."""
-    state = Histories(cfg)
-    ends = {f"{n}_{w}s" for w in state.widths for n in windows.DESTINATION}
-    own = [c for c in state.columns() if c not in ends and c != "_h"]
-    source = found.filter(F.col("kind") == SOURCE).select("flow_id", "us", "flow", *own)
-    other = found.filter(F.col("kind") == DESTINATION).select(F.col("flow_id").alias("_d"), *sorted(ends))
-    pair = found.filter(F.col("kind") == PAIR).select(F.col("flow_id").alias("_p"), "_h")
-    rows = source.join(other, F.col("flow_id") == F.col("_d")).join(pair, F.col("flow_id") == F.col("_p")).drop("_d", "_p")
-    return baselines.beacon_columns(rows, cfg, interval)
+def joined_histories(found: DataFrame, cfg: Config = DEFAULTS, interval: tuple[float, float] | None = None, parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """The rows of `histories` (of the same `parts`) of one micro-batch or table as one row per flow: flow_id, us, flow and all features."""
+    state = Histories(cfg, parts)
+    of = lambda k: list(Histories(cfg, tuple(p for p in parts if PARTS[p] == k)).columns())
+    first, *others = state.kinds
+    rows = found.filter(F.col("kind") == first).select("flow_id", "us", "flow", *of(first))
+    for k in others:
+        rows = rows.join(found.filter(F.col("kind") == k).select(F.col("flow_id").alias("_o"), *of(k)), F.col("flow_id") == F.col("_o")).drop("_o")
+    return baselines.beacon_columns(rows, cfg, interval) if "pair" in parts else rows

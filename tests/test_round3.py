@@ -4,7 +4,8 @@ import duckdb
 
 import __spark_entry__ as entry
 from sentriflow.config import DEFAULTS
-from sentriflow.operators import alerts
+from sentriflow.operators import alerts, baselines
+from sentriflow.streaming import keyed
 
 
 def test_scores_that_are_a_half_round_alike(spark, tmp_path):
@@ -27,3 +28,41 @@ def test_an_alert_is_scored_against_few_of_many_open_incidents(monkeypatch):
     kinds = ("Reconnaissance", "C2_Beacon", "DDoS")
     found = [fold.take(kinds[i % 3], f"s{i}", "d", 0.1 * i) for i in range(2000)]
     assert [n for n, _ in found] == list(range(1, 2001)) and len(scored) <= 3 * 2000
+
+
+class _Cell:
+    """A state of a key in memory, which counts the calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def _say(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):  # noqa: N802  as Spark's states have it
+        self._say([*self.rows, *rows])
+
+
+class _Value(_Cell):
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0]
+
+    def update(self, row):
+        self._say([row])
+
+
+def test_a_baseline_alone_has_one_key_and_few_calls_for_its_state():
+    """500 rows to 40 destinations in two parts: destinations are read and written once for each part, and the second knows those of the first."""
+    state = keyed.Histories(DEFAULTS, ("baseline",))
+    assert state.kinds == ["source"] and list(state.columns()) == list(baselines.HOST)
+    state.host, state.known = _Value(), _Cell()
+    row = lambda i: (f"f{i}", "s", f"d{i % 40}", None, 1.0, 1.0, 1.0, float(i), i)
+    novel = [x for part in (range(250), range(250, 500)) for x in state._source([], [row(i) for i in part])["is_destination_novel"]]
+    assert novel == [i < 40 for i in range(500)] and state.known.calls <= 3 and len(state.known.rows) == 40
