@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.stats import finite
+from ..storage import dealt, written
 
 SCHEMA_VERSION = "v1"
 DGA_FEATURES = ("dns_query_length", "dns_digit_ratio", "dns_alpha_ratio", "dns_hyphen_ratio", "dns_unique_char_count", "dns_entropy", "dns_ngram_entropy")
 ENCRYPTED_FEATURES = ("flow_duration", "packet_count", "byte_count", "packets_per_second", "bytes_per_second", "pkt_size_mean", "pkt_size_std", "pkt_size_min", "pkt_size_max", "iat_mean", "iat_std", "iat_cv")
 BEACON_FEATURES = ("connection_count", "ici_mean", "ici_median", "ici_std", "ici_min", "ici_max", "ici_cv", "ici_jitter", "byte_mean", "byte_std", "byte_cv", "pkt_mean", "pkt_cv")
 SPLT = 20
+#: Rows of a partition that a model is fitted on, about.
+FIT_ROWS = 100_000
 
 
 def _vector(columns: list[Column]) -> Column:
@@ -41,8 +44,13 @@ def encrypted_vector() -> Column:
     return _vector([F.col(c) for c in ENCRYPTED_FEATURES] + series)
 
 
-def _weighted(df: DataFrame, label: str) -> DataFrame:
-    """Add `weight`, so that both classes weigh the same."""
+def _training(df: DataFrame, vector: Column, label: str) -> DataFrame:
+    """Label, vector (features_) and `weight` of the rows, so that both classes weigh the same.
+
+    Fitting reads its rows several times, so they are written once. It holds a partition of them per task, so they are dealt out anew: files are read in splits that grow with the table.
+    """
+    df = written(df.select(label, vector.alias("features_"), F.monotonically_increasing_id().alias("row_")), "training")
+    df = dealt(df, ["row_"], FIT_ROWS).drop("row_")
     share = df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     share = min(max(share, 1e-6), 1 - 1e-6)
     return df.withColumn("weight", F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
@@ -51,14 +59,14 @@ def _weighted(df: DataFrame, label: str) -> DataFrame:
 def train_forest(df: DataFrame, vector: Column, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 42):
     from pyspark.ml.classification import RandomForestClassifier
 
-    rows = _weighted(df.withColumn("features_", vector), label)
+    rows = _training(df, vector, label)
     return RandomForestClassifier(featuresCol="features_", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def train_boosted(df: DataFrame, vector: Column, label: str = "label", rounds: int = 100, depth: int = 6, seed: int = 42):
     from pyspark.ml.classification import GBTClassifier
 
-    rows = _weighted(df.withColumn("features_", vector), label)
+    rows = _training(df, vector, label)
     return GBTClassifier(featuresCol="features_", labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(rows)
 
 

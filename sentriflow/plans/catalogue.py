@@ -13,7 +13,7 @@ from ..functions import lexical, scoring, stats
 from ..operators import alerts as A
 from ..operators import baselines, detectors, evaluation, features, flows, models, serving, windows
 from ..sources import capture_splits, logs, pcap, sinks
-from ..storage import fresh_dir
+from ..storage import dealt, fresh_dir, written
 from ..streaming import keyed, ordered, stateful
 from . import pipeline
 from .views import ADDRESSES, ALERTS, HOSTS, OBS, addresses, alerts, hosts, observations, table
@@ -1215,9 +1215,11 @@ def traffic_rates(spark, d):
 def model_dga_forest(spark, d):
     """Scores of names by a forest that tells host names from the words of items."""
     names = _lexical(spark, d).withColumn("label", F.lit(0))
-    items = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.sha1("p_name").alias("qname"), F.lit("A").alias("qtype"))
+    # a file of names is small for the work on each of them
+    items = dealt(table(spark, d, "part").select("p_partkey", "p_name"), ["p_partkey"], 20_000).select(F.col("p_partkey").alias("page_id"), F.sha1("p_name").alias("qname"), F.lit("A").alias("qtype"))
     made = items.withColumns(features.dns_columns(F.col("qname"), F.col("qtype"), F.lit(0), F.lit("NOERROR"), F.lit(True))).withColumn("label", F.lit(1))
-    rows = names.unionByName(made)
+    # written before they are split, as a filter on a score would compute the features once more, and before the rows are dealt out
+    rows = written(names.unionByName(made).select("label", "dns_query_name", *models.DGA_FEATURES), "names")
     train, test = models.split(rows, "label", "dns_query_name")
     model = models.train_forest(train, models.dga_vector())
     return evaluation.roc_auc(models.add_score(test, model, models.dga_vector()), "model_score", "label").withColumn("auc", r6("auc"))

@@ -32,6 +32,11 @@ def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """`df` dealt out by its keys over partitions of about `rows` rows at most: their number grows with the table, and their size doesn't. Meant for tables as read, whose rows cost little to count."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}
