@@ -1228,13 +1228,15 @@ def model_dga_forest(spark, d):
 @query()
 def model_encrypted_boosted(spark, d):
     """How well boosted trees tell the sessions of large orders from small ones by the flow statistics that encrypted sessions have."""
-    w = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("_l"))
+    lines = dealt(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_quantity", "l_extendedprice"), ["k"], 500_000)
+    w = lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("_l"))
     sizes, times = F.transform("_l", lambda x: x["l_quantity"].cast("double")), F.transform("_l", lambda x: x["l_extendedprice"].cast("double") / 1e3)
     named = {
         "flow_duration": stats.total(times), "packet_count": F.size(sizes).cast("double"), "byte_count": stats.total(sizes), "packets_per_second": F.size(sizes) / stats.total(times), "bytes_per_second": stats.total(sizes) / stats.total(times), "pkt_size_mean": stats.mean(sizes),
         "pkt_size_std": stats.stddev(sizes), "pkt_size_min": F.array_min(sizes), "pkt_size_max": F.array_max(sizes), "iat_mean": stats.mean(times), "iat_std": stats.stddev(times), "iat_cv": stats.cv(times), "splt_sizes": sizes, "splt_times": times,
     }
     rows = w.select("k", *[v.alias(n) for n, v in named.items()]).withColumn("label", F.when(F.col("pkt_size_mean") * F.col("iat_mean") > 1000, 1).otherwise(0))
+    rows = written(rows, "sessions")
     train, test = models.split(rows, "label", "k")
     model = models.train_boosted(train, models.encrypted_vector(), rounds=20, depth=4)
     return evaluation.roc_auc(models.add_score(test, model, models.encrypted_vector()), "model_score", "label").withColumn("auc", r6("auc"))

@@ -4,6 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from sentriflow.operators import models
+from sentriflow.storage import dealt
 
 
 def test_fitting_computes_its_features_once(spark):
@@ -19,3 +20,10 @@ def test_fitting_computes_its_features_once(spark):
     assert seen.value == 200
     models.train_boosted(rows, array_to_vector(F.array("x")), rounds=2, depth=2)
     assert seen.value == 400
+
+
+def test_dealt_partitions_keep_their_size(spark):
+    for n in (1_000, 10_000):
+        found = dealt(spark.range(n).withColumn("k", F.col("id") % (n // 4)), ["k"], 500)
+        sizes = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("k")).collect()
+        assert sum(r["n"] for r in sizes) == n and max(r["n"] for r in sizes) < 1_000 and sum(r["k"] for r in sizes) == n // 4
