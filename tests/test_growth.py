@@ -1,9 +1,12 @@
 """What a task holds or reads doesn't grow with the table, and costly columns are computed once."""
 
+import struct
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from sentriflow.operators import models
+from sentriflow.sources import pcap
 from sentriflow.storage import dealt
 
 
@@ -27,3 +30,17 @@ def test_dealt_partitions_keep_their_size(spark):
         found = dealt(spark.range(n).withColumn("k", F.col("id") % (n // 4)), ["k"], 500)
         sizes = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("k")).collect()
         assert sum(r["n"] for r in sizes) == n and max(r["n"] for r in sizes) < 1_000 and sum(r["k"] for r in sizes) == n // 4
+
+
+def test_captures_of_one_key_are_cut_at_a_size(spark):
+    key = F.when(F.col("id") % 3 > 0, F.concat(F.lit("10.0.0."), (F.col("id") % 3).cast("string")))
+    e = spark.range(90).select(key.alias("host"), (F.lit(1_000_000) * (F.lit(100) - F.col("id"))).alias("us"), F.lit("10.0.0.9").alias("source_ip"), F.lit("10.0.0.8").alias("destination_ip"), F.lit(1).alias("source_port"), F.lit(80).alias("destination_port"), F.lit(6).alias("protocol"), F.lit(2).alias("tcp_flags"), F.lit(b"xy").alias("payload"))
+    found = pcap.to_captures(e, "host", 300)
+    rows = found.collect()
+    # a record of 72 bytes: five of them reach the size
+    assert [sum(1 for r in rows if r["host"] == h) for h in (None, "10.0.0.1", "10.0.0.2")] == [6, 6, 6]
+    for r in rows:
+        times = [t for t, _, _ in pcap.packets(bytes(r["content"]))]
+        assert len(times) == 5 and times == sorted(times) and struct.unpack_from("<I", r["content"])[0] == 0xA1B2C3D4
+    assert sorted(r["timestamp"] for r in pcap.decode_captures(found).collect()) == [float(100 - i) for i in range(89, -1, -1)]
+    assert [r["content"] for r in pcap.to_captures(e.filter("host = '10.0.0.1'"), "host").collect()][0][24:] == b"".join(bytes(r["content"])[24:] for r in sorted((r for r in rows if r["host"] == "10.0.0.1"), key=lambda r: next(pcap.packets(bytes(r["content"])))[0]))
