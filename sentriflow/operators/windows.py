@@ -261,12 +261,16 @@ def traffic_rates(df: DataFrame, us: str = "us", source: str = "src", seconds: i
     All rows of a slice of `seconds` lie in one task for the different sources, so the window should be short where traffic is dense.
     """
     _check((seconds,))
-    name = unused(df, "_count")
-    counted = window_counts(df, [], us, {seconds: name}).withColumn("flows_per_second", F.col(name) / F.lit(float(seconds))).drop(name)
     # the key's text: whatever its type, null is a value of its own
-    text = unused(counted, "_text")
-    rows = counted.withColumn(text, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
-    return sliding(rows, [], us, (seconds,), {"unique_sources": "long"}, lambda table, frames: {"unique_sources": frames(seconds).distinct(_codes(table.column(text)))}).drop(text)
+    text = unused(df, "_text")
+    rows = df.withColumn(text, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
+
+    def columns(table, frames):
+        f = frames(seconds)
+        return {"flows_per_second": f.n / float(seconds), "unique_sources": f.distinct(_codes(table.column(text)))}
+
+    # one shuffle for both, as the windows of the one are those of the other
+    return sliding(rows, [], us, (seconds,), {"flows_per_second": "double", "unique_sources": "long"}, columns).drop(text)
 
 
 def burst_rate(df: DataFrame, key: str, us: str = "us", seconds: int = 5) -> DataFrame:

@@ -1205,7 +1205,7 @@ def src_capture_parts(spark, d):
 
 @query(f"WITH {OBS} SELECT id, round(count(*) OVER w / 600e0, 9) AS flows_per_second, count(DISTINCT src) OVER w AS unique_sources FROM obs WINDOW w AS (ORDER BY us RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW)")
 def traffic_rates(spark, d):
-    return windows.traffic_rates(observations(spark, d), seconds=600).select("id", F.round("flows_per_second", 9).alias("flows_per_second"), "unique_sources")
+    return windows.traffic_rates(observations(spark, d).select("id", "us", "src"), seconds=600).select("id", F.round("flows_per_second", 9).alias("flows_per_second"), "unique_sources")
 
 
 # --- models ----------------------------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import struct
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from sentriflow.operators import models
+from sentriflow.operators import models, windows
 from sentriflow.sources import pcap
 from sentriflow.storage import dealt
 
@@ -44,3 +44,11 @@ def test_captures_of_one_key_are_cut_at_a_size(spark):
         assert len(times) == 5 and times == sorted(times) and struct.unpack_from("<I", r["content"])[0] == 0xA1B2C3D4
     assert sorted(r["timestamp"] for r in pcap.decode_captures(found).collect()) == [float(100 - i) for i in range(89, -1, -1)]
     assert [r["content"] for r in pcap.to_captures(e.filter("host = '10.0.0.1'"), "host").collect()][0][24:] == b"".join(bytes(r["content"])[24:] for r in sorted((r for r in rows if r["host"] == "10.0.0.1"), key=lambda r: next(pcap.packets(bytes(r["content"])))[0]))
+
+
+def test_traffic_rates_deal_their_rows_out_once(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (2, 1_000_000, None), (3, 1_000_000, "a"), (4, 2_000_001, ""), (5, None, "b")], "id int, us long, src string")
+    found = windows.traffic_rates(rows, seconds=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan
+    assert [(r["flows_per_second"], r["unique_sources"]) for r in found.orderBy("id").collect()] == [(1.0, 1), (3.0, 2), (3.0, 2), (1.0, 1), (None, None)]
