@@ -1,10 +1,14 @@
 """What a task holds or reads doesn't grow with the table, and costly columns are computed once."""
 
+import math
+import random
 import struct
+from collections import Counter
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from sentriflow.functions import lexical
 from sentriflow.operators import models, windows
 from sentriflow.sources import pcap
 from sentriflow.storage import dealt
@@ -52,3 +56,19 @@ def test_traffic_rates_deal_their_rows_out_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan
     assert [(r["flows_per_second"], r["unique_sources"]) for r in found.orderBy("id").collect()] == [(1.0, 1), (3.0, 2), (3.0, 2), (1.0, 1), (None, None)]
+
+
+def test_entropy_of_names_compares_no_pairs_of_characters(spark):
+    r = random.Random(1)
+    names = ["", None, "a", "aaaa", "aab", "abab.abab", "\U0001f600x\U0001f600", "\u00c4\u00e4.$(^[", "..", *("".join(r.choices("0123456789abcdefXYZ-.", k=r.randrange(60))) for _ in range(200))]
+    found = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, s string").withColumns({"h": lexical.string_entropy(F.col("s")), "g": lexical.ngram_count_entropy(F.col("s"))})
+    assert "filter(" not in found.select("h")._jdf.queryExecution().optimizedPlan().toString()
+
+    def bits(counts):
+        return max(0.0, sum(-c / sum(counts) * math.log2(c / sum(counts)) for c in counts))
+
+    for row in found.collect():
+        low = (row["s"] or "").lower()
+        grams = Counter(low[i : i + 3] for i in range(len(low) - 2))
+        assert math.isclose(row["h"], bits(list(Counter(low).values())), abs_tol=1e-12)
+        assert math.isclose(row["g"], bits(list(Counter(grams.values()).values())), abs_tol=1e-12)
