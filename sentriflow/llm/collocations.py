@@ -2,8 +2,11 @@
 
 1. Texts become blocks, each of one language: the different words of the block, and the text as numbers of these with 0 between pieces. Words are counted from the blocks' own counts.
 2. Candidates, level by level: a phrase of m words may be frequent only if its first and its last m - 1 words are (Apriori). Each task follows the positions of its blocks where both are, by a
-   bitmap of hashes of what was frequent so far (32 MB at most; its errors let more through), and hashes of the phrases of m words there are counted, summed in each task first.
-   Those that reach the limit are candidates; each has a block in which it occurs, one of many by its hash, and is read there. So no list of possible phrases is made, and what is shuffled are numbers.
+   bitmap of hashes of what was frequent so far (32 MB at most; its errors let more through). Most phrases of frequent words aren't frequent, so hashes are counted in two passes. The first counts
+   them by buckets, some for each `least` positions: a position costs about half a byte of the shuffle, as each task sends sorted numbers of buckets in compressed differences. The second counts hashes one by one,
+   summed in each task first, where the bucket reaches the limit; the others can't. Beyond `SKETCH_BITS` and `least` positions a bucket the first pass would sort out nothing and is left out.
+   Those that reach the limit are candidates; each has a block in which it occurs, one of many by its hash, and is read there: a bitmap of hashes of key and block, 32 MB at most, finds it and a few more, which the
+   keys sort out. So no list of possible phrases is made, and what is shuffled are numbers.
 3. The candidates are dealt out to double-array tries of `TRIE_PHRASES` phrases about, each of one language. Tries of `TRIE_BYTES` together are broadcast, in several passes if need be. In each block numpy
    advances the states of all positions at once, word by word, and the accepting states are counted by bincount. The counts of all shards of the corpus, in slices, are summed. These counts are exact, whatever
    the hashes: a candidate that occurs less often than its hash shares the hash with another phrase, and then all phrases of such hashes are read, wherever they are.
@@ -31,6 +34,8 @@ LONGEST = 5
 BLOCK_BYTES, BATCH_ROWS, FLUSH = 6 << 20, 500, 1 << 21
 #: Phrases in a trie, about, and bytes of the tries of one pass.
 TRIE_PHRASES, TRIE_BYTES = 50_000, 32 << 20
+#: Buckets of a sketch for each `least` positions, at least; bits of a bucket's number at most, and buckets that are summed together.
+SKETCH_LOAD, SKETCH_BITS, SKETCH_SLICE = 12, 28, 1 << 20
 #: Counts that are summed together.
 SLICE = 256
 #: Blocks of a partition, and bits of a block's number.
@@ -173,8 +178,51 @@ def _summed(h: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "n", "pick"])
 
 
-def _level(bits, m: int, flush: int):
-    """Hashes of phrases of m words that may be frequent, with their number and a block, summed over `flush` positions."""
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits as compressed differences, all their first bytes before all second ones."""
+    steps = np.diff(numbers, prepend=numbers.dtype.type(0)).astype("<u4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_sorted(packed, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd"), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel(), dtype=np.int64)
+
+
+def _by_bucket(buckets: int, width: int):
+    """The buckets of hashes, as often as they come, in slices of so many."""
+
+    def give(h: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        at = np.sort((h & U(buckets - 1)).astype(np.uint32))
+        bounds = np.searchsorted(at, np.arange(0, buckets, width, np.uint32)).tolist() + [len(at)]
+        rows = [(i, hi - lo, pack_sorted(at[lo:hi] - np.uint32(i * width))) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "packed"])
+
+    return give
+
+
+def _reached(least: int, width: int):
+    """For rows of `_by_bucket` in order of their slices: a bitmap of the buckets of each slice that come `least` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(width, np.int64)
+        result = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+        for batch in batches:
+            for part, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if part != now:
+                    if now is not None:
+                        yield result()
+                    now = part
+                    total[:] = 0
+                total += np.bincount(unpack_sorted(packed.as_buffer(), n), minlength=width)
+        if now is not None:
+            yield result()
+
+    return run
+
+
+def _level(bits, m: int, flush: int, often, give):
+    """What `give` makes of the hashes of phrases of m words that may be frequent and of their blocks, for `flush` positions at a time; with a bitmap `often` of buckets, of those in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -182,35 +230,55 @@ def _level(bits, m: int, flush: int):
             for block, hashes, numbers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 numbers = np.frombuffer(numbers.as_buffer(), np.int32)
                 _, h = phrase_hashes(numbers, hashes.values.to_numpy().view(U), bits.value, m)
+                if often is not None:
+                    h = h[_in(often.value, h)]
                 held.append((h, np.full(len(h), block, U)))
                 size += len(h)
                 if size >= flush:
-                    yield _summed(*map(np.concatenate, zip(*held)))
+                    yield give(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
-            yield _summed(*map(np.concatenate, zip(*held)))
+            yield give(*map(np.concatenate, zip(*held)))
 
     return run
 
 
-def _read_phrases(bits, only=None):
-    """(lang, phrase, key) of the phrases of a block (lang, words, hashes, numbers, keys) that have one of its hashes `keys`, or, for blocks without such a list, a hash in the bitmap `only`."""
+def _often(slim: DataFrame, bits, m: int, positions: int, least: int):
+    """A bitmap of the buckets that phrases of m words fall into `least` times, for so many positions about; None where it isn't worth a pass, or would hold nearly all buckets."""
+    buckets = 1 << min(SKETCH_BITS, max(16, (SKETCH_LOAD * positions // max(1, least)).bit_length()))
+    if positions <= FLUSH or positions >= least * buckets:
+        return None
+    width, out = min(SKETCH_SLICE, buckets), np.zeros(buckets // 8, np.uint8)
+    rows = slim.mapInArrow(_level(bits, m, FLUSH, None, _by_bucket(buckets, width)), "part int, n long, packed binary")
+    rows = rows.repartition("part").sortWithinPartitions("part").mapInArrow(_reached(least, width), "part int, bits binary")
+    for r in materialize(rows, "phrase-buckets").toLocalIterator():
+        out[r[0] * width // 8 : (r[0] + 1) * width // 8] = np.frombuffer(r[1], np.uint8)
+    return slim.sparkSession.sparkContext.broadcast(out)
+
+
+def block_hash(block: int) -> int:
+    """As Spark's xxhash64 of the number."""
+    return xxhash.xxh64_intdigest(block.to_bytes(8, "little"), 42)
+
+
+def _read_phrases(bits, only, picks: bool):
+    """(lang, phrase, key) of the phrases of a block (_block, lang, words, hashes, numbers) whose hash, or with `picks` that of phrase and block, is in the bitmap `only`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [None] * batch.num_rows if only is not None else batch.column(4)
-            for lang, words, hashes, numbers, keys in zip(*batch.columns[:4], lists):
+            for block, lang, words, hashes, numbers in zip(*batch.columns[:5]):
                 words, numbers = words.values, np.frombuffer(numbers.as_buffer(), np.int32)
+                own = U(block_hash(block.as_py())) if picks else U(0)
                 found: dict[bytes, int] = {}
                 for m in range(2, LONGEST + 1):
                     at, h = phrase_hashes(numbers, hashes.values.to_numpy().view(U), bits.value, m)
-                    here = np.isin(h, keys.values.to_numpy().view(U)) if keys is not None else _in(only.value, h)
+                    here = _in(bits.value, h) & _in(only.value, h ^ own)
                     at, h = at[here], h[here]
                     # the words themselves tell phrases of one hash apart
                     rows, first = np.unique(numbers[at[:, None] + np.arange(m)], axis=0, return_index=True)
                     text = words.take(pa.array(rows.ravel() - 1)).to_pylist()
                     found |= {b" ".join(text[i * m : (i + 1) * m]): k for i, k in enumerate(h[first].view(np.int64).tolist())}
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found)), pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], ["lang", "phrase", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], ["lang", "phrase", "key"])
 
     return run
 
@@ -263,12 +331,16 @@ def _candidates(blocks: DataFrame, words: DataFrame, least: int) -> tuple[DataFr
     """Written tables (lang, phrase, key) of phrases of 2 to `LONGEST` words, one for each hash that occurs `least` times, and (key, n), and the bitmap. None if there are no such hashes."""
     spark = blocks.sparkSession
     slim = blocks.select("_block", "hashes", "numbers")
-    keys, counts = words.select(F.xxhash64("lang", "word").alias("key")), None
+    keys, counts, positions = words.select(F.xxhash64("lang", "word").alias("key")), None, blocks.agg(F.sum("n")).first()[0]
     for m in range(2, LONGEST + 1):
         bits = spark.sparkContext.broadcast(_bits(keys))
-        found = slim.mapInArrow(_level(bits, m, FLUSH), "key long, n long, pick long").groupBy("key").agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
+        often = _often(slim, bits, m, positions or 0, least)
+        found = slim.mapInArrow(_level(bits, m, FLUSH, often, _summed), "key long, n long, pick long").groupBy("key").agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
         found = materialize(found.filter(F.col("n") >= least), "phrase-level")
-        if found.isEmpty():
+        if often is not None:
+            often.destroy()
+        positions = found.agg(F.sum("n")).first()[0]
+        if positions is None:
             break
         keys, counts = keys.unionByName(found.select("key")), found if counts is None else counts.unionByName(found)
         bits.destroy()
@@ -276,16 +348,19 @@ def _candidates(blocks: DataFrame, words: DataFrame, least: int) -> tuple[DataFr
         bits = spark.sparkContext.broadcast(_bits(keys))
     if counts is None:
         return None
-    # a block has some in 100 of its own positions at most, as each candidate occurs `least` times
-    at = counts.groupBy(F.col("pick").bitwiseAND((1 << _NUMBER_BITS) - 1).alias("_of")).agg(F.collect_list("key").alias("keys"))
-    read = blocks.join(at, F.col("_block") == F.col("_of")).select("lang", "words", "hashes", "numbers", "keys").mapInArrow(_read_phrases(bits), "lang string, phrase binary, key long")
-    return materialize(read.distinct(), "phrase-candidates"), counts.select("key", "n"), bits
+    block = F.col("pick").bitwiseAND((1 << _NUMBER_BITS) - 1)
+    picks = spark.sparkContext.broadcast(_bits(counts.select(F.col("key").bitwiseXOR(F.xxhash64(block)).alias("key"))))
+    read = blocks.select("_block", "lang", "words", "hashes", "numbers").mapInArrow(_read_phrases(bits, picks, True), "lang string, phrase binary, key long")
+    own = counts.select(F.col("key").alias("_key"))
+    read = materialize(read.join(own, F.col("key") == F.col("_key"), "left_semi").distinct(), "phrase-candidates")
+    picks.destroy()
+    return read, counts.select("key", "n"), bits
 
 
 def _all_of(blocks: DataFrame, keys: DataFrame, bits) -> DataFrame:
     """(lang, phrase) of all phrases that have one of the hashes `key`, wherever they are, and of some more that their bitmap lets through."""
     only = blocks.sparkSession.sparkContext.broadcast(_bits(keys))
-    return blocks.select("lang", "words", "hashes", "numbers").mapInArrow(_read_phrases(bits, only), "lang string, phrase binary, key long").select("lang", "phrase").distinct()
+    return blocks.select("_block", "lang", "words", "hashes", "numbers").mapInArrow(_read_phrases(bits, only, False), "lang string, phrase binary, key long").select("lang", "phrase").distinct()
 
 
 def _frequent_phrases(blocks: DataFrame, words: DataFrame, least: int) -> DataFrame:

@@ -107,3 +107,63 @@ def test_word_hashes_are_those_of_the_jvm(spark):
     for lang, word in (("en", "a"), ("und", "été"), ("x" * 40, "w" * 77)):
         own = np.array([xxhash.xxh64_intdigest(word.encode(), xxhash.xxh64_intdigest(lang.encode(), 42))], np.uint64).view(np.int64)[0]
         assert spark.sql(f"SELECT xxhash64('{lang}', CAST('{word}' AS BINARY)), xxhash64('{lang}', '{word}')").first()[:] == (own, own)
+
+
+def shuffled_records(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    done = [store.lastStageAttempt(s) for s in stages]
+    return sum(d.shuffleWriteRecords() for d in done if d.status().toString() == "COMPLETE"), out
+
+
+def test_rare_phrases_of_frequent_words_are_not_shuffled_one_by_one(spark, monkeypatch):
+    """Every word is frequent and nearly no pair is, as in a large corpus: what is shuffled must not be a row for each place in the text."""
+    monkeypatch.setattr(C, "FLUSH", 4000)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(C, "SKETCH_SLICE", 1 << 13, raising=False)
+    r = random.Random(3)
+    rows = [("en", " ".join(f"w{r.randrange(300)}" for _ in range(400)) + (". new york" if i < 130 else "")) for i in range(150)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    moved, got = shuffled_records(spark, "rare-phrases", lambda: C.collocations(df, least=100).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+    assert sorted(map(tuple, got)) == brute(rows, 100, 2000) and [g[2] for g in got] == ["new york"]
+    assert moved < 60_000 / 3
+
+
+@pytest.mark.parametrize("flush", [700, 1 << 20])
+def test_buckets_that_reach_the_limit(flush):
+    r = np.random.default_rng(2)
+    h = np.concatenate((r.integers(0, 1 << 63, 30_000), np.repeat(r.integers(0, 1 << 63, 40), 100))).astype(np.uint64)
+    r.shuffle(h)
+    buckets, width = 1 << 16, 1 << 13
+    sent = [C._by_bucket(buckets, width)(h[a : a + flush], None) for a in range(0, len(h), flush)]
+    rows = sorted((x for b in sent for x in b.to_pylist()), key=lambda x: x["part"])
+    batches = [C.pa.RecordBatch.from_pylist(rows[a : a + 3], sent[0].schema) for a in range(0, len(rows), 3)]
+    found = np.zeros(buckets // 8, np.uint8)
+    for b in C._reached(100, width)(batches):
+        found[b["part"][0].as_py() * width // 8 :][: width // 8] = np.frombuffer(b["bits"][0].as_py(), np.uint8)
+    number = (h & np.uint64(buckets - 1)).astype(np.int64)
+    want = np.bincount(number, minlength=buckets) >= 100
+    assert (np.unpackbits(found, bitorder="little").astype(bool) == want).all() and 1 < want.sum() <= 40
+    assert (C._in(found, h) == want[number]).all()
+
+
+def test_sorted_numbers_are_packed():
+    for numbers in ([], [0], [7, 7, 7], [0, 1, 300, 70_000, (1 << 28) - 1]):
+        numbers = np.array(numbers, np.uint32)
+        assert C.unpack_sorted(C.pack_sorted(numbers), len(numbers)).tolist() == numbers.tolist()
+
+
+def test_blocks_without_a_candidate(spark):
+    rows = [("en", "new york " * 120), ("fr", "rien du tout"), ("de", "nichts")]
+    got = C.collocations(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    assert sorted(map(tuple, got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == brute(rows, 100, 2000)
+
+
+def test_hashes_of_block_numbers_are_those_of_the_jvm(spark):
+    for block in (0, 5, 3 << 13 | 17, (1 << 40) - 1):
+        assert spark.sql(f"SELECT xxhash64(CAST({block} AS BIGINT))").first()[0] == np.array([C.block_hash(block)], np.uint64).view(np.int64)[0]
