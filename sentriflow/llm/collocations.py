@@ -3,7 +3,7 @@
 1. Texts become blocks, each of one language: the different words of the block, and the text as numbers of these with 0 between pieces. Words are counted from the blocks' own counts.
 2. Candidates, level by level: a phrase of m words may be frequent only if its first and its last m - 1 words are (Apriori). Each task follows the positions of its blocks where both are, by a
    bitmap of hashes of what was frequent so far (32 MB at most; its errors let more through). Most phrases of frequent words aren't frequent, so hashes are counted in two passes. The first counts
-   them by buckets, some for each `least` positions: a position costs about half a byte of the shuffle, as each task sends sorted numbers of buckets in compressed differences. The second counts hashes one by one,
+   them by buckets, some for each `least` positions: a position costs less than a byte of the shuffle, as each task sends sorted numbers of buckets in compressed differences. The second counts hashes one by one,
    summed in each task first, where the bucket reaches the limit; the others can't. Beyond `SKETCH_BITS` and `least` positions a bucket the first pass would sort out nothing and is left out.
    Those that reach the limit are candidates; each has a block in which it occurs, one of many by its hash, and is read there: a bitmap of hashes of key and block, 32 MB at most, finds it and a few more, which the
    keys sort out. So no list of possible phrases is made, and what is shuffled are numbers.
