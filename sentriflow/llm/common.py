@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +29,25 @@ def spread(files: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, tasks hand so many rows at a time to Python: less memory where a row holds whole texts or sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Within it, tasks hand so many rows at a time to Python: less memory where a row holds whole texts or sets."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def scanned_rows(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Within it, tasks decode so many rows of a Parquet file at a time: less memory where a row is a block of 1 MB."""
+    return _set(spark, "spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -130,5 +138,5 @@ def once_each(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Dat
 
 __all__ = [
     "SPACES", "WORD_PATTERN", "arrow_rows", "bitmap_bits", "collapse_spaces", "flag_in_bitmap", "fresh_dir", "key_bitmap", "materialize", "once_each", "row_key",
-    "shared_dir", "split_by_keys", "spread", "unused", "without_rows", "word_count",
+    "scanned_rows", "shared_dir", "split_by_keys", "spread", "unused", "without_rows", "word_count",
 ]

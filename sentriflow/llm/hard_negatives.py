@@ -15,19 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize
+from .common import arrow_rows, materialize, scanned_rows
 
 #: Rows and anchors in a block.
 BLOCK_ROWS, BLOCK_ANCHORS = 4096, 256
+#: Blocks of anchors that a task holds at once: 5 MB of 64 components.
+SENT_BLOCKS = 64
 _KEY = np.dtype([("anchor", ">u8"), ("score", ">u8"), ("kind", "u1"), ("id", ">u8")])
 _SIGN = np.uint64(1 << 63)
 _POSITIVE, _NEGATIVE = 0, 1
 _PAIR = "_anchor long, _key binary"
-_BLOCK = "_part int, _i int, _dim int, _n int, _ids binary, _labels binary, _values binary, _windows binary"
+_BLOCK = "_dim int, _n int, _ids binary, _labels binary, _values binary, _windows binary"
 
 
 def pack_keys(anchor: np.ndarray, score: np.ndarray, kind: int, ids: np.ndarray) -> np.ndarray:
@@ -57,7 +58,6 @@ def _pack(scale: float, rows: int):
     """Blocks of at most `rows` rows (_id, _label, _vector, _windows) of one length of vectors, in order of id; equal rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, i = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             vectors, windows = batch.column(2), batch.column(3).to_pylist()
@@ -77,11 +77,10 @@ def _pack(scale: float, rows: int):
                     wide = max((len(windows[j]) for j in some), default=0)
                     limits = np.array([windows[j] + windows[j][-1:] * (wide - len(windows[j])) for j in some], np.int64)
                     yield pa.RecordBatch.from_pydict({
-                        "_part": pa.array([part], pa.int32()), "_i": pa.array([i], pa.int32()), "_dim": pa.array([dim], pa.int32()), "_n": pa.array([len(some)], pa.int32()),
+                        "_dim": pa.array([dim], pa.int32()), "_n": pa.array([len(some)], pa.int32()),
                         "_ids": [ids[some].astype(np.int64).tobytes()], "_labels": [labels[some].astype(np.int64).tobytes()],
                         "_values": [values.astype(np.float32 if small else np.float64).tobytes()], "_windows": [limits.tobytes()],
                     })
-                    i += 1
 
     return run
 
@@ -92,19 +91,15 @@ def _packed(rows: DataFrame, scale: float, size: int, tag: str) -> DataFrame:
     return materialize(rows.select("_id", "_label", "_vector", "_windows").mapInArrow(_pack(scale, size), _BLOCK), tag)
 
 
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """`blocks` with _block, a number from 0; only counts per partition go through one task."""
-    parts = blocks.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
-    before = parts.select(F.col("_part").alias("_p"), (F.sum("_m").over(Window.orderBy("_part")) - F.col("_m")).alias("_before"))
-    return blocks.join(before, F.col("_part") == F.col("_p")).withColumn("_block", (F.col("_before") + F.col("_i")).cast("int")).drop("_p", "_before")
+def _met(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each block of anchors beside each block of rows, which stay where they lie: each of their partitions meets parts of `SENT_BLOCKS` blocks of anchors.
 
-
-def _met(anchors: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
-    """Each block of anchors beside each block of rows, by an equi-join on the number of the block."""
+    A product gives a pair of blocks at a time. A hash or loop join would first copy a block of rows for every block of anchors, and anchors dealt to each block by a number would be
+    broadcast, once for each block, at the size of the anchors alone. Blocks of other lengths of vectors meet, too, and are passed over: an equality of lengths would deal all rows out by them.
+    """
     names = ["_dim", "_n", "_ids", "_labels", "_values", "_windows"]
-    dealt = anchors.select(*[F.col(c).alias(f"{c}_a") for c in names], F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_to"))
-    both = blocks.select("_block", *[c for c in names if c != "_windows"]).join(dealt, F.col("_block") == F.col("_to"))
-    return both.filter("_dim = _dim_a").drop("_block", "_to", "_dim_a")
+    sent = anchors.select(*[F.col(c).alias(f"{c}_a") for c in names]).repartition(max(1, -(-anchors.count() // SENT_BLOCKS)))
+    return blocks.select(*[c for c in names if c != "_windows"]).crossJoin(sent.hint("shuffle_replicate_nl"))
 
 
 def _matrix(n: int, dim: int, data: bytes) -> np.ndarray:
@@ -132,6 +127,8 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
     for r in batch.to_pylist():
         dim = r["_dim"]
+        if dim != r["_dim_a"]:
+            continue
         rows = (np.frombuffer(r["_ids"], np.int64), np.frombuffer(r["_labels"], np.int64), _matrix(r["_n"], dim, r["_values"]))
         anchors = (np.frombuffer(r["_ids_a"], np.int64), np.frombuffer(r["_labels_a"], np.int64), _matrix(r["_n_a"], dim, r["_values_a"]))
         yield rows, anchors, np.frombuffer(r["_windows_a"], np.int64)
@@ -174,7 +171,8 @@ def _best_negatives(k: int, low: int):
                         taken[at : at + k] |= -down[at : at + k] * 100 >= low * top
                     near = near[taken]
                     out.append(pack_keys(np.full(len(near), a_ids[a]), score[near], _NEGATIVE, ids[near]))
-                yield _pairs_batch(*out)
+                if out:
+                    yield _pairs_batch(*out)
 
     return run
 
@@ -244,7 +242,7 @@ def mine_hard_negatives(
     # rows hold whole vectors, and later whole blocks
     with arrow_rows(df.sparkSession, BLOCK_ROWS):
         blocks, anchors = _tables(df, is_anchor, id_col, vector_col, label_col, scale)
-    with arrow_rows(df.sparkSession, 4):
+    with arrow_rows(df.sparkSession, 4), scanned_rows(df.sparkSession, 4):
         pairs = _pairs(blocks, anchors, scale, positives, negatives, low)
     return _streamed(pairs, positives, negatives, low).filter("rank > 0")
 
@@ -260,15 +258,13 @@ def _tables(df: DataFrame, is_anchor: Column, id_col: str, vector_col: str, labe
 
 def _pairs(blocks: DataFrame, anchors: DataFrame, scale: float, positives: int, negatives: int, low: int) -> DataFrame:
     """A written table of packed pairs: the positives of each anchor, and the best negatives of each block."""
-    count = blocks.count()
-    if count == 0 or anchors.isEmpty():
+    if blocks.isEmpty() or anchors.isEmpty():
         return blocks.sparkSession.createDataFrame([], _PAIR)
-    blocks = _numbered(blocks)
-    best = _met(_packed(anchors, scale, BLOCK_ANCHORS, "hard-anchor-blocks"), blocks, count).mapInArrow(_best_positives(positives), _PAIR)
+    best = _met(_packed(anchors, scale, BLOCK_ANCHORS, "hard-anchor-blocks"), blocks).mapInArrow(_best_positives(positives), _PAIR)
     found = materialize(_streamed(best, positives, negatives, low), "hard-positives")
     windows = found.groupBy("anchor_id").agg(F.sort_array(F.collect_set("positive_score")).alias("_windows"))
     windowed = anchors.join(windows, F.col("_id") == F.col("anchor_id"))
-    near = _met(_packed(windowed, scale, BLOCK_ANCHORS, "hard-window-blocks"), blocks, count).mapInArrow(_best_negatives(negatives, low), _PAIR)
+    near = _met(_packed(windowed, scale, BLOCK_ANCHORS, "hard-window-blocks"), blocks).mapInArrow(_best_negatives(negatives, low), _PAIR)
     opened = found.select("anchor_id", "positive_score", "positive_id").mapInArrow(_opened, _PAIR)
     return materialize(opened.unionByName(near), "hard-pairs")
 
